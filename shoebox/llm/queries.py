@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import decontaminate, mixing, sharding, simhash_dedup, token_counts
+from shoebox.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,16 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.page_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op2_token_counts,
     op3_decontaminate,
     op4_mixing,
     op6_sharding,
     op9_simhash_dedup,
+    op10_language_id,
 )}
 ORACLES: dict[str, str] = {}
