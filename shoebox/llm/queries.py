@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, token_counts, toxicity
+from shoebox.llm import decontaminate, hamming_topk, language_id, mixing, sharding, simhash_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_topk.top_k_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op4_mixing,
     op5_toxicity,
     op6_sharding,
+    op7_hamming_topk,
     op9_simhash_dedup,
     op10_language_id,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_hamming_topk": """
+        WITH bits AS (
+          SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)::INTEGER) ELSE 0 END))::UBIGINT AS code
+          FROM embeddings
+        ), ranked AS (
+          SELECT q.vec_id AS query_id, d.vec_id AS neighbor_id, bit_count(xor(q.code, d.code))::INTEGER AS distance,
+                 row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, d.code)), d.vec_id)::INTEGER AS rank
+          FROM bits q JOIN bits d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+        )
+        SELECT query_id, neighbor_id, distance, rank FROM ranked WHERE rank <= 10""",
+}
