@@ -75,6 +75,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     their own; an empty table gives an empty one; other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    return _take(d, weights, share, most, block, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows that ``mix`` takes, all columns of ``docs``: a document comes as often as its taken words make it whole, rounded.
+
+    Rows that repeat id, source and text are one document that may be taken as often as all of them.
+    """
+    key = [F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.md5(text_col)]
+    d = docs.select(key[0].alias("doc_id"), key[1].alias("source"), key[2].alias("md5"), n_words(F.col(text_col)).alias("size"))
+    taken = _take(d, weights, share, most, block, seed)
+    times = taken.groupBy("doc_id", "source", "md5").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("times"))
+    times = times.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("md5").alias("_md5"), "times").alias("times")
+    names = [F.col(f"docs.`{c}`") for c in docs.columns]
+    kept = docs.withColumns({"_id": key[0], "_source": key[1], "_md5": key[2]}).alias("docs")
+    found = kept.join(times, [F.col(f"docs.{c}").eqNullSafe(F.col(f"times.{c}")) for c in ("_id", "_source", "_md5")])
+    found = found.select(*names, F.col("docs._id").alias("_id"), F.col("docs._source").alias("_source"), F.col("docs._md5").alias("_md5"), F.col("times.times").alias("_times"))
+    found = found.dropDuplicates(["_id", "_source", "_md5"])
+    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _take(d: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int, seed: int) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``taken`` to rows with ``doc_id``, ``source``, ``size``."""
     d = cut(d)
     by_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     rows = d.count()
@@ -101,4 +124,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     d = d.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     covered = lambda a, b: F.greatest(F.lit(0), F.least(F.col("end"), b) - F.greatest(F.col("begin"), a))
     taken = F.col("rounds") * F.col("size") + covered(F.col("from"), F.least("until", "round_at")) + covered(F.lit(0), F.col("until") - F.col("round_at"))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return d.withColumn("taken", taken.cast("long"))

@@ -36,13 +36,13 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         prints = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": prints})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_md5": pdf["text_md5"], "fp": prints})
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``doc_id``, ``fp`` (the fingerprint's bits as a signed long), one row for each row of ``docs``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInPandas(_fingerprints, "doc_id long, fp long")
+    """Columns ``doc_id``, ``text_md5``, ``fp`` (the fingerprint's bits as a signed long), one row for each row of ``docs``."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(text_col).alias("text_md5"))
+    return texts.mapInPandas(_fingerprints, "doc_id long, text_md5 string, fp long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -62,6 +62,12 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _grouped(distinct: DataFrame, radius: int) -> DataFrame:
+    """Adds ``component`` (a fingerprint) to rows with distinct ``fp``."""
+    comp = components(links(distinct.select("fp"), radius))
+    return distinct.join(comp, distinct["fp"] == comp["node"], "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -72,10 +78,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing more. A null ``doc_id`` gets its component, but names none unless all ids of it are null. Repeated
     rows give repeated rows; an empty table gives an empty one; other columns of ``docs`` are not read.
     """
-    fp = cut(fingerprints(docs, id_col, text_col))
-    distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = components(links(distinct.select("fp"), radius))
-    named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    fp = cut(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
+    named = _grouped(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "component").select(F.col("fp").alias("_fp"), "component_id")
     return fp.join(named, fp["fp"] == named["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each group: that with the smallest id (then text hash).
+
+    A null id is chosen only where the group has no other; rows that repeat id and text are one document.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_md5")).alias("first")
+    distinct = cut(fingerprints(docs, id_col, text_col).groupBy("fp").agg(first))
+    kept = _grouped(distinct, radius).groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_md5").alias("kept")
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_md5": F.md5(text_col)}).alias("docs")
+    found = keyed.join(kept, F.col("docs._id").eqNullSafe(F.col("kept.doc_id")) & F.col("docs._md5").eqNullSafe(F.col("kept.text_md5")), "left_semi")
+    return found.dropDuplicates(["_id", "_md5"]).select(*[F.col(f"`{c}`") for c in docs.columns])
