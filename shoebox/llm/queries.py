@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import decontaminate, hamming_topk, language_id, mixing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from shoebox.llm import decontaminate, hamming_topk, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_topk.top_k_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -58,10 +62,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op5_toxicity,
     op6_sharding,
     op7_hamming_topk,
+    op8_line_dedup,
     op9_simhash_dedup,
     op10_language_id,
 )}
 ORACLES: dict[str, str] = {
+    "op8_line_dedup": """
+        WITH line AS (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+        ), words AS (
+          SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM line
+        ), sets AS (
+          SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS s FROM words
+        ), numbered AS (
+          SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM sets
+        ), firsts AS (
+          SELECT s, min(pos) AS pos, len(s) AS n FROM numbered WHERE len(s) > 0 GROUP BY s
+        ), tokens AS (
+          SELECT pos, n, unnest(s) AS token FROM firsts
+        ), near AS (
+          SELECT DISTINCT b.pos FROM tokens a JOIN tokens b ON a.token = b.token AND a.pos < b.pos AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
+          GROUP BY a.pos, b.pos, a.n, b.n HAVING count(*) * 9 >= (a.n + b.n) * 4
+        )
+        SELECT doc_id, count(*) AS n_lines,
+               count(*) FILTER (WHERE numbered.pos <> firsts.pos) AS n_exact,
+               count(*) FILTER (WHERE numbered.pos = firsts.pos AND near.pos IS NOT NULL) AS n_near,
+               coalesce(list_sort(list(line_no::INTEGER) FILTER (WHERE numbered.pos <> firsts.pos OR near.pos IS NOT NULL)), []) AS removed
+        FROM numbered LEFT JOIN firsts ON numbered.s = firsts.s AND len(numbered.s) > 0 LEFT JOIN near ON firsts.pos = near.pos
+        GROUP BY doc_id""",
+
     "op7_hamming_topk": """
         WITH bits AS (
           SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)::INTEGER) ELSE 0 END))::UBIGINT AS code
