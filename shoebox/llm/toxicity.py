@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.llm._common import cut, written
+
 #: Labelled rows that lexicon and curve are fitted on, at most; taken by the hash of their text.
 SAMPLE = 24_000
 #: Terms and exception phrases of the lexicon, at most.
@@ -147,16 +149,26 @@ def _closed(found: pd.DataFrame) -> list[str]:
     return list(kept)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = (), text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """A lexicon learned from at most ``sample`` rows of ``labelled``; rows with a null text or label are left out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``text``, ``toxic`` of at most ``sample`` labels, by the hash of their ids, and the rows with those ids.
+
+    The ids are chosen before texts are read, so only the sample's texts are kept; its ids are few enough to be
+    broadcast.  Rows with a null text or label are left out; of several labels of an id all count.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
+    known = cut(known.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample))
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text")).where("text is not null")
+    return written(rows.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "toxic"))
+
+
+def fit(rows: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon learned from a bounded sample of rows with ``text`` and ``toxic``, as ``labelled_sample`` gives them.
 
     Term counts are grouped by Spark; terms that reach the driver are at most TERMS, and the curve is fitted on
     two numbers a sample row.  Exception phrases are ``exceptions`` and learned ones: a term with the word before
     or after it, where the sample has the phrase in at least three other texts and in more of those than in
     toxic ones.  Without toxic rows the lexicon is empty.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
-    rows = rows.orderBy(F.xxhash64("text"), "text", "toxic").limit(sample)
     total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     fixed = tuple(fold(e) for e in exceptions if fold(e).strip())
@@ -241,6 +253,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` has ``doc_id`` and ``toxic``; several labels of one id count as so many rows.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), "toxic").where(~held_out("_id"))
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, F.col("doc_id") == F.col("_id"))
-    return score(docs, fit(labelled.select("text", "toxic")))
+    known = labels.select("doc_id", "toxic").where(~held_out("doc_id"))
+    return score(docs, fit(labelled_sample(docs, known)))
