@@ -1,0 +1,110 @@
+"""Jobs one after another: the driver-side runner that starts Spark work, with its log in the store."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import functions as F
+
+from shoebox.operators.restructure import interrupted
+from shoebox.plans.store import Store
+
+Handler = Callable[["Job"], None]
+
+
+class Cancelled(Exception):
+    """The job was cancelled at a checkpoint."""
+
+
+class Job:
+    """What a handler sees of its job."""
+
+    def __init__(self, runner: Runner, job_id: str, kind: str, params: dict[str, Any]):
+        self.runner, self.id, self.kind, self.params = runner, job_id, kind, params
+
+    def progress(self, done: int, total: int) -> None:
+        """Note progress; a place where a cancelled job ends and a paused one is put back."""
+        self.runner._note(self.id, progress=done, total=total)
+        if self.id in self.runner.cancelled:
+            raise Cancelled(self.id)
+        if self.id in self.runner.paused:
+            raise Paused(self.id)
+
+
+class Paused(Exception):
+    """The job was paused at a checkpoint; resumed, its handler runs again and goes on from what it has stored."""
+
+
+class Runner:
+    """Runs queued jobs in order; every change is a row of the job table, so a new runner can take up where one stopped."""
+
+    def __init__(self, store: Store):
+        self.store, self.spark = store, store.spark
+        self.handlers: dict[str, Handler] = {}
+        self.cancelled: set[str] = set()
+        self.paused: set[str] = set()
+        self.queue: list[tuple[str, str, dict[str, Any]]] = []
+
+    def register(self, kind: str, handler: Handler) -> None:
+        self.handlers[kind] = handler
+
+    def _note(self, job_id: str, **values: Any) -> None:
+        self.store.patch("job", F.col("id") == job_id, updated_at=F.current_timestamp(), **values)
+
+    def enqueue(self, kind: str, **params: Any) -> str:
+        n = self.store.read("job").count() + 1
+        job_id = f"job-{n:06d}"
+        row = self.spark.range(1).select(F.lit(job_id).alias("id"), F.lit(kind).alias("kind"), F.lit("queued").alias("status"), F.lit(0).alias("progress"), F.lit(0).alias("total"), F.lit(True).alias("resumable"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
+        self.store.put("app_settings", self.spark.range(1).select(F.lit(f"params:{job_id}").alias("key"), F.lit(json.dumps(params)).alias("value")))
+        self.store.put("job", row)
+        self.queue.append((job_id, kind, params))
+        return job_id
+
+    def pause(self, job_id: str) -> None:
+        self.paused.add(job_id)
+
+    def cancel(self, job_id: str) -> None:
+        self.cancelled.add(job_id)
+
+    def resume(self, job_id: str) -> None:
+        self.paused.discard(job_id)
+        self._queue_again(self.store.read("job").where(F.col("id") == job_id))
+
+    def recover(self) -> list[str]:
+        """Queue again what was running, queued or paused when the last runner stopped, in that order."""
+        rows = interrupted(self.store.read("job"))
+        return self._queue_again(rows)
+
+    def _queue_again(self, rows) -> list[str]:  # noqa: ANN001
+        params = self.store.read("app_settings").select(F.regexp_replace("key", "^params:", "").alias("id"), "value")
+        out = []
+        for r in rows.join(params, "id", "left").orderBy(*[c for c in ("rank", "seq") if c in rows.columns]).collect():  # a handful of jobs
+            self._note(r["id"], status="queued")
+            self.queue.append((r["id"], r["kind"], json.loads(r["value"] or "{}")))
+            out.append(r["id"])
+        return out
+
+    def run(self) -> None:
+        """Work off the queue; jobs that handlers enqueue run after those before them."""
+        while self.queue:
+            job_id, kind, params = self.queue.pop(0)
+            if job_id in self.cancelled:
+                self._note(job_id, status="failed", error="cancelled")
+                continue
+            if job_id in self.paused:
+                self._note(job_id, status="paused")
+                continue
+            self._note(job_id, status="running")
+            try:
+                if kind not in self.handlers:
+                    raise LookupError(f"no handler for {kind}")
+                self.handlers[kind](Job(self, job_id, kind, params))
+                self._note(job_id, status="done")
+            except Paused:
+                self._note(job_id, status="paused")
+            except Cancelled:
+                self._note(job_id, status="failed", error="cancelled")
+            except Exception as e:  # noqa: BLE001  a failed job does not stop the queue
+                self._note(job_id, status="failed", error=str(e)[:500])
