@@ -44,6 +44,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column of ``df`` has."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def size_bucket(rows: int, *cols: Column) -> Column:
     """A hash bucket so that ``rows`` rows give about BUCKET_ROWS a bucket, whatever the skew of any key."""
     return F.pmod(F.xxhash64(*cols), F.lit(max(1, -(-rows // BUCKET_ROWS))).cast("long"))

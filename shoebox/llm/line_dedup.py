@@ -7,17 +7,20 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm._common import written
+from shoebox.llm._common import cut, written
 from shoebox.llm.wordhash import WORD_TABLE, blocks, hashed, mix
 
 SIMILAR = 0.8
 #: Counters of the token sketch: its size is fixed, whatever the vocabulary (at most this many rows reach the driver).
-COUNTERS = 1 << 17
+COUNTERS = 1 << 16
 #: Lines before it in a token's group that a line is compared with at once; lines further on that stay unmatched are joined.
 BEFORE = 48
+#: Bits of the filter of keys that met another: 16 MB, whatever their number.
+KEY_BITS = 27
 #: Line breaks become this word-parting byte, so that lines can be told after all else has become a space.
 _LINES = bytes(10 if b == 10 else WORD_TABLE[b] for b in range(256))
 
@@ -64,37 +67,61 @@ def least_overlap(a: np.ndarray, b: np.ndarray, similar: Fraction) -> np.ndarray
     return -((-p * (a + b)) // (p + q))
 
 
+def _sorted_tokens(token: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each line in order of rarity, as numbers (rank of its counter, 31 bits of its hash), and each one's line."""
+    low = np.uint64(31)
+    number = rank[_slot(token)] << low | token >> np.uint64(33)
+    if n_lines <= 1 << 17:  # line and number fit one word, and sorting words is cheap
+        whole = np.sort(line.astype(np.uint64) << np.uint64(47) | number)
+        whole = whole[np.append(True, whole[1:] != whole[:-1])] if len(whole) else whole
+        return whole & np.uint64((1 << 47) - 1), (whole >> np.uint64(47)).astype(np.int64)
+    by = np.lexsort((number, line))
+    number, line = number[by], line[by]
+    new = np.ones(len(number), bool)
+    new[1:] = (number[1:] != number[:-1]) | (line[1:] != line[:-1])
+    return number[new], line[new]
+
+
 def _numbered(counts: np.ndarray, spark: SparkSession):
-    """Numbers each row's lines; gives a line's token set a key and its tokens in order of rarity."""
-    shared = spark.sparkContext.broadcast(counts)
+    """Numbers each row's lines; gives a line's token set a key, a parity word and its tokens in order of rarity.
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, _, encoded in blocks(pdf["text"].tolist()):
+    Bit i of the parity word is whether an odd number of tokens fall on i, so two sets differ in at least as many
+    tokens as their words do in bits.
+    """
+    rank = np.empty(COUNTERS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS, dtype=np.uint64)
+    shared = spark.sparkContext.broadcast(rank)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, doc_id = batch.column("row"), batch.column("doc_id")
+            for a, _, encoded in blocks(batch.column("text").to_pylist()):
                 token, line, first_line = _tokens(encoded)
-                by = np.lexsort((token, shared.value[_slot(token)], line))
-                token, line = token[by], line[by]
-                new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-                token, line = token[new], line[new]
                 n_lines = int(first_line[-1])
+                number, line = _sorted_tokens(token, line, n_lines, shared.value)
                 at = np.searchsorted(line, np.arange(n_lines + 1))
                 size = np.diff(at)
-                total = np.zeros(len(token) + 1, np.uint64)
-                np.cumsum(mix(token), out=total[1:])
+                spread = mix(number)
+                total = np.zeros(len(number) + 1, np.uint64)
+                np.cumsum(spread, out=total[1:])
                 key = mix((total[at[1:]] - total[at[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40)))
                 text = np.searchsorted(first_line, np.arange(n_lines), side="right") - 1
-                small = (token >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pd.DataFrame({
-                    "row": pdf["row"].to_numpy()[a + text], "doc_id": pdf["doc_id"].to_numpy()[a + text], "line": np.arange(n_lines) - first_line[text],
-                    "key": key.view(np.int64), "n": size, "tokens": [small[x:y] for x, y in zip(at[:-1], at[1:], strict=True)],
-                })
+                small = (spread >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                parity = np.zeros(n_lines, np.int32)
+                some = np.flatnonzero(size)
+                if len(some):
+                    parity[some] = np.bitwise_xor.reduceat(np.uint32(1) << (spread & np.uint64(31)).astype(np.uint32), at[:-1][some]).view(np.int32)
+                take = pa.array(a + text)
+                yield pa.RecordBatch.from_arrays(
+                    [row.take(take), doc_id.take(take), pa.array((np.arange(n_lines) - first_line[text]).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(parity), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(small))],
+                    ["row", "doc_id", "line", "key", "n", "parity", "tokens"],
+                )
 
     return lines
 
 
 def _candidates(similar: Fraction):
-    """Pairs of line keys that share a prefix token and pass the length and positional filters.
+    """Pairs of line keys that share a prefix token and pass the length, positional and parity filters.
 
     Rows come sorted by token and size.  A row is compared with the BEFORE rows ahead of it in its token's
     group; rows of larger groups are marked as well (``b`` null, with the token).
@@ -105,7 +132,7 @@ def _candidates(similar: Fraction):
         for pdf in batches:
             behind = 0 if held is None else len(held)
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            token, key, n, pos = (pdf[c].to_numpy() for c in ("token", "key", "n", "pos"))
+            token, key, n, pos, parity = (pdf[c].to_numpy() for c in ("token", "key", "n", "pos", "parity"))
             begins = np.concatenate([[True], token[1:] != token[:-1]])
             place = np.arange(len(token)) - np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
             out_a, out_b = [], []
@@ -115,6 +142,7 @@ def _candidates(similar: Fraction):
                 j = i - o
                 need = least_overlap(n[i], n[j], similar)
                 good = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[j] >= need) & (key[i] != key[j])
+                good &= np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * need
                 out_a.append(key[i[good]])
                 out_b.append(key[j[good]])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -140,25 +168,27 @@ def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
     sketch = d.select("text").mapInPandas(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(COUNTERS, np.int64)
     counts[sketch["slot"]] = sketch["n"]
-    lines = written(d.mapInPandas(_numbered(counts, spark), "row long, doc_id long, line int, key long, n int, tokens array<int>"))
+    lines = written(d.mapInArrow(_numbered(counts, spark), "row long, doc_id long, line int, key long, n int, parity int, tokens array<int>"))
     place = F.struct("doc_id", "row", "line")
     full = lines.where("n > 0")
-    distinct = full.where("n >= 4").groupBy("key").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    # sets of less than 4 tokens are only similar to equal ones
+    # similar sets share one of their first tokens; sets of less than 4 tokens are only similar to equal ones
     length = (F.col("n") - F.ceil(F.lit(p.numerator) * F.col("n") / F.lit(p.denominator)) + 1).cast("int")
-    prefix = distinct.select("key", "n", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("pos", "token"))
+    heads = full.where("n >= 4").select("key", "n", "parity", F.slice("tokens", F.lit(1), length).alias("prefix"))
+    distinct = heads.groupBy("key", "n", "parity").agg(F.first("prefix").alias("prefix"))
+    prefix = distinct.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
     sorted_ = prefix.repartition("token").sortWithinPartitions("token", "n", "key")
     met = written(sorted_.mapInPandas(_candidates(p), "a long, b long, token int"))
-    near = _verified(met.where("b is not null").select("a", "b").distinct(), distinct, p)
+    near = _verified(met.where("b is not null").select("a", "b").distinct(), lines, p)
     large = met.where("b is null").select(F.col("a").alias("key"), "token").distinct()
     if not large.isEmpty():
         near = written(near)
         mine = large.join(near.select("key"), "key", "left_anti").select(F.col("key").alias("mine"), "token")
-        rest = mine.join(prefix.select("token", "key", "n", "pos"), "token").where("mine <> key")
-        own = prefix.select(F.col("key").alias("mine"), "token", F.col("n").alias("m"), F.col("pos").alias("at"))
+        rest = mine.join(prefix.select("token", "key", "n", "pos", "parity"), "token").where("mine <> key")
+        own = prefix.select(F.col("key").alias("mine"), "token", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("parity").alias("odd"))
         need = F.ceil(F.lit(p.numerator) * (F.col("n") + F.col("m")) / F.lit(p.numerator + p.denominator))
         rest = rest.join(own.join(mine, ["mine", "token"], "left_semi"), ["mine", "token"]).where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need)
-        near = near.unionByName(_verified(rest.select(F.col("mine").alias("a"), F.col("key").alias("b")).distinct(), distinct, p)).distinct()
+        rest = rest.where(F.bit_count(F.col("parity").bitwiseXOR(F.col("odd"))) <= F.col("n") + F.col("m") - 2 * need)
+        near = near.unionByName(_verified(rest.select(F.col("mine").alias("a"), F.col("key").alias("b")).distinct(), lines, p)).distinct()
     first = full.groupBy("key").agg(F.min(place).alias("first"))
     decided = first.join(near.select(F.col("key").alias("_near")), F.col("key") == F.col("_near"), "left").select(F.col("key").alias("_key"), "first", F.col("_near").isNotNull().alias("near"))
     light = lines.select("row", "doc_id", "line", "key", "n")
@@ -169,9 +199,48 @@ def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
     return found.unionByName(blank)
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, p: Fraction) -> DataFrame:
+def _members(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of a set of keys, one a key: ``key``, ``first``, ``tokens``.
+
+    Token sets are large and most lines meet no other, so lines are filtered by a bitmap of the keys first (of
+    fixed size; a full one filters nothing) and only what passes is shuffled; the join with them is exact.
+    """
+    spark = lines.sparkSession
+    part = 1 << 13
+
+    def set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((1 << KEY_BITS) // 8, np.uint8)  # one a task
+        for pdf in batches:
+            at = pdf["key"].to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)
+            np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        for q in np.flatnonzero(held.reshape(-1, part).any(axis=1)):
+            yield pd.DataFrame({"part": [int(q)], "bits": [held[q * part : (q + 1) * part].tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()])
+
+    held = np.zeros((1 << KEY_BITS) // 8, np.uint8)
+    parts = keys.repartition("key").mapInPandas(set_bits, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
+    for r in parts.toLocalIterator():
+        held[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(held)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - KEY_BITS)
+            bit = shared.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1
+            yield batch.filter(pa.array(bit.astype(bool)))
+
+    columns = lines.where("n >= 4").select("key", "doc_id", "row", "line", "tokens")
+    some = columns.mapInArrow(passed, columns.schema)
+    return some.groupBy("key").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.first("tokens").alias("tokens"))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, p: Fraction) -> DataFrame:
     """``key`` of the later line of each pair whose token sets are similar enough."""
-    side = lambda k: distinct.select(F.col("key").alias(f"_{k}"), F.col("first").alias(f"first_{k}"), F.col("tokens").alias(f"tokens_{k}"))
+    pairs = cut(pairs)
+    members = _members(pairs.select(F.explode(F.array("a", "b")).alias("key")), lines)
+    side = lambda k: members.select(F.col("key").alias(f"_{k}"), F.col("first").alias(f"first_{k}"), F.col("tokens").alias(f"tokens_{k}"))
     both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - common
@@ -191,7 +260,8 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     The order of rarity comes from counts over all texts in a sketch of fixed size: any order gives the same
     result.  Equal sets are brought to one row first.  Prefix tokens meet by shuffle; in a token's group a line
     is compared with a bounded number of neighbours in size, and lines of larger groups that found no match
-    there are joined with the whole group.  Tokens are told apart by 32 bits of their hash, sets by 64.
+    there are joined with the whole group.  Tokens are told apart by 32 bits of their hash when
+    sets are compared, sets by 64.
 
     Lines without words are never removed; a null text is one such line; a null id sorts first; repeated rows
     are later rows; an empty table gives an empty one; other columns are not read.

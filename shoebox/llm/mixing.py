@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoebox.llm._common import cut, size_bucket
+from shoebox.llm._common import cut, fresh, size_bucket
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 20240607
 #: Words in a block at most; small mixes use smaller blocks, so that every target holds a thousand of them.
@@ -87,13 +87,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     d = docs.select(key[0].alias("doc_id"), key[1].alias("source"), key[2].alias("md5"), n_words(F.col(text_col)).alias("size"))
     taken = _take(d, weights, share, most, block, seed)
     times = taken.groupBy("doc_id", "source", "md5").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("times"))
-    times = times.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("md5").alias("_md5"), "times").alias("times")
-    names = [F.col(f"docs.`{c}`") for c in docs.columns]
-    kept = docs.withColumns({"_id": key[0], "_source": key[1], "_md5": key[2]}).alias("docs")
-    found = kept.join(times, [F.col(f"docs.{c}").eqNullSafe(F.col(f"times.{c}")) for c in ("_id", "_source", "_md5")])
-    found = found.select(*names, F.col("docs._id").alias("_id"), F.col("docs._source").alias("_source"), F.col("docs._md5").alias("_md5"), F.col("times.times").alias("_times"))
-    found = found.dropDuplicates(["_id", "_source", "_md5"])
-    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, theirs = fresh(docs, "_id", "_source", "_md5"), fresh(docs, "_taken_id", "_taken_source", "_taken_md5")
+    n, (once,) = fresh(docs, "_times")[0], fresh(docs, "_time")
+    times = times.where("times > 0").select(*[F.col(c).alias(t) for c, t in zip(("doc_id", "source", "md5"), theirs, strict=True)], F.col("times").alias(n))
+    found = docs.withColumns(dict(zip(own, key, strict=True))).join(times, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, theirs, strict=True)])
+    found = found.dropDuplicates(own).drop(*own, *theirs)
+    return found.withColumn(once, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, once)
 
 
 def _take(d: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int, seed: int) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm._common import cut
+from shoebox.llm._common import cut, fresh
 from shoebox.llm.graph import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -92,7 +92,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_md5")).alias("first")
     distinct = cut(fingerprints(docs, id_col, text_col).groupBy("fp").agg(first))
-    kept = _grouped(distinct, radius).groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_md5").alias("kept")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_md5": F.md5(text_col)}).alias("docs")
-    found = keyed.join(kept, F.col("docs._id").eqNullSafe(F.col("kept.doc_id")) & F.col("docs._md5").eqNullSafe(F.col("kept.text_md5")), "left_semi")
-    return found.dropDuplicates(["_id", "_md5"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = _grouped(distinct, radius).groupBy("component").agg(F.min("first").alias("first"))
+    i, m, k, h = fresh(docs, "_id", "_md5", "_kept_id", "_kept_md5")
+    kept = kept.select(F.col("first.doc_id").alias(k), F.col("first.text_md5").alias(h))
+    keyed = docs.withColumns({i: F.col(id_col).cast("long"), m: F.md5(text_col)})
+    found = keyed.join(kept, F.col(i).eqNullSafe(F.col(k)) & F.col(m).eqNullSafe(F.col(h)), "left_semi")
+    return found.dropDuplicates([i, m]).drop(i, m)

@@ -1,0 +1,393 @@
+"""Each operator against a brute-force version or an exact property, and its edge cases, on small tables."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from shoebox.llm import decontaminate, graph, hamming_topk, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity, wordhash
+
+WORDS = [a + b + c for a in "ba ko mi ru se ta".split() for b in "la no vi".split() for c in "x zu de".split()]
+DOCS = "doc_id long, text string, lang string, source string, size int, _id string, row int"
+
+
+def prose(rnd, n):
+    return " ".join(rnd.choice(WORDS) for _ in range(n))
+
+
+def docs(spark, rows):
+    """Documents with columns whose names clash with inner ones."""
+    full = [(i, t, "en", s, 7, "x", 1) for i, t, s in [r if len(r) == 3 else (*r, "s") for r in rows]]
+    return spark.createDataFrame(full, DOCS).repartition(3)
+
+
+ODD = [(None, "a null id"), (1, None), (2, ""), (3, "  \n\t "), (4, "word"), (5, "same text twice"), (5, "same text twice"), (6, "same text twice"), (7, "é" * 50), (8, "long " * 3000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs(spark, ODD).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return docs(spark, [])
+
+
+# ---- 1
+
+
+def test_passages_find_what_repeats_and_leave_the_rest(spark):
+    rnd = random.Random(1)
+    text = {i: prose(rnd, 150).split() for i in range(12)}
+    shared = prose(rnd, 55).split()
+    for i in (2, 5, 9):
+        text[i][40:40] = shared
+    fuzzy = list(shared)
+    fuzzy[10], fuzzy[40] = "edited", "edited"
+    text[7][90:90] = fuzzy
+    rows = [(i, " ".join(w)) for i, w in text.items()] + [(20, " ".join(text[3])), (21, None), (22, ""), (None, " ".join(text[3]))]
+    d = docs(spark, rows)
+    found = substring_dedup.passages(d).collect()
+    assert {r["doc_id"] for r in found} == {5, 7, 9, 20}
+    by = dict(rows)
+    for r in found:
+        a, b = by[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode(), by[r["other_id"]].encode()[r["other_start"] : r["other_end"]].decode()
+        assert r["similarity"] >= 0.8 and (a == b or r["doc_id"] == 7 or r["other_id"] == 7)
+        assert a.split()[0] == (text[3] if r["doc_id"] == 20 else shared)[0] and abs(len(a.split()) - r["n_words"]) == 0
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(d, substring_dedup.passages(d)).collect()}
+    assert left[20].split() == [] and " ".join(shared) not in left[9] and left[2] == by[2]
+
+
+def test_chain_is_the_best_of_all_chains():
+    import numpy as np
+
+    rnd = random.Random(2)
+    for _ in range(30):
+        m = rnd.randrange(2, 8)
+        part = sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(m)})
+        l, e, n = np.array([p[0] for p in part]), np.array([p[1] for p in part]), np.full(len(part), 5)
+        got = substring_dedup.chain(l, e, n)
+        assert sorted(i for c in got for i in c) == list(range(len(part)))
+        for c in got:
+            assert all(l[b] >= l[a] + 5 and e[b] >= e[a] + 5 for a, b in zip(c, c[1:], strict=False))
+
+
+def test_passages_edges(odd, empty):
+    assert {r["doc_id"] for r in substring_dedup.passages(odd).collect()} <= {5, 6, 8} and substring_dedup.passages(empty).count() == 0
+
+
+# ---- 2
+
+
+def test_token_counts_are_the_librarys(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tricky = ["a<|endoftext|>b c", "<|start oftext|> x<|startoftext|>", " ́a\té b", "İstanbul ΣΑΣ it's we'll\x0b1 23 ٣\r\nx", "a b c", "###$$$ %%% don't"]
+    rows = ODD + [(100 + i, t) for i, t in enumerate(tricky)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.token_counts(docs(spark, rows), path).collect())
+    model = Tokenizer.from_file(path)
+    n = [len(x.ids) for x in model.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+    assert got == Counter((i, len((t or "").encode()), k, k > 2048) for (i, t), k in zip(rows, n, strict=True))
+    assert token_counts.token_counts(empty, path).count() == 0
+    piece = token_counts.token_counts(docs(spark, [(1, "Hello world"), (2, None)]), public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()
+    assert piece[0]["n_tokens"] > 0 and piece[1]["n_tokens"] == 0
+
+
+# ---- 3
+
+
+def shingle_set(text):
+    w = re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+
+def test_contained_against_brute_force(spark, odd, empty):
+    rnd = random.Random(3)
+    items = [(i, prose(rnd, rnd.choice([3, 6, 12, 30, 70]))) for i in range(40)] + [(90, ""), (91, None), (92, "same text twice")]
+    items.append((99, items[5][1]))
+    rows = list(ODD)
+    for i in range(60):
+        w = prose(rnd, rnd.choice([20, 200, 900])).split()
+        if i % 2:
+            piece = items[i % 40][1].upper().split() if i % 4 == 1 else items[i % 40][1].split()
+            if i % 3 == 0 and len(piece) > 20:
+                piece[len(piece) // 2] = "edited"
+            at = rnd.randrange(len(w))
+            w[at:at] = [p + "," for p in piece]
+        rows.append((100 + i, " ".join(w)))
+    first = {}
+    for i, t in items:
+        if shingle_set(t):
+            first.setdefault(frozenset(shingle_set(t)), i)
+    want = Counter((d, i) for d, t in rows for s, i in first.items() if len(s & shingle_set(t)) / len(s) >= 0.8)
+    it = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    found = decontaminate.contained(docs(spark, rows), it)
+    assert Counter((r["doc_id"], r["item_id"]) for r in found.collect()) == want and want
+    kept = decontaminate.decontaminated(docs(spark, rows), it)
+    bad = {d for d, _ in want}
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in rows if d not in bad) and kept.columns == odd.columns
+    assert decontaminate.contained(odd, it.limit(0)).count() == 0 and decontaminate.contained(empty, it).count() == 0
+
+
+# ---- 4
+
+
+def reference_targets(size):
+    names = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total, target, free = 1.5 * sum(size.values()), {}, set(names)
+    while free:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * size[s] + 1e-9}
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        free -= over
+    return target
+
+
+def test_mix(spark, odd, empty):
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, rnd.choice([0, 5, 40, 400])) or None, rnd.choice(["a", "b", "b", "b", "b", "c", None, "ü", "d"])) for i in range(600)]
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    want = reference_targets(size)
+    once, again = (sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()), key=repr) for _ in range(2))
+    assert once == again and len(once) == len(rows)
+    taken = Counter()
+    for _, s, n, total, target, k in once:
+        taken[s] += k
+        assert total == size[s] and abs(target - want[s]) < 1e-6 * max(1, want[s]) and 0 <= k <= 2 * n
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 2 for s in want)
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
+    kept = mixing.mixed(docs(spark, rows))
+    assert kept.columns == odd.columns and max(Counter(r["doc_id"] for r in kept.collect()).values()) == 2
+
+
+def test_sainte_lague_against_the_loop(spark):
+    rnd = random.Random(5)
+    for seats in (0, 1, 7, 100):
+        votes = {i: rnd.choice([0, 1, 10, 333, 1000]) + rnd.random() for i in range(8)}
+        won = Counter()
+        for _ in range(seats):
+            won[max(votes, key=lambda s: votes[s] / (2 * won[s] + 1))] += 1
+        df = spark.createDataFrame([(i, v, seats) for i, v in votes.items()], "k int, v double, seats long")
+        got = {r["k"]: r["n"] for r in mixing.sainte_lague(df, [], ["k"], "v", "seats", "n").collect()}
+        assert got == {i: won[i] for i in votes}
+
+
+# ---- 5
+
+
+def test_toxicity(spark, odd, empty):
+    rnd = random.Random(6)
+    bad = ["scumbag", "idiotic"]
+    rows, labels = [], []
+    for i in range(900):
+        w = prose(rnd, rnd.choice([30, 200])).split()
+        y = i % 3 == 0
+        for _ in range(3 * y):
+            b = rnd.choice(bad)
+            w[rnd.randrange(len(w))] = rnd.choice([b, b.upper(), b.replace("i", "1").replace("o", "0"), b.replace("c", "с"), "ｓ" + b[1:] if b[0] == "s" else b])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(y)))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs(spark, rows), lab).collect()}
+    held = [i for i in range(900) if got[i]["held_out"]]
+    assert 200 < len(held) < 400 and all(got[i]["predicted"] == dict(labels)[i] for i in held)
+    out = toxicity.toxicity(odd, lab).collect()
+    assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
+    assert toxicity.toxicity(empty, lab).count() == 0 and toxicity.toxicity(odd, lab.limit(0)).count() == len(ODD)
+
+
+def test_folding_and_exceptions():
+    assert toxicity.fold("W0RTHLE$S, ｉｄｉｏｔ! $$$ сlоwn é") == " worthless idiot clown e "
+    lex = toxicity.Lexicon({" idiot ": 2.0, " scum": 1.0}, (" useful idiot ",), (0.0, 0.0, 0.0))
+    terms = lex.automaton()
+    assert toxicity._matched(" useful idiot scummy idiot ", terms) == (3.0, 4)
+
+
+# ---- 6
+
+
+def test_shards(spark, odd, empty):
+    rnd = random.Random(7)
+    texts = [prose(rnd, 5) for _ in range(500)]
+    rows = [(i, texts[rnd.randrange(500)] if i % 3 else "one hot text") for i in range(1500)]
+    got = sharding.shard(docs(spark, rows)).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(24)) and max(counts.values()) - min(counts.values()) <= 1
+    for s in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+    text = dict(rows)
+    where = {}
+    for r in got:
+        where.setdefault(text[r["doc_id"]], Counter())[r["shard"]] += 1
+        assert r["size"] == len(text[r["doc_id"]]) + 8 and r["law"] == "rows" and r["grown_shard"] is None
+    hot = where.pop("one hot text")
+    assert sum(len(c) == 1 for c in where.values()) > 0.97 * len(where) and len(hot) <= 16
+    out = sharding.shard(odd).collect()
+    assert len(out) == len(ODD) and sorted(r["size"] for r in out)[0] == 8 and sharding.shard(empty).count() == 0
+
+
+# ---- 7
+
+
+def test_top_k_against_brute_force(spark):
+    rnd = random.Random(8)
+    codes = [rnd.getrandbits(64) for _ in range(300)] + [rnd.getrandbits(4) for _ in range(100)] + [5] * 300
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    df = spark.createDataFrame([(i, signed(c), "x") for i, c in enumerate(codes)] + [(None, 1, "x"), (9999, None, "x")], "id long, code long, distance string")
+    got = {}
+    for r in hamming_topk.top_k(df, df.where("id % 20 = 0"), 10, block=128, together=8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["neighbor_id"]))
+    for q in range(0, len(codes), 20):
+        want = sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, d, i) for k, (d, i) in enumerate(want)]
+    assert hamming_topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert hamming_topk.top_k(df.where("id < 3"), df.where("id < 3")).count() == 6
+    v = spark.createDataFrame([(1, [1.0, -1.0, None]), (2, None)], "vec_id long, embedding array<double>")
+    assert [(r["id"], r["code"]) for r in hamming_topk.sign_codes(v, "vec_id", "embedding").collect()] == [(1, 1), (2, 0)]
+
+
+# ---- 8
+
+
+def line_sets(rows):
+    out = []
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            w = re.findall(rb"[0-9a-z\x80-\xff]+", line.encode().lower())
+            out.append((i, k, frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset(w)))
+    return out
+
+
+def test_line_dedup_against_brute_force(spark, empty, monkeypatch):
+    rnd = random.Random(9)
+    base = [prose(rnd, rnd.choice([1, 2, 4, 8, 20, 60])) for _ in range(40)]
+    rows = [(-1, None), (-2, "")]
+    for i in range(90):
+        lines = []
+        for _ in range(rnd.randrange(1, 5)):
+            w = rnd.choice(base).split() if rnd.random() < 0.7 else base[3].split()
+            if rnd.random() < 0.5:
+                w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+            lines.append(rnd.choice(["", "!"]) + " ".join(w).upper())
+        rows.append((i, "\n".join(lines)))
+    want = {}
+    sets = sorted(line_sets(rows), key=lambda x: x[:2])
+    for n, (i, k, s) in enumerate(sets):
+        before = [b for _, _, b in sets[:n] if b] if s else []
+        kind = "exact" if s in before else "near" if any(5 * len(s & b) >= 4 * len(s | b) for b in before) else None
+        want.setdefault(i, []).append((k, kind))
+    for limit in (48, 2):
+        monkeypatch.setattr(line_dedup, "BEFORE", limit)
+        got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+        for i, lines in want.items():
+            assert got[i]["removed"] == [k for k, kind in lines if kind], (i, limit)
+            assert (got[i]["n_lines"], got[i]["n_exact"], got[i]["n_near"]) == (len(lines), sum(x == "exact" for _, x in lines), sum(x == "near" for _, x in lines))
+    assert line_dedup.dedup_lines(empty).count() == 0
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(docs(spark, [(1, "a b c\nd e f"), (2, "a b c\nnew one"), (3, "A B c")])).collect()}
+    assert kept == {1: "a b c\nd e f", 2: "new one", 3: ""}
+
+
+# ---- 9
+
+
+def slow_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    runs = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(r, seed=42) for r in runs]
+    return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+
+
+def test_near_duplicates_against_brute_force(spark, odd, empty):
+    rnd = random.Random(10)
+    rows = list(ODD)
+    for i in range(40):
+        w = prose(rnd, 300).split()
+        rows.append((100 + i, " ".join(w)))
+        for j in range(rnd.randrange(3)):
+            w[rnd.randrange(300)] = "edit"
+            rows.append((1000 + 10 * i + j, " ".join(w)))
+    fp = [slow_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
+                root[find(a)] = find(b)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(x)] = min(least.get(find(x), i), i)
+    want = Counter((i, f"{fp[x]:016x}", least.get(find(x))) for x, (i, _) in enumerate(rows))
+    assert Counter(map(tuple, simhash_dedup.near_duplicates(docs(spark, rows)).collect())) == want
+    kept = simhash_dedup.deduplicated(docs(spark, rows))
+    assert kept.count() == len({find(x) for x in range(len(rows))}) and kept.columns == odd.columns
+    assert simhash_dedup.near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(50)] + [(100, 100), (None, 3), (200, 300), (300, 200)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "a int, b int")).collect()}
+    assert got == {i: 0 for i in range(51)} | {200: 200, 300: 200}
+    assert graph.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+# ---- 10
+
+
+def test_languages(spark, empty):
+    d, p = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "pages"))
+    model = language_id.fit(d, 100)
+    rows = d.where(F.xxhash64("text") > 0).select(F.col("doc_id").alias("row"), "text", F.lit(None).cast("string").alias("declared"), F.lit("a.example.org").alias("host"))
+    right = language_id.identify(rows, *model).join(d, F.col("row") == F.col("doc_id")).agg(F.avg((F.col("language") == F.col("lang")).cast("int"))).first()[0]
+    assert right > 0.97
+    got = language_id.page_languages(p, d)
+    parts = language_id.page_parts(p)
+    assert got.join(parts, F.col("page_id") == F.col("row")).agg(F.avg((F.col("language") == F.col("declared")).cast("int"))).first()[0] > 0.97
+    odd = spark.createDataFrame([(1, None, None, 1), (2, "", "", 1), (3, "http://x.org/", "<html lang=fr><p>123 ...</p>", 1), (3, "http://x.org/", "<html lang=fr>", 1)], "page_id long, url string, html string, row int")
+    assert [(r["page_id"], r["language"], r["probability"]) for r in language_id.page_languages(odd, d).orderBy("page_id").collect()] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0), (3, "und", 0.0)]
+    assert language_id.page_languages(odd.limit(0), d).count() == 0
+    assert {r["language"] for r in language_id.page_languages(p, d.limit(0)).collect()} == {"und"}
+
+
+def test_declared_language_and_host_decide_where_the_text_does_not(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(d, 100)
+    plain = d.where("lang in ('de', 'en')").select(F.col("doc_id").alias("row"), "text", F.col("lang").alias("declared"), F.concat("lang", F.lit(".example.org")).alias("host"))
+    unclear = spark.createDataFrame([(-1, "in", "de", "de.example.org"), (-2, "in", "en", "en.example.org")], "row long, text string, declared string, host string")
+    got = {r["row"]: r["language"] for r in language_id.identify(plain.unionByName(unclear), *model).where("row < 0").collect()}
+    assert got == {-1: "de", -2: "en"}
+
+
+def test_accepted_keeps_clean_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = spark.createDataFrame([(90001, "### 123 $$$", "en", "src0", 1), (90002, None, "en", "src0", 0), (90003, "", None, None, 0)], d.schema)
+    kept = language_id.accepted(d.unionByName(more))
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in d.select("doc_id").collect()}
+
+
+# ---- shared
+
+
+def test_word_hashes_tell_words_apart():
+    a, _, _, at = wordhash.hashed([b"One two, THREE", b"", b"two"])
+    assert at.tolist() == [0, 3, 3, 4] and a[1] == a[3] and len(set(a.tolist())) == 3
+    s, off = wordhash.shingles(a, at, 2)
+    assert off.tolist() == [0, 2, 2, 3] and math.prod(off) == 0
