@@ -142,7 +142,7 @@ def _candidates(similar: Fraction):
                 j = i - o
                 need = least_overlap(n[i], n[j], similar)
                 good = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[j] >= need) & (key[i] != key[j])
-                good &= np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * need
+                good &= np.bitwise_count((parity[i] ^ parity[j]).view(np.uint32)) <= n[i] + n[j] - 2 * need  # of signed numbers the magnitude's bits would count
                 out_a.append(key[i[good]])
                 out_b.append(key[j[good]])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -187,7 +187,7 @@ def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
         own = prefix.select(F.col("key").alias("mine"), "token", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("parity").alias("odd"))
         need = F.ceil(F.lit(p.numerator) * (F.col("n") + F.col("m")) / F.lit(p.numerator + p.denominator))
         rest = rest.join(own.join(mine, ["mine", "token"], "left_semi"), ["mine", "token"]).where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need)
-        rest = rest.where(F.bit_count(F.col("parity").bitwiseXOR(F.col("odd"))) <= F.col("n") + F.col("m") - 2 * need)
+        rest = rest.where(F.bit_count(F.col("parity").bitwiseXOR(F.col("odd")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= F.col("n") + F.col("m") - 2 * need)
         near = near.unionByName(_verified(rest.select(F.col("mine").alias("a"), F.col("key").alias("b")).distinct(), lines, p)).distinct()
     first = full.groupBy("key").agg(F.min(place).alias("first"))
     decided = first.join(near.select(F.col("key").alias("_near")), F.col("key") == F.col("_near"), "left").select(F.col("key").alias("_key"), "first", F.col("_near").isNotNull().alias("near"))
