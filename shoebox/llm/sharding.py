@@ -52,10 +52,11 @@ def propagate(votes: DataFrame, n_shards: int, capacity: int, rounds: int = ROUN
 def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` for each row of ``docs``.
 
-    Documents with equal texts (null texts too) are linked.  Every document begins in the shard of its hash;
+    Documents with equal texts (null texts too) are linked.  Documents begin in the shard of their hash;
     linked ones move towards their neighbours' shard by ``propagate``; then shards are made exactly even, the
     law being ``rows``: counts are at most one apart.  Unlinked documents go first where a shard is too full,
-    as moving them cuts no link; a group that fits in no shard is split over as few as its size asks for.
+    as moving them cuts no link.  A group larger than a quarter of a shard is several neighbourhoods, which begin
+    in a run of shards that they fill to about three quarters each.
     ``size`` is the text's UTF-8 bytes (null: none) plus 8, ``text_crc32`` its CRC-32 (null: 0), ``slot`` is
     gapless from 0 in each shard, ``grown_shard`` is null under this law.  Repeated rows are documents of their
     own; a null ``doc_id`` is a value like others; an empty table gives an empty one; other columns are not read.
@@ -71,7 +72,9 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, seed: i
     own = F.xxhash64(F.lit(seed), "doc_id", "text_key")
     d = d.join(groups, F.col("text_key") == F.col("_key"), "left").drop("_key")
     d = d.withColumn("anchor", F.when(F.col("parts").isNotNull(), F.concat_ws("-", "text_key", F.pmod(F.xxhash64(own), "parts"))))
-    d = cut(d.withColumn("shard", F.pmod(own, F.lit(n_shards)).cast("int")).drop("parts"))
+    # neighbourhoods of one large group begin beside each other, three quarters of a shard in each of a run of shards
+    run = F.xxhash64(F.lit(seed), "text_key") + F.floor(F.pmod(F.xxhash64(own), "parts") / (PART_OF_SHARD - 1))
+    d = cut(d.withColumn("shard", F.pmod(F.when(F.col("parts") > 1, run).otherwise(own), F.lit(n_shards)).cast("int")).drop("parts"))
     linked = d.where("anchor is not null")
     ends = propagate(linked.groupBy("anchor", "shard").agg(F.count("*").alias("n")), n_shards, max(1, capacity), rounds)
     ends = ends.select(F.col("anchor").alias("_anchor"), "target")
