@@ -124,17 +124,16 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, prior: float
     def drawn(s: Column, above: Column) -> Column:
         return F.zip_with(s, above, lambda a, b: (a + F.lit(prior) * b) / (of(s) + F.lit(prior)))
 
-    whole = cut(sums())
+    whole = F.array(*[F.lit(v or 0).cast("long") for v in d.agg(*parts).first()])  # one number a language
     everywhere = F.array(*[F.lit(1.0 / k)] * k)
-    x = d.crossJoin(F.broadcast(whole.withColumnRenamed("s", "s_all"))).withColumn("p", drawn(less(F.col("s_all")), everywhere)).drop("s_all")
+    x = d.withColumn("p", drawn(less(whole), everywhere))
     for level in (["suffix"], ["suffix", "domain"], ["suffix", "domain", "host"]):
         name = level[-1]
         own = sums(name).select(F.col(name).alias("_key"), "s")
         x = x.join(own, F.col(name) == F.col("_key")).withColumn("p", F.when(F.col("host") == "", F.col("p")).otherwise(drawn(less(F.col("s")), F.col("p")))).drop("s", "_key")
     tags = cut(sums("tag").select(F.col("tag").alias("_tag"), F.col("s").alias("t")))  # two letters or "?": 677 rows at most
-    tags = tags.crossJoin(F.broadcast(whole.withColumnRenamed("s", "t_all")))
     x = x.join(F.broadcast(tags), F.col("tag") == F.col("_tag"))
-    says = F.zip_with(less(F.col("t")), less(F.col("t_all")), lambda a, b: (a + F.lit(TAG_PRIOR / 100)) / (b + F.lit(TAG_PRIOR)))
+    says = F.zip_with(less(F.col("t")), less(whole), lambda a, b: (a + F.lit(TAG_PRIOR / 100)) / (b + F.lit(TAG_PRIOR)))
     logs = F.zip_with(F.zip_with("ll", "p", lambda a, b: a + F.log(b)), says, lambda a, b: a + F.log(b))
     x = x.withColumn("post", F.transform(_normal(logs), lambda v: F.round(v, 6)))
     names = F.array(*[F.lit(v) for v in [*langs, UNKNOWN]])
