@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from shoebox.llm._common import cut, written
 from shoebox.llm.wordhash import blocks
 
-#: Labelled rows that the text model is fitted on, at most; taken by the hash of their text.
-SAMPLE = 4000
+#: Labelled rows that the text model is fitted on, at most, taken by the hash of their text; and tasks that count them.
+SAMPLE, FIT_TASKS = 4000, 8
 BUCKETS_BITS = 15
 #: A text's evidence counts as that of this many trigrams at most, so that a long text cannot drown the rest.
 EVIDENCE = 60
@@ -45,10 +45,15 @@ def _trigrams(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and log-probabilities of hashed trigrams, a column a language; the last column is no language.
 
-    Fitted on at most ``sample`` labelled rows; rows with a null text or language are left out.
+    Fitted on at most ``sample`` labelled rows; rows with a null text or language are left out, equal texts of
+    one language count once.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.lower(F.substring(F.trim(F.col(lang_col)), 1, 2)).alias("lang")).where("text is not null and lang rlike '^[a-z]{2}$'")
-    rows = rows.orderBy(F.xxhash64("text"), "text", "lang").limit(sample)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # hashes are chosen before texts are kept, so that no task gathers the first texts of all tasks
+    last = rows.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    rows = rows.where(F.col("hash") <= F.lit(last).cast("long")).groupBy("hash", "lang").agg(F.min("text").alias("text"))
+    rows = written(rows.orderBy("hash", "lang").limit(sample).select("text", "lang").repartition(FIT_TASKS))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -127,10 +132,15 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, prior: float
     whole = F.array(*[F.lit(v or 0).cast("long") for v in d.agg(*parts).first()])  # one number a language
     everywhere = F.array(*[F.lit(1.0 / k)] * k)
     x = d.withColumn("p", drawn(less(whole), everywhere))
-    for level in (["suffix"], ["suffix", "domain"], ["suffix", "domain", "host"]):
-        name = level[-1]
-        own = sums(name).select(F.col(name).alias("_key"), "s")
-        x = x.join(own, F.col(name) == F.col("_key")).withColumn("p", F.when(F.col("host") == "", F.col("p")).otherwise(drawn(less(F.col("s")), F.col("p")))).drop("s", "_key")
+    # a host fixes its registered name and that its suffix, so all levels' sums come to a row by one join
+    hosts = cut(sums("suffix", "domain", "host"))
+    above = lambda level: hosts.groupBy(level).agg(F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s")).select(F.col(level).alias("_key"), F.col("s").alias(f"s_{level}"))
+    levels = hosts.withColumnRenamed("s", "s_host")
+    for level in ("suffix", "domain"):
+        levels = levels.join(above(level), F.col(level) == F.col("_key")).drop("_key")
+    x = x.join(levels.select(F.col("host").alias("_host"), "s_suffix", "s_domain", "s_host"), F.col("host") == F.col("_host"))
+    for level in ("suffix", "domain", "host"):
+        x = x.withColumn("p", F.when(F.col("host") == "", F.col("p")).otherwise(drawn(less(F.col(f"s_{level}")), F.col("p")))).drop(f"s_{level}")
     tags = cut(sums("tag").select(F.col("tag").alias("_tag"), F.col("s").alias("t")))  # two letters or "?": 677 rows at most
     x = x.join(F.broadcast(tags), F.col("tag") == F.col("_tag"))
     says = F.zip_with(less(F.col("t")), less(whole), lambda a, b: (a + F.lit(TAG_PRIOR / 100)) / (b + F.lit(TAG_PRIOR)))
