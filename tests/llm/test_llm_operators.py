@@ -64,6 +64,18 @@ def test_passages_find_what_repeats_and_leave_the_rest(spark):
     assert left[20].split() == [] and " ".join(shared) not in left[9] and left[2] == by[2]
 
 
+def test_passages_of_hot_seeds_that_neither_first_nor_last_holders_have_whole(spark):
+    rnd = random.Random(11)
+    own = lambda n: " ".join(f"{rnd.randrange(10**6)}x" for _ in range(n))
+    shared = own(60).split()
+    head, tail = " ".join(shared[:44]), " ".join(shared[16:])
+    around = lambda x: f"{own(50)} {x} {own(50)}"
+    many = [(i, around(head)) for i in [1, *range(100, 120)]] + [(i, around(tail)) for i in [2, *range(200, 220)]]
+    rows = [*many, (50, around(" ".join(shared))), (70, around(" ".join(shared)))]
+    found = substring_dedup.passages(docs(spark, rows)).collect()
+    assert {(r["doc_id"], r["other_id"], r["n_words"]) for r in found if r["n_words"] >= 60} == {(70, 50, 60)}
+
+
 def test_chain_is_the_best_of_all_chains():
     import numpy as np
 
