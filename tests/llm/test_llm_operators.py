@@ -76,6 +76,21 @@ def test_passages_of_hot_seeds_that_neither_first_nor_last_holders_have_whole(sp
     assert {(r["doc_id"], r["other_id"], r["n_words"]) for r in found if r["n_words"] >= 60} == {(70, 50, 60)}
 
 
+@pytest.mark.parametrize("similar", [0.8, 0.85, 0.9])
+def test_passages_are_found_down_to_the_similarity_claimed(spark, similar):
+    rnd = random.Random(12)
+    own = lambda n: [f"{rnd.randrange(10**5)}x" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        a = own(50)
+        b = list(a)
+        for k in rnd.sample(range(1, 49), round(50 * (1 - similar))):
+            b[k] = "edited"
+        rows += [(2 * i, " ".join(own(50) + a + own(50))), (2 * i + 1, " ".join(own(50) + b + own(50)))]
+    found = {r["doc_id"] for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    assert len(found) >= 57 and all(i % 2 for i in found)
+
+
 def test_chain_is_the_best_of_all_chains():
     import numpy as np
 
