@@ -91,6 +91,19 @@ def test_passages_are_found_down_to_the_similarity_claimed(spark, similar):
     assert len(found) >= 57 and all(i % 2 for i in found)
 
 
+def test_every_copy_inside_a_document_goes(spark):
+    rnd = random.Random(13)
+    own = lambda n: " ".join(f"{rnd.randrange(10**6)}x" for _ in range(n))
+    shared, line = own(60), own(7)
+    rest = [own(30) for _ in range(4)]
+    rows = [(1, f"{own(30)} {shared} {own(30)}"), (2, f"{rest[0]} {shared} {rest[1]} {shared} {rest[2]} {shared} {rest[3]}")]
+    rows += [(3, "word " * 500), (4, "word " * 1520), (5, f"{line}\n" * 40), (6, f"{line}\n" * 130)]
+    d = docs(spark, rows)
+    left = {r["doc_id"]: r["text"].split() for r in substring_dedup.without_passages(d, substring_dedup.passages(d)).collect()}
+    assert left[2] == " ".join(rest).split() and left[1] == rows[0][1].split() and len(left[3]) == 500 and len(left[5]) == 280
+    assert left[4] == [] and left[6] == []
+
+
 def test_chain_is_the_best_of_all_chains():
     import numpy as np
 
