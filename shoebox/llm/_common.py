@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows one window or prefix-sum bucket is meant to hold; the number of buckets grows with the data.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:

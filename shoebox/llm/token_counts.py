@@ -19,6 +19,10 @@ REMEMBERED = 400_000
 SAFE = re.compile("[ \t\n\r]+")
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def _white_space_is_safe(path: str) -> bool:
     """Whether the tokenizer file drops white space before its model and has no special string that holds any."""
     import json
@@ -61,7 +65,7 @@ class Counter:
         size = 0
         for t in texts:
             held.append(t)
-            size += len(t)
+            size += n_bytes(t)
             if size >= BATCH_BYTES:
                 yield from self.encode(held)
                 held, size = [], 0
@@ -80,16 +84,16 @@ class Counter:
         return [sum(map(known.__getitem__, p)) for p in pieces]
 
 
-def _balanced(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about four BATCH_BYTES each, so that one batch holds a few long texts or many short ones."""
+def _balanced(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about four BATCH_BYTES each, so that one batch holds a few long texts or many short ones."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > 4 * BATCH_BYTES:
+    for i, n in enumerate(sizes):
+        if size and size + n > 4 * BATCH_BYTES:
             yield first, i
             first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +112,7 @@ def token_counts(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, id_col
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts: list[int] = []
-            for a, b in _balanced(texts):
+            for a, b in _balanced(batch.column("n_bytes").to_pylist()):
                 counts += counter.counts(texts[a:b])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
