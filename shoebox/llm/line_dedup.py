@@ -8,44 +8,36 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm._common import cut, written
+from shoebox.llm._common import Scratch, written
 from shoebox.llm.wordhash import WORD_TABLE, blocks, hashed, mix
 
 SIMILAR = 0.8
 #: Counters of the token sketch: its size is fixed, whatever the vocabulary (at most this many rows reach the driver).
-COUNTERS = 1 << 16
-#: Lines before it in a token's group that a line is compared with at once; lines further on that stay unmatched are joined.
-BEFORE = 48
+COUNTERS = 1 << 17
+#: Sets of less tokens are similar to equal ones only.
+LEAST = 4
+#: Sets before it, in order of size, that a set is compared with in the group of a key; and the earlier sets of a group
+#: that pass the filters and are written for it.  What lies beyond is looked for by longer keys unless it has a match.
+BEFORE, WRITTEN = 768, 4
 #: Bits of the filter of keys that met another: 16 MB, whatever their number.
 KEY_BITS = 27
 #: Line breaks become this word-parting byte, so that lines can be told after all else has become a space.
 _LINES = bytes(10 if b == 10 else WORD_TABLE[b] for b in range(256))
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def _tokens(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block of texts: each token's hash and line (numbered through the block), and each text's first line.
-
-    A line's tokens are its pairs of neighbouring words, a line of one word has that word.
-    """
+    """Of a block of texts: each word's hash and line (numbered through the block), and each text's first line."""
     data = b"\n".join(encoded).translate(_LINES)
-    arr = np.frombuffer(data, np.uint8)
-    breaks = np.flatnonzero(arr == 10)
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     begins = np.zeros(len(encoded) + 1, np.int64)
     np.cumsum([len(b) + 1 for b in encoded], out=begins[1:])
     first_line = np.concatenate([[0], np.searchsorted(breaks, begins[1:-1] - 1) + 1, [len(breaks) + 1]])
     h, starts, _, _ = hashed([data.replace(b"\n", b" ")])
-    line = np.searchsorted(breaks, starts)
-    if not len(h):
-        return h, line, first_line
-    pair = np.flatnonzero(line[1:] == line[:-1])
-    n = np.bincount(line)
-    alone = np.flatnonzero(n[line] == 1)
-    token = np.concatenate([mix(h[pair] * np.uint64(0x9E3779B97F4A7C15) + h[pair + 1]), h[alone]])
-    of = np.concatenate([line[pair], line[alone]])
-    return token, of, first_line
+    return h, np.searchsorted(breaks, starts), first_line
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
@@ -67,151 +59,242 @@ def least_overlap(a: np.ndarray, b: np.ndarray, similar: Fraction) -> np.ndarray
     return -((-p * (a + b)) // (p + q))
 
 
-def _sorted_tokens(token: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of each line in order of rarity, as numbers (rank of its counter, 31 bits of its hash), and each one's line."""
-    low = np.uint64(31)
-    number = rank[_slot(token)] << low | token >> np.uint64(33)
-    if n_lines <= 1 << 17:  # line and number fit one word, and sorting words is cheap
-        whole = np.sort(line.astype(np.uint64) << np.uint64(47) | number)
-        whole = whole[np.append(True, whole[1:] != whole[:-1])] if len(whole) else whole
-        return whole & np.uint64((1 << 47) - 1), (whole >> np.uint64(47)).astype(np.int64)
-    by = np.lexsort((number, line))
-    number, line = number[by], line[by]
-    new = np.ones(len(number), bool)
-    new[1:] = (number[1:] != number[:-1]) | (line[1:] != line[:-1])
-    return number[new], line[new]
+def _sets(encoded: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of the lines of a block in order of rarity, where each line's begin, and each text's first line."""
+    token, line, first_line = _tokens(encoded)
+    n_lines = int(first_line[-1])
+    order = rank[_slot(token)].astype(np.uint64)
+    if n_lines <= 1 << 17:  # line, rank and the hash's upper bits fit one word
+        packed = line.astype(np.uint64) << np.uint64(47) | order << np.uint64(30) | token >> np.uint64(34)
+        by = np.argsort(packed)
+        t, packed = token[by], packed[by]
+        clash = bool(((packed[1:] == packed[:-1]) & (t[1:] != t[:-1])).any())
+    else:
+        clash = True
+    if clash:
+        by = np.lexsort((token, order, line))
+        t = token[by]
+    line = line[by]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (line[1:] != line[:-1])
+    t, line = t[new], line[new]
+    return t, np.searchsorted(line, np.arange(n_lines + 1)), first_line
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[at[1:]] - total[at[:-1]]
+
+
+def _keys(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key of 128 bits of each line's set, in two parts, and the spread hashes it is summed from."""
+    size, spread = np.diff(at).astype(np.uint64), mix(t)
+    return mix(_sums(spread, at) ^ size << np.uint64(40)), mix(_sums(mix(t ^ _OTHER), at) + size), spread
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    rank = np.empty(COUNTERS, np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS, dtype=np.uint32)
+    return rank
 
 
-def _numbered(counts: np.ndarray, spark: SparkSession):
-    """Numbers each row's lines; gives a line's token set a key, a parity word and its tokens in order of rarity.
+LINE = "row long, doc_id long, line int, k1 long, k2 long, n int, sketch long, prefix array<int>"
 
-    Bit i of the parity word is whether an odd number of tokens fall on i, so two sets differ in at least as many
-    tokens as their words do in bits.
+
+def _numbered(shared, similar: Fraction):
+    """Numbers each row's lines; gives a line's token set a key, a sketch and its rarest tokens.
+
+    Bit i of the sketch is whether an odd number of tokens fall on i, so two sets differ in at least as many
+    tokens as their sketches do in bits.
     """
-    rank = np.empty(COUNTERS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS, dtype=np.uint64)
-    shared = spark.sparkContext.broadcast(rank)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, doc_id = batch.column("row"), batch.column("doc_id")
             for a, _, encoded in blocks(batch.column("text").to_pylist()):
-                token, line, first_line = _tokens(encoded)
-                n_lines = int(first_line[-1])
-                number, line = _sorted_tokens(token, line, n_lines, shared.value)
-                at = np.searchsorted(line, np.arange(n_lines + 1))
+                t, at, first_line = _sets(encoded, shared.value)
                 size = np.diff(at)
-                spread = mix(number)
-                total = np.zeros(len(number) + 1, np.uint64)
-                np.cumsum(spread, out=total[1:])
-                key = mix((total[at[1:]] - total[at[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40)))
-                text = np.searchsorted(first_line, np.arange(n_lines), side="right") - 1
-                small = (spread >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                parity = np.zeros(n_lines, np.int32)
+                k1, k2, spread = _keys(t, at)
+                sketch = np.zeros(len(size), np.uint64)
                 some = np.flatnonzero(size)
                 if len(some):
-                    parity[some] = np.bitwise_xor.reduceat(np.uint32(1) << (spread & np.uint64(31)).astype(np.uint32), at[:-1][some]).view(np.int32)
-                take = pa.array(a + text)
+                    sketch[some] = np.bitwise_xor.reduceat(np.uint64(1) << (spread & np.uint64(63)), at[:-1][some])
+                # two more than a set's first tokens, for keys of two and three tokens
+                length = np.where(size < LEAST, 0, np.minimum(size, _prefix(size, similar) + 2))
+                ends = np.concatenate([[0], np.cumsum(length)])
+                take = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(at[:-1], length)
+                text = np.searchsorted(first_line, np.arange(len(size)), side="right") - 1
+                of = pa.array(a + text)
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((spread[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [row.take(take), doc_id.take(take), pa.array((np.arange(n_lines) - first_line[text]).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(parity), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(small))],
-                    ["row", "doc_id", "line", "key", "n", "parity", "tokens"],
+                    [row.take(of), doc_id.take(of), pa.array((np.arange(len(size)) - first_line[text]).astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(sketch.view(np.int64)), prefix],
+                    ["row", "doc_id", "line", "k1", "k2", "n", "sketch", "prefix"],
                 )
 
     return lines
 
 
-def _candidates(similar: Fraction):
-    """Pairs of line keys that share a prefix token and pass the length, positional and parity filters.
+def _prefix(n: np.ndarray, similar: Fraction) -> np.ndarray:
+    """Tokens of which similar sets share at least one."""
+    return n + 1 + (-similar.numerator * n) // similar.denominator
+
+
+def _candidates(similar: Fraction, tokens: int):
+    """Pairs of sets that share a key of so many ``tokens`` and pass the length, positional and sketch filters.
 
-    Rows come sorted by token and size.  A row is compared with the BEFORE rows ahead of it in its token's
-    group; rows of larger groups are marked as well (``b`` null, with the token).
+    Rows come sorted by key and size.  A set is compared with the BEFORE sets ahead of it in its key's group that
+    are large enough; of the earlier lines that pass, WRITTEN are given.  A set of which more lie beyond either
+    is given as a mark (``earlier`` null, with the key).  Only sets to be ``asked`` for are the later of a pair.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, behind = None, 0
+        held = None
         for pdf in batches:
             behind = 0 if held is None else len(held)
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            token, key, n, pos, parity = (pdf[c].to_numpy() for c in ("token", "key", "n", "pos", "parity"))
-            begins = np.concatenate([[True], token[1:] != token[:-1]])
-            place = np.arange(len(token)) - np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-            out_a, out_b = [], []
-            for o in range(1, min(BEFORE, int(place.max(initial=0))) + 1):
-                i = np.flatnonzero(place >= o)
-                i = i[i >= behind]
+            if not len(pdf):
+                continue
+            key, k1, n, pos, sketch, doc, line, asked = (pdf[c].to_numpy() for c in ("key", "k1", "n", "pos", "sketch", "doc", "line", "asked"))
+            n, pos, rows = n.astype(np.int64), pos.astype(np.int64), np.arange(len(pdf))
+            far = np.cumsum(np.append(False, key[1:] != key[:-1])) << 32
+            reach = rows - np.searchsorted(far + n, far - (-similar.numerator * n // similar.denominator))
+            seen, out, i = np.zeros(len(pdf), np.int64), [], rows[(rows >= behind) & (reach > 0)]
+            for o in range(1, BEFORE + 1):
+                i = i[reach[i] >= o]
+                if not len(i):
+                    break
                 j = i - o
                 need = least_overlap(n[i], n[j], similar)
-                good = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[j] >= need) & (key[i] != key[j])
-                good &= np.bitwise_count((parity[i] ^ parity[j]).view(np.uint32)) <= n[i] + n[j] - 2 * need  # of signed numbers the magnitude's bits would count
-                out_a.append(key[i[good]])
-                out_b.append(key[j[good]])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            two = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-            yield pd.DataFrame({"a": two["a"], "b": two["b"].astype("Int64"), "token": pd.array([pd.NA] * len(two), "Int32")})
-            large = np.unique(token[place >= BEFORE])
-            if len(large):  # rows of a large group that were in the batch before are marked again; marks are made distinct
-                some = np.isin(token, large)
-                yield pd.DataFrame({"a": key[some], "b": pd.array([pd.NA] * int(some.sum()), "Int64"), "token": pd.array(token[some], "Int32")})
+                apart = np.bitwise_count(sketch[i].view(np.uint64) ^ sketch[j].view(np.uint64))
+                good = (np.minimum(n[i] - pos[i], n[j] - pos[j]) + tokens - 1 >= need) & (apart <= n[i] + n[j] - 2 * need) & (k1[i] != k1[j])
+                if not good.any():
+                    continue
+                a, b, apart = i[good], j[good], apart[good]
+                same = (doc[a] == doc[b]) & (line[a] == line[b])  # rows that repeat an id: either may be the later
+                after = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
+                for later, earlier, use in ((a, b, after | same), (b, a, ~after)):
+                    use &= asked[later]
+                    l, e, d = later[use], earlier[use], apart[use]
+                    few = seen[l] < WRITTEN
+                    seen[l] += 1
+                    out.append((k1[l[few]], k1[e[few]], d[few], same[use][few]))
+            if out:
+                l, e, d, same = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pd.DataFrame({"later": l, "earlier": pd.array(e, "Int64"), "apart": d.astype(np.int32), "same": same, "key": pd.array([0] * len(l), "Int64")}).drop_duplicates(["later", "earlier"])
+            beyond = rows[(rows >= behind) & (reach > BEFORE)]
+            marked = np.unique(np.concatenate([np.flatnonzero(seen > WRITTEN), beyond, beyond - BEFORE - 1]))
+            marked = marked[asked[marked]]
+            if len(marked):
+                yield pd.DataFrame({"later": k1[marked], "earlier": pd.array([pd.NA] * len(marked), "Int64"), "apart": np.int32(0), "same": False, "key": pd.array(key[marked], "Int64")})
             tail = max(len(pdf) - BEFORE - 1, 0)
-            held = pdf.iloc[tail:][token[tail:] == token[-1]] if len(pdf) else None
+            held = pdf.iloc[tail:][key[tail:] == key[-1]]
 
     return pairs
 
 
-def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", *, scratch: Scratch) -> DataFrame:
     """For each line: ``row``, ``doc_id``, ``line`` (from 0), ``tokens`` (their number), ``match``: "exact", "near" or null.
 
-    ``row`` tells rows of ``docs`` apart.  See ``dedup_lines``.
+    ``row`` tells rows of ``docs`` apart; the result is read from tables in ``scratch``.  See ``dedup_lines``.
     """
-    spark, p = docs.sparkSession, Fraction(similar).limit_denominator(10_000)
+    p = Fraction(similar).limit_denominator(10_000)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = d.select("text").mapInPandas(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(COUNTERS, np.int64)
     counts[sketch["slot"]] = sketch["n"]
-    lines = written(d.mapInArrow(_numbered(counts, spark), "row long, doc_id long, line int, key long, n int, parity int, tokens array<int>"))
+    rank = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
+    lines = scratch.written(d.mapInArrow(_numbered(rank, p), LINE))
     place = F.struct("doc_id", "row", "line")
     full = lines.where("n > 0")
-    # similar sets share one of their first tokens; sets of less than 4 tokens are only similar to equal ones
-    length = (F.col("n") - F.ceil(F.lit(p.numerator) * F.col("n") / F.lit(p.denominator)) + 1).cast("int")
-    heads = full.where("n >= 4").select("key", "n", "parity", F.slice("tokens", F.lit(1), length).alias("prefix"))
-    distinct = heads.groupBy("key", "n", "parity").agg(F.first("prefix").alias("prefix"))
-    prefix = distinct.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
-    sorted_ = prefix.repartition("token").sortWithinPartitions("token", "n", "key")
-    met = written(sorted_.mapInPandas(_candidates(p), "a long, b long, token int"))
-    near = _verified(met.where("b is not null").select("a", "b").distinct(), lines, p)
-    large = met.where("b is null").select(F.col("a").alias("key"), "token").distinct()
-    if not large.isEmpty():
-        near = written(near)
-        mine = large.join(near.select("key"), "key", "left_anti").select(F.col("key").alias("mine"), "token")
-        rest = mine.join(prefix.select("token", "key", "n", "pos", "parity"), "token").where("mine <> key")
-        own = prefix.select(F.col("key").alias("mine"), "token", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("parity").alias("odd"))
-        need = F.ceil(F.lit(p.numerator) * (F.col("n") + F.col("m")) / F.lit(p.numerator + p.denominator))
-        rest = rest.join(own.join(mine, ["mine", "token"], "left_semi"), ["mine", "token"]).where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need)
-        rest = rest.where(F.bit_count(F.col("parity").bitwiseXOR(F.col("odd")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= F.col("n") + F.col("m") - 2 * need)
-        near = near.unionByName(_verified(rest.select(F.col("mine").alias("a"), F.col("key").alias("b")).distinct(), lines, p)).distinct()
-    first = full.groupBy("key").agg(F.min(place).alias("first"))
-    decided = first.join(near.select(F.col("key").alias("_near")), F.col("key") == F.col("_near"), "left").select(F.col("key").alias("_key"), "first", F.col("_near").isNotNull().alias("near"))
-    light = lines.select("row", "doc_id", "line", "key", "n")
-    found = light.where("n > 0").join(decided, F.col("key") == F.col("_key"))
+    firsts = full.where(F.col("n") >= LEAST).groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    with Scratch(docs.sparkSession) as own:
+        near = scratch.written(_near(own.written(firsts), d.select("text"), rank, p, own))
+    first = full.groupBy("k1", "k2").agg(F.min(place).alias("first"))
+    named = near.select(F.col("k1").alias("_n1"), F.col("k2").alias("_n2"))
+    decided = first.join(named, (F.col("k1") == F.col("_n1")) & (F.col("k2") == F.col("_n2")), "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first", F.col("_n1").isNotNull().alias("near"))
+    light = lines.select("row", "doc_id", "line", "k1", "k2", "n")
+    found = light.where("n > 0").join(decided, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     match = F.when(~place.eqNullSafe(F.col("first")), "exact").when(F.col("near"), "near")
     found = found.select("row", "doc_id", "line", F.col("n").alias("tokens"), match.alias("match"))
     blank = light.where("n = 0").select("row", "doc_id", "line", F.col("n").alias("tokens"), F.lit(None).cast("string").alias("match"))
     return found.unionByName(blank)
 
 
-def _members(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines of a set of keys, one a key: ``key``, ``first``, ``tokens``.
+def _near(sets: DataFrame, texts: DataFrame, rank, p: Fraction, scratch: Scratch) -> DataFrame:
+    """``k1``, ``k2`` of the sets that have an earlier similar one.
 
-    Token sets are large and most lines meet no other, so lines are filtered by a bitmap of the keys first (of
-    fixed size; a full one filters nothing) and only what passes is shuffled; the join with them is exact.
+    Similar sets share one of their first tokens, so they meet in the group of one token.  Sets that have no match
+    yet, in a group in which not all are compared, are looked for by the next longer key: they share two of one
+    more first tokens, and three of two more.  Keys of three tokens hold both sets' sizes too, which shortens
+    most prefixes, and meet in an ordinary join.
     """
-    spark = lines.sparkSession
-    part = 1 << 13
+    num, den = F.lit(p.numerator), F.lit(p.denominator)
+    n = F.col("n")
+    length = (n - F.ceil(num * n / den) + 1).cast("int")
+    held = sets.select("k1", "n", "sketch", F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.col("first.line").alias("line"), "prefix")
+    one = held.select("*", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "token"))
+    after = lambda least, last: F.explode(F.filter(F.sequence(F.col(least) + 1, F.greatest(last, F.col(least) + 1)), lambda x: x <= last))
+    pair = F.xxhash64("token", F.element_at("prefix", F.col("pos2") + 1))
+    columns = ["key", "k1", "n", "pos", "sketch", "doc", "line", "asked"]
+    schema = "later long, earlier long, apart int, same boolean, key long"
+
+    def met(rows: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
+        dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "n", "k1")
+        both = scratch.written(dealt.mapInPandas(_candidates(p, tokens), schema))
+        return both.where("earlier is not null").drop("key"), both.where("earlier is null").select(F.col("later").alias("_k1"), F.col("key").alias("_key")).distinct()
+
+    def open_(marks: DataFrame, near: DataFrame) -> DataFrame:
+        return scratch.written(marks.join(near, F.col("_k1") == F.col("k1"), "left_anti"))
+
+    def again(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        """``rows`` with a marked key; ``asked`` are those that are marked themselves."""
+        some = rows.join(marks.select("_key").distinct(), F.col("key") == F.col("_key"), "left_semi")
+        asked = marks.withColumn("_asked", F.lit(True))
+        return some.join(asked, (F.col("k1") == F.col("_k1")) & (F.col("key") == F.col("_key")), "left").drop("_k1", "_key").withColumn("asked", F.coalesce("_asked", F.lit(False))).drop("_asked")
+
+    pairs, marks = met(one.withColumn("key", F.col("token").cast("long")).withColumn("asked", F.lit(True)), 1)
+    near = _verified(pairs, sets, texts, rank, p, scratch)
+    marks = open_(marks, near)
+    if marks.isEmpty():
+        return near
+    two = again(one.withColumn("key", F.col("token").cast("long")), marks).withColumn("pos2", after("pos", F.least(length, F.size("prefix") - 1))).withColumn("key", pair)
+    pairs, more = met(two.drop("pos").withColumnRenamed("pos2", "pos"), 2)
+    near = near.unionByName(_verified(pairs, sets, texts, rank, p, scratch))
+    more = open_(more, near)
+    if more.isEmpty():
+        return near
+    two = one.withColumn("key", F.col("token").cast("long")).join(marks.select("_key").distinct(), F.col("key") == F.col("_key"), "left_semi")
+    two = two.withColumn("pos2", after("pos", F.least(length, F.size("prefix") - 1))).withColumn("key", pair)
+    three = again(two, more)
+    size = F.explode(F.sequence(F.ceil(num * n / den).cast("int"), F.floor(n * den / num).cast("int")))
+    three = three.withColumn("m", size).withColumn("need", F.ceil(num * (n + F.col("m")) / (num + den)))
+    last = (n - F.col("need") + 2).cast("int")
+    three = three.where((F.col("pos") < last - 1) & (F.col("pos2") < last)).withColumn("pos3", after("pos2", F.least(last, F.size("prefix") - 1)))
+    three = three.withColumn("key", F.xxhash64("key", F.element_at("prefix", F.col("pos3") + 1), F.least("n", "m"), F.greatest("n", "m")))
+    three = scratch.written(three.select("key", "k1", "n", "m", "need", "sketch", "doc", "line", "asked"))
+    mine = three.where("asked").select("key", F.col("k1").alias("later"), "n", "m", "need", F.col("sketch").alias("sketch_"), F.col("doc").alias("doc_"), F.col("line").alias("line_"))
+    other = three.select(F.col("key").alias("_key"), F.col("k1").alias("earlier"), F.col("n").alias("_n"), "sketch", "doc", "line")
+    both = mine.join(other, (F.col("key") == F.col("_key")) & (F.col("m") == F.col("_n")) & (F.col("later") != F.col("earlier")))
+    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_")))
+    same = (F.col("doc") == F.col("doc_")) & (F.col("line") == F.col("line_"))
+    both = both.where((apart <= F.col("n") + F.col("m") - 2 * F.col("need")) & (F.struct("doc", "line") <= F.struct("doc_", "line_")))
+    pairs = scratch.written(both.select("later", "earlier", apart.cast("int").alias("apart"), same.alias("same")).distinct())
+    return near.unionByName(_verified(pairs, sets, texts, rank, p, scratch)).distinct()
+
+
+def _members(keys: DataFrame, texts: DataFrame, rank, scratch: Scratch) -> DataFrame:
+    """``k1``, ``k2``, ``tokens`` of a set of keys ``k1``.
+
+    Token sets are large and most lines meet no other, so they are made again from the texts and filtered by a
+    bitmap of the keys (of fixed size; a full one filters nothing); the join with the keys is exact.
+    """
+    spark, part = texts.sparkSession, 1 << 13
 
     def set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((1 << KEY_BITS) // 8, np.uint8)  # one a task
         for pdf in batches:
-            at = pdf["key"].to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)
+            at = pdf["k1"].to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)
             np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         for q in np.flatnonzero(held.reshape(-1, part).any(axis=1)):
             yield pd.DataFrame({"part": [int(q)], "bits": [held[q * part : (q + 1) * part].tobytes()]})
@@ -220,56 +303,77 @@ def _members(keys: DataFrame, lines: DataFrame) -> DataFrame:
         return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()])
 
     held = np.zeros((1 << KEY_BITS) // 8, np.uint8)
-    parts = keys.repartition("key").mapInPandas(set_bits, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
+    parts = keys.repartitionByRange("k1").mapInPandas(set_bits, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
     for r in parts.toLocalIterator():
         held[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(held)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - KEY_BITS)
-            bit = shared.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1
-            yield batch.filter(pa.array(bit.astype(bool)))
+            for _, _, encoded in blocks(batch.column("text").to_pylist()):
+                t, at, _ = _sets(encoded, rank.value)
+                k1, k2, _ = _keys(t, at)
+                bit = k1 >> np.uint64(64 - KEY_BITS)
+                keep = shared.value[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1 != 0
+                keep = np.flatnonzero(keep & (np.diff(at) >= LEAST))
+                keep = keep[np.sort(np.unique(k1[keep], return_index=True)[1])]  # copies inside a block once
+                length = np.diff(at)[keep]
+                ends = np.concatenate([[0], np.cumsum(length)])
+                take = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(at[:-1][keep], length)
+                yield pa.RecordBatch.from_arrays([pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(t[take].view(np.int64)))], ["k1", "k2", "tokens"])
+
+    return scratch.written(texts.mapInArrow(passed, "k1 long, k2 long, tokens array<long>").groupBy("k1", "k2").agg(F.first("tokens").alias("tokens")))
 
-    columns = lines.where("n >= 4").select("key", "doc_id", "row", "line", "tokens")
-    some = columns.mapInArrow(passed, columns.schema)
-    return some.groupBy("key").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.first("tokens").alias("tokens"))
 
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rank, p: Fraction, scratch: Scratch) -> DataFrame:
+    """``k1``, ``k2`` of the later set of each pair that is similar by its tokens.
 
-def _verified(pairs: DataFrame, lines: DataFrame, p: Fraction) -> DataFrame:
-    """``key`` of the later line of each pair whose token sets are similar enough."""
-    pairs = cut(pairs)
-    members = _members(pairs.select(F.explode(F.array("a", "b")).alias("key")), lines)
-    side = lambda k: members.select(F.col("key").alias(f"_{k}"), F.col("first").alias(f"first_{k}"), F.col("tokens").alias(f"tokens_{k}"))
-    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - common
-    good = both.where(common * F.lit(p.denominator) >= union * F.lit(p.numerator))
-    return good.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
+    First the pair whose sketches differ least is verified for each later set, then all pairs of those without a match.
+    """
+    with Scratch(sets.sparkSession) as own:
+        pairs = own.written(pairs.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("same").alias("same")))
+        members = _members(pairs.select(F.explode(F.array("later", "earlier")).alias("k1")), texts, rank, own)
+        best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier", "same")).alias("b")).select("later", "b.earlier", "b.same")
+        sure = own.written(_similar(best, members, sets, p))
+        tried = best.select(F.col("later").alias("_later"), F.col("earlier").alias("_earlier"))
+        rest = pairs.join(sure, F.col("later") == F.col("k1"), "left_anti").join(tried, (F.col("later") == F.col("_later")) & (F.col("earlier") == F.col("_earlier")), "left_anti")
+        return scratch.written(sure.unionByName(_similar(rest.select("later", "earlier", "same"), members, sets, p)).distinct())
+
+
+def _similar(pairs: DataFrame, members: DataFrame, sets: DataFrame, p: Fraction) -> DataFrame:
+    """``k1``, ``k2`` of the later sets of ``pairs`` whose tokens are similar enough; of pairs marked ``same`` the order is looked up."""
+    side = lambda x: members.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("tokens").alias(f"{x}_tokens"))
+    both = pairs.join(side("l"), F.col("later") == F.col("l1")).join(side("e"), F.col("earlier") == F.col("e1"))
+    common = F.size(F.array_intersect("l_tokens", "e_tokens"))
+    union = F.size("l_tokens") + F.size("e_tokens") - common
+    good = both.where(common * F.lit(p.denominator) >= union * F.lit(p.numerator)).select("l1", "l2", "e1", "e2", "same")
+    for x in ("l", "e"):  # the first place of a set, where id and line do not tell which comes first
+        placed = sets.select(F.col("k1").alias(f"_{x}1"), F.col("k2").alias(f"_{x}2"), F.col("first").alias(f"{x}_first"))
+        good = good.join(placed, F.col("same") & (F.col(f"{x}1") == F.col(f"_{x}1")) & (F.col(f"{x}2") == F.col(f"_{x}2")), "left")
+    return good.where(~F.col("same") | (F.col("e_first") < F.col("l_first"))).select(F.col("l1").alias("k1"), F.col("l2").alias("k2")).distinct()
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_exact``, ``n_near``, ``removed`` (line numbers from 0, sorted) for each row of ``docs``.
 
-    Lines (parted at line feeds) are sets of neighbouring word pairs (A-Z lowered, words parted at all but
-    letters and digits; a line of one word is that word).  Pairs of words are the tokens because single words
-    of a natural vocabulary are shared by so many lines that prefix groups grow with the square of the corpus.
-    A line goes where a line before it, in the order of id, row and line number, has an equal set ("exact") or
-    one of a Jaccard similarity of at least ``similar`` ("near"), whether or not that line goes itself.
+    Lines (parted at line feeds) are sets of words (A-Z lowered, words parted at all but letters and digits).  A
+    line goes where a line before it, in the order of id, row and line number, has an equal set ("exact") or one
+    of a Jaccard similarity of at least ``similar`` ("near"), whether or not that line goes itself.
 
     The order of rarity comes from counts over all texts in a sketch of fixed size: any order gives the same
-    result.  Equal sets are brought to one row first.  Prefix tokens meet by shuffle; in a token's group a line
-    is compared with a bounded number of neighbours in size, and lines of larger groups that found no match
-    there are joined with the whole group.  Tokens are told apart by 32 bits of their hash when
-    sets are compared, sets by 64.
+    result.  Equal sets are brought to one row first, by 128 bits of hash.  Sets meet by shuffle on their rarest
+    tokens; in large groups a set is compared with a bounded number of neighbours in size, and sets that find no
+    match there are looked for by two and three tokens (``_near``).  Only keys and sketches are shuffled for that;
+    pairs that pass are verified on the tokens' 64-bit hashes, which are made again for their members alone.
 
     Lines without words are never removed; a null text is one such line; a null id sorts first; repeated rows
     are later rows; an empty table gives an empty one; other columns are not read.
     """
-    m = matched_lines(docs, similar, id_col, text_col)
-    hit = lambda kind: F.count(F.when(F.col("match") == kind, 1)).alias(f"n_{kind}")
-    by_row = m.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"), hit("exact"), hit("near"), F.sort_array(F.collect_list(F.when(F.col("match").isNotNull(), F.col("line")))).alias("removed"))
-    return by_row.drop("row")
+    with Scratch(docs.sparkSession) as scratch:
+        m = matched_lines(docs, similar, id_col, text_col, scratch=scratch)
+        hit = lambda kind: F.count(F.when(F.col("match") == kind, 1)).alias(f"n_{kind}")
+        by_row = m.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"), hit("exact"), hit("near"), F.sort_array(F.collect_list(F.when(F.col("match").isNotNull(), F.col("line")))).alias("removed"))
+        return written(by_row.drop("row"))
 
 
 def without_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

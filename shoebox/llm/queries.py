@@ -70,19 +70,24 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": """
         WITH line AS (
           SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
-        ), words AS (
-          SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM line
         ), sets AS (
-          SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS s FROM words
+          SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+'))) AS s FROM line
         ), numbered AS (
           SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM sets
         ), firsts AS (
           SELECT s, min(pos) AS pos, len(s) AS n FROM numbered WHERE len(s) > 0 GROUP BY s
         ), tokens AS (
           SELECT pos, n, unnest(s) AS token FROM firsts
+        ), rare AS (
+          SELECT token, count(*) AS df FROM tokens GROUP BY token
+        ), prefix AS (
+          SELECT pos, n, token FROM tokens JOIN rare USING (token)
+          QUALIFY row_number() OVER (PARTITION BY pos ORDER BY df, token) <= n - ceil(n * 4 / 5.0) + 1
+        ), pairs AS (
+          SELECT DISTINCT a.pos AS earlier, b.pos AS later FROM prefix a JOIN prefix b ON a.token = b.token AND a.pos < b.pos AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
         ), near AS (
-          SELECT DISTINCT b.pos FROM tokens a JOIN tokens b ON a.token = b.token AND a.pos < b.pos AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
-          GROUP BY a.pos, b.pos, a.n, b.n HAVING count(*) * 9 >= (a.n + b.n) * 4
+          SELECT DISTINCT later AS pos FROM pairs JOIN firsts a ON a.pos = earlier JOIN firsts b ON b.pos = later
+          WHERE len(list_intersect(a.s, b.s)) * 9 >= (a.n + b.n) * 4
         )
         SELECT doc_id, count(*) AS n_lines,
                count(*) FILTER (WHERE numbered.pos <> firsts.pos) AS n_exact,

@@ -307,10 +307,27 @@ def line_sets(rows):
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             w = re.findall(rb"[0-9a-z\x80-\xff]+", line.encode().lower())
-            out.append((i, k, frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset(w)))
+            out.append((i, k, frozenset(w)))
     return out
 
 
+def removed_lines(rows):
+    """By document: each line's number and whether an earlier one is equal or similar."""
+    want, seen = {}, []
+    for i, k, s in sorted(line_sets(rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        kind = "exact" if s and s in seen else "near" if s and any(5 * len(s & b) >= 4 * len(s | b) for b in seen) else None
+        seen.append(s)
+        want.setdefault(i, []).append((k, kind))
+    return want
+
+
+def assert_lines(spark, rows):
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    for i, lines in removed_lines(rows).items():
+        assert got[i]["removed"] == [k for k, kind in lines if kind], i
+        assert (got[i]["n_lines"], got[i]["n_exact"], got[i]["n_near"]) == (len(lines), sum(x == "exact" for _, x in lines), sum(x == "near" for _, x in lines))
+
+
 def test_line_dedup_against_brute_force(spark, empty, monkeypatch):
     rnd = random.Random(9)
     base = [prose(rnd, rnd.choice([1, 2, 4, 8, 20, 60])) for _ in range(40)]
@@ -323,23 +340,35 @@ def test_line_dedup_against_brute_force(spark, empty, monkeypatch):
                 w[rnd.randrange(len(w))] = rnd.choice(WORDS)
             lines.append(rnd.choice(["", "!"]) + " ".join(w).upper())
         rows.append((i, "\n".join(lines)))
-    want = {}
-    sets = sorted(line_sets(rows), key=lambda x: x[:2])
-    for n, (i, k, s) in enumerate(sets):
-        before = [b for _, _, b in sets[:n] if b] if s else []
-        kind = "exact" if s in before else "near" if any(5 * len(s & b) >= 4 * len(s | b) for b in before) else None
-        want.setdefault(i, []).append((k, kind))
-    for limit in (48, 2):
-        monkeypatch.setattr(line_dedup, "BEFORE", limit)
-        got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
-        for i, lines in want.items():
-            assert got[i]["removed"] == [k for k, kind in lines if kind], (i, limit)
-            assert (got[i]["n_lines"], got[i]["n_exact"], got[i]["n_near"]) == (len(lines), sum(x == "exact" for _, x in lines), sum(x == "near" for _, x in lines))
+    rows += [(None, rows[5][1]), (500, "long " * 3000 + prose(rnd, 5000)), (501, "long " * 3000 + prose(rnd, 5000))]
+    assert_lines(spark, rows)
+    monkeypatch.setattr(line_dedup, "BEFORE", 2)
+    monkeypatch.setattr(line_dedup, "WRITTEN", 1)
+    assert_lines(spark, rows)
     assert line_dedup.dedup_lines(empty).count() == 0
     kept = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(docs(spark, [(1, "a b c\nd e f"), (2, "a b c\nnew one"), (3, "A B c")])).collect()}
     assert kept == {1: "a b c\nd e f", 2: "new one", 3: ""}
 
 
+def test_repeated_ids_are_later_rows(spark):
+    line = "one two three four five six seven eight nine ten"
+    got = line_dedup.dedup_lines(docs(spark, [(1, line), (1, line + " eleven"), (1, "other words here"), (2, line)])).collect()
+    assert sorted(r["n_near"] + r["n_exact"] for r in got) == [0, 0, 1, 1] and {r["removed"][0] for r in got if r["removed"]} == {0}
+
+
+def test_lines_of_a_hot_token(spark, monkeypatch):
+    """10,000 lines share their rarest words, and few of them are similar: longer keys tell the rest apart."""
+    monkeypatch.setattr(line_dedup, "BEFORE", 40)
+    rnd = random.Random(14)
+    lines = [f"alpha beta gamma delta {i}x {rnd.randrange(10**6)}y" for i in range(10_000)]
+    same = [3, 77, 500]
+    rows = [(i, "\n".join(lines[i * 100 : i * 100 + 100])) for i in range(100)]
+    rows.append((200, "\n".join(f"{lines[k]} {lines[k].split()[4]}" for k in same) + "\nalpha beta gamma delta 77x other words"))
+    rows.append((201, "\n".join(lines[k] + " more" for k in same)))
+    got = {r["doc_id"]: (r["n_exact"], r["n_near"]) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got[200] == (3, 0) and got[201] == (0, 3) and all(got[i] == (0, 0) for i in range(100))
+
+
 # ---- 9
 
 
