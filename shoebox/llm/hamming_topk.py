@@ -1,23 +1,23 @@
-"""Exact top-k search of binary codes by incremental multi-index hashing."""
+"""Exact top-k search of binary codes by incremental multi-index hashing, as joins on segment values."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoebox.llm._common import cut
+from shoebox.llm._common import Scratch, written
 
 K, BITS = 10, 64
-#: Codes of an index block and queries that one task brings to it, about.
-BLOCK, QUERIES = 1 << 16, 1 << 12
-#: Queries whose candidates are looked at together inside a task.
-_TOGETHER = 32
+#: Codes that share a segment's value, about; fewer would ask for more values, more for more verified pairs.
+SHARED = 6
+#: Values of a query that the first round and each later one ask for, about.
+FIRST, ASKED = 64, 256
 SALTS = 64
 
 
@@ -33,125 +33,106 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
 
 
-class Index:
-    """A multi-index over one block of distinct codes: for each segment of the bits, the codes in order of its value."""
-
-    def __init__(self, codes: np.ndarray, bits: int = BITS):
-        self.codes, self.bits = codes, bits
-        width = min(16, max(4, int(math.log2(max(len(codes), 2)))))
-        self.m = -(-bits // width)
-        edges = [bits * i // self.m for i in range(self.m + 1)]
-        self.segments = list(zip(edges[:-1], [b - a for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
-        self.order, self.starts = [], []
-        for shift, w in self.segments:
-            value = self._segment(codes, shift, w)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << w))]))
-
-    @staticmethod
-    def _segment(codes: np.ndarray, shift: int, w: int) -> np.ndarray:
-        return ((codes >> np.uint64(shift)) & np.uint64((1 << w) - 1)).astype(np.int64)
-
-    def near(self, queries: np.ndarray, segment: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, code) whose values of a segment differ in exactly ``radius`` bits."""
-        shift, w = self.segments[segment]
-        if radius > w:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        masks = np.array([sum(1 << b for b in c) for c in combinations(range(w), radius)], np.int64)
-        value = (self._segment(queries, shift, w)[:, None] ^ masks[None, :]).ravel()
-        a, n = self.starts[segment][value], np.diff(self.starts[segment])[value]
-        where = np.repeat(np.arange(len(value)), n)
-        within = np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
-        return where // len(masks), self.order[segment][a[where] + within]
-
-
-def search(index: Index, ids: np.ndarray, counts: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query code the nearest codes of the block, in order, that hold its k nearest rows: (code places, distances).
-
-    Segment radii grow one segment at a time.  After radius r in the first s + 1 of m segments and r - 1 in the
-    others, every code within r m + s bits has been met (one that has not differs in more than r bits in each of
-    those segments and in at least r in each other), so a query is done once its k-th verified distance is no
-    larger.  ``ids`` are the smallest row ids of the codes and ``counts`` how many rows they stand for (k at most).
-    """
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for first in range(0, len(queries), _TOGETHER):
-        q = queries[first : first + _TOGETHER]
-        met: list[list[np.ndarray]] = [[] for _ in q]
-        alive = np.arange(len(q))
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for radius in range(max(w for _, w in index.segments) + 1):
-            for segment in range(index.m):
-                if not len(alive):
-                    break
-                where, code = index.near(q[alive], segment, radius)
-                split = np.searchsorted(where, np.arange(len(alive) + 1))
-                covered, still = radius * index.m + segment, []
-                for i, at in enumerate(alive):
-                    met[at].append(code[split[i] : split[i + 1]])
-                    seen = np.unique(np.concatenate([best[at][0], met[at][-1]]) if at in best else met[at][-1])
-                    d = np.bitwise_count(index.codes[seen] ^ q[at]).astype(np.int64)
-                    order = np.lexsort((ids[seen], d))
-                    enough = np.searchsorted(np.cumsum(counts[seen[order]]), k)
-                    if enough < len(order):
-                        last = d[order[enough]]
-                        keep = order[d[order] <= last]
-                        best[at] = (seen[keep], d[keep])
-                        if last <= covered:
-                            continue
-                    else:
-                        best[at] = (seen[order], d[order])
-                    still.append(at)
-                alive = np.array(still, np.int64)
-        out += [best.get(i, (np.zeros(0, np.int64), np.zeros(0, np.int64))) for i in range(len(q))]
-    return out
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, together: int = QUERIES) -> DataFrame:
+def widths(n_codes: int, bits: int = BITS) -> list[int]:
+    """Bits of each segment, so that about SHARED of so many codes have a segment's value in common."""
+    width = max(4.0, math.log2(max(n_codes, 2) / SHARED))
+    m = math.ceil(bits / width)
+    edges = [bits * i // m for i in range(m + 1)]
+    return [b - a for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def rounds(segments: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """Steps (radius, segment) in order, in rounds of about as many values for a query."""
+    held, size, most = [], 0, FIRST
+    for radius in range(max(segments) + 1):
+        for segment, w in enumerate(segments):
+            if radius <= w:
+                held.append((radius, segment))
+                size += math.comb(w, radius)
+            if size >= most:
+                yield held
+                held, size, most = [], 0, ASKED
+    if held:
+        yield held
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``query_id``, ``neighbor_id``, ``distance``, ``rank`` (from 1): for each query its ``k`` nearest rows, itself left out.
 
     Both inputs have ``id`` and ``code`` (long).  Nearest is by Hamming distance, then by smaller id; exact.
     Equal codes become one with its k + 1 smallest ids (taken in salted steps, so a code that a third of the
-    rows share is no large group), and equal query codes are searched once.  Codes are dealt to blocks by hash;
-    each task indexes one block and answers a share of the queries in it, and the blocks' answers are merged by
-    a window over at most a few times k rows a block.  Rows with a null id or code are left out; rows that
-    repeat an id count once; fewer than k + 1 rows give fewer answers; empty tables give an empty result.
+    rows share is no large group), and equal query codes are searched once.
+
+    The index is a table of each code's segment values.  In each step the queries still open ask, in one segment,
+    for all values at one more bit of distance from their own; the values meet the index in a shuffled join, which
+    Spark splits where very many codes share a value, and pairs are verified at once.  After radius r in the first
+    s + 1 of m segments and r - 1 in the others every code within r m + s bits has been met (one that has not
+    differs in more than r bits in each of those segments and in at least r in each other), so a query is done
+    once its (k + 1)-th verified distance is no larger.  A pair counts in the first step that meets it only, and
+    where it is not beyond the query's distance so far, so that nothing need be made distinct.
+
+    Rows with a null id or code are left out; rows that repeat an id count once; fewer than k + 1 rows give fewer
+    answers; empty tables give an empty result; other columns are not read.
     """
     good = rows.select("id", "code").where("id is not null and code is not null").distinct()
     salted = W.partitionBy("code", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
     few = good.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1).drop("r")
     few = few.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("r") <= k + 1)
-    codes = cut(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = cut(queries.select("id", "code").where("id is not null and code is not null").distinct())
-    distinct = asked.select("code").distinct()
-    n_blocks, n_shares = max(1, -(-codes.count() // block)), max(1, -(-distinct.count() // together))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "code"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = codes.select(F.col("code").alias("row_code"), "ids", deal(n_blocks, 1).alias("row_block"), every(n_shares).alias("row_share"))
-    share = distinct.select("code", every(n_blocks).alias("block"), deal(n_shares, 2).alias("share"))
-
-    def answer(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({"query_code": [], "id": [], "distance": []})
-        place = np.argsort(c["row_code"].to_numpy())
-        ids = [c["ids"].iloc[i] for i in place]
-        index = Index(c["row_code"].to_numpy()[place].view(np.uint64))
-        found = search(index, np.array([x[0] for x in ids]), np.array([len(x) for x in ids]), q["code"].to_numpy().view(np.uint64), k + 1)
-        out = []
-        for code, (at, d) in zip(q["code"], found, strict=True):
-            near = sorted((int(y), int(x)) for a, y in zip(at, d, strict=True) for x in ids[a])[: k + 1]
-            out += [(code, x, y) for y, x in near]
-        return pd.DataFrame(out, columns=["query_code", "id", "distance"])
-
-    near = share.groupBy("block", "share").cogroup(held.groupBy("row_block", "row_share")).applyInPandas(answer, "query_code long, id long, distance int")
-    order = lambda by: W.partitionBy(by).orderBy("distance", "neighbor_id")
-    near = near.withColumnRenamed("id", "neighbor_id").withColumn("r", F.row_number().over(order("query_code"))).where(F.col("r") <= k + 1).drop("r")
-    near = near.groupBy("query_code").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
-    mine = asked.join(near, F.col("code") == F.col("query_code")).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("id")), 1, k).alias("near"))
-    return mine.select("query_id", F.posexplode("near").alias("at", "n")).select("query_id", "n.neighbor_id", "n.distance", (F.col("at") + 1).alias("rank"))
+    with Scratch(rows.sparkSession) as scratch:
+        codes = scratch.written(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+        asked = scratch.written(queries.select("id", "code").where("id is not null and code is not null").distinct())
+        near = _nearest(codes, asked.select(F.col("code").alias("query")).distinct(), k + 1, scratch)
+        ids = near.join(codes, "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
+        order = W.partitionBy("query").orderBy("distance", "neighbor_id")
+        ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+        ids = ids.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
+        mine = asked.join(ids, F.col("code") == F.col("query")).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("id")), 1, k).alias("near"))
+        return written(mine.select("query_id", F.posexplode("near").alias("at", "n")).select("query_id", "n.neighbor_id", "n.distance", (F.col("at") + 1).alias("rank")))
+
+
+def _nearest(codes: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """``query``, ``code``, ``distance``: for each query code the nearest codes that hold its k nearest rows."""
+    segments = widths(codes.count())
+    m, shifts = len(segments), [sum(segments[:i]) for i in range(len(segments))]
+    masks = [((1 << w) - 1) << at for w, at in zip(segments, shifts, strict=True)]
+    value = lambda c, j: F.col(c).bitwiseAND(F.lit(_long(masks[j])))
+    index = codes.select("code", F.element_at("ids", 1).alias("first"), F.size("ids").alias("n"), F.posexplode(F.array(*[value("code", j) for j in range(m)])).alias("segment", "value"))
+    index = scratch.written(index)
+    open_ = scratch.written(queries.select("query", F.lit(BITS).alias("bound")))
+    order = W.partitionBy("query").orderBy("distance", "first")
+    best, ended = None, []
+    for steps in rounds(segments):
+        values = []
+        for radius, j in steps:
+            flips = [_long(sum(1 << b for b in c) << shifts[j]) for c in combinations(range(segments[j]), radius)]
+            asks = open_.select("query", "bound", F.lit(radius).alias("radius"), F.lit(j).alias("segment"), F.explode(F.lit(flips).cast("array<bigint>")).alias("flip"))
+            values.append(asks.withColumn("value", value("query", j).bitwiseXOR(F.col("flip"))).drop("flip"))
+        met = reduce(DataFrame.unionByName, values).join(index, ["segment", "value"])
+        differ = F.col("code").bitwiseXOR(F.col("query"))
+        bits = [F.bit_count(differ.bitwiseAND(F.lit(_long(x)))) for x in masks]
+        later = reduce(lambda a, b: a & b, [(bits[j] > F.col("radius")) | (F.col("segment") <= j) & (bits[j] >= F.col("radius")) for j in range(m)])
+        met = met.where(later).withColumn("distance", F.bit_count(differ).cast("int")).where("distance <= bound").select("query", "code", "first", "n", "distance")
+        if best is not None:
+            met = met.unionByName(best.join(open_.select("query"), "query", "left_semi").select(*met.columns))
+        top = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        best = scratch.written(top.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("place"))
+        covered = steps[-1][0] * m + steps[-1][1]
+        kth = best.where(F.col("upto") >= k).groupBy("query").agg(F.min("distance").alias("kth"))
+        open_ = scratch.written(open_.join(kth, "query", "left").where(F.coalesce("kth", F.lit(BITS + 1)) > covered).select("query", F.coalesce("kth", "bound").alias("bound")))
+        ended.append(best.join(open_, "query", "left_anti"))
+        if open_.isEmpty():
+            break
+    else:
+        ended.append(best.join(open_, "query", "left_semi"))
+    return reduce(DataFrame.unionByName, ended).select("query", "code", "distance")
 
 
 def top_k_vectors(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``top_k`` of the sign codes of ``vectors`` for the query set of rows whose id is divisible by ``every``."""
-    codes = cut(sign_codes(vectors, id_col, vector_col))
+    codes = sign_codes(vectors, id_col, vector_col)
     return top_k(codes, codes.where(F.col("id") % every == 0), k)
 

@@ -288,7 +288,7 @@ def test_top_k_against_brute_force(spark):
     signed = lambda c: c - (1 << 64) if c >> 63 else c
     df = spark.createDataFrame([(i, signed(c), "x") for i, c in enumerate(codes)] + [(None, 1, "x"), (9999, None, "x")], "id long, code long, distance string")
     got = {}
-    for r in hamming_topk.top_k(df, df.where("id % 20 = 0"), 10, block=128, together=8).collect():
+    for r in hamming_topk.top_k(df, df.where("id % 20 = 0"), 10).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["neighbor_id"]))
     for q in range(0, len(codes), 20):
         want = sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:10]
