@@ -70,6 +70,9 @@ class Scratch:
         return self
 
     def __exit__(self, *error: object) -> None:
+        self.drop()
+
+    def drop(self) -> None:
         for path in self.paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

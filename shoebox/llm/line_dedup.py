@@ -20,10 +20,13 @@ COUNTERS = 1 << 17
 #: Sets of less tokens are similar to equal ones only.
 LEAST = 4
 #: Sets before it, in order of size, that a set is compared with in the group of a key; and the earlier sets of a group
-#: that pass the filters and are written for it.  What lies beyond is looked for by longer keys unless it has a match.
-BEFORE, WRITTEN = 768, 4
+#: that pass the filters and are written for it.  A set without a match that has more is compared again without that
+#: limit and with FURTHER sets, and looked for by longer keys in groups that reach beyond those.
+BEFORE, WRITTEN, FURTHER = 768, 16, 1 << 15
 #: Bits of the filter of keys that met another: 16 MB, whatever their number.
 KEY_BITS = 27
+#: Bits of a set's size beside a key.
+_SIZE = 31
 #: Line breaks become this word-parting byte, so that lines can be told after all else has become a space.
 _LINES = bytes(10 if b == 10 else WORD_TABLE[b] for b in range(256))
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -59,18 +62,15 @@ def least_overlap(a: np.ndarray, b: np.ndarray, similar: Fraction) -> np.ndarray
     return -((-p * (a + b)) // (p + q))
 
 
-def _sets(encoded: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of the lines of a block in order of rarity, where each line's begin, and each text's first line."""
-    token, line, first_line = _tokens(encoded)
-    n_lines = int(first_line[-1])
+def _sets(token: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each line in order of rarity, and where each line's begin."""
     order = rank[_slot(token)].astype(np.uint64)
-    if n_lines <= 1 << 17:  # line, rank and the hash's upper bits fit one word
+    clash = n_lines > 1 << 17
+    if not clash:  # line, rank and the hash's upper bits fit one word
         packed = line.astype(np.uint64) << np.uint64(47) | order << np.uint64(30) | token >> np.uint64(34)
         by = np.argsort(packed)
         t, packed = token[by], packed[by]
         clash = bool(((packed[1:] == packed[:-1]) & (t[1:] != t[:-1])).any())
-    else:
-        clash = True
     if clash:
         by = np.lexsort((token, order, line))
         t = token[by]
@@ -78,7 +78,14 @@ def _sets(encoded: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (line[1:] != line[:-1])
     t, line = t[new], line[new]
-    return t, np.searchsorted(line, np.arange(n_lines + 1)), first_line
+    return t, np.searchsorted(line, np.arange(n_lines + 1))
+
+
+def _sequences(token: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
+    """A hash of each line's words in their order."""
+    at = np.searchsorted(line, np.arange(n_lines + 1))
+    place = np.arange(len(token)) - at[line]
+    return mix(_sums(mix(token + place.astype(np.uint64) * _OTHER), at))
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -99,13 +106,13 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-LINE = "row long, doc_id long, line int, k1 long, k2 long, n int, sketch long, prefix array<int>"
+LINE = "row long, doc_id long, line int, k1 long, k2 long, seq long, n int, sketch1 long, sketch2 int, prefix array<int>"
 
 
 def _numbered(shared, similar: Fraction):
-    """Numbers each row's lines; gives a line's token set a key, a sketch and its rarest tokens.
+    """Numbers each row's lines; gives a line's token set a key, a sketch and its rarest tokens, and the line's words a hash.
 
-    Bit i of the sketch is whether an odd number of tokens fall on i, so two sets differ in at least as many
+    Bit i of the sketch's 96 is whether an odd number of tokens fall on i, so two sets differ in at least as many
     tokens as their sketches do in bits.
     """
 
@@ -113,13 +120,17 @@ def _numbered(shared, similar: Fraction):
         for batch in batches:
             row, doc_id = batch.column("row"), batch.column("doc_id")
             for a, _, encoded in blocks(batch.column("text").to_pylist()):
-                t, at, first_line = _sets(encoded, shared.value)
-                size = np.diff(at)
+                token, line, first_line = _tokens(encoded)
+                t, at = _sets(token, line, int(first_line[-1]), shared.value)
+                seq, size = _sequences(token, line, int(first_line[-1])), np.diff(at)
                 k1, k2, spread = _keys(t, at)
-                sketch = np.zeros(len(size), np.uint64)
+                bit = (spread >> np.uint64(8)) % np.uint64(96)
+                one, upper = np.uint64(1) << (bit & np.uint64(63)), bit > 63
+                sketch = np.zeros((2, len(size)), np.uint64)
                 some = np.flatnonzero(size)
                 if len(some):
-                    sketch[some] = np.bitwise_xor.reduceat(np.uint64(1) << (spread & np.uint64(63)), at[:-1][some])
+                    for k in (0, 1):
+                        sketch[k, some] = np.bitwise_xor.reduceat(np.where(upper == k, one, np.uint64(0)), at[:-1][some])
                 # two more than a set's first tokens, for keys of two and three tokens
                 length = np.where(size < LEAST, 0, np.minimum(size, _prefix(size, similar) + 2))
                 ends = np.concatenate([[0], np.cumsum(length)])
@@ -128,8 +139,8 @@ def _numbered(shared, similar: Fraction):
                 of = pa.array(a + text)
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((spread[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [row.take(of), doc_id.take(of), pa.array((np.arange(len(size)) - first_line[text]).astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(sketch.view(np.int64)), prefix],
-                    ["row", "doc_id", "line", "k1", "k2", "n", "sketch", "prefix"],
+                    [row.take(of), doc_id.take(of), pa.array((np.arange(len(size)) - first_line[text]).astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(seq.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].astype(np.uint32).view(np.int32)), prefix],
+                    ["row", "doc_id", "line", "k1", "k2", "seq", "n", "sketch1", "sketch2", "prefix"],
                 )
 
     return lines
@@ -140,12 +151,12 @@ def _prefix(n: np.ndarray, similar: Fraction) -> np.ndarray:
     return n + 1 + (-similar.numerator * n) // similar.denominator
 
 
-def _candidates(similar: Fraction, tokens: int):
+def _candidates(similar: Fraction, tokens: int, most: int, before: int):
     """Pairs of sets that share a key of so many ``tokens`` and pass the length, positional and sketch filters.
 
-    Rows come sorted by key and size.  A set is compared with the BEFORE sets ahead of it in its key's group that
-    are large enough; of the earlier lines that pass, WRITTEN are given.  A set of which more lie beyond either
-    is given as a mark (``earlier`` null, with the key).  Only sets to be ``asked`` for are the later of a pair.
+    Rows come sorted by ``group``, a key followed by the 31 bits of a set's size.  A set is compared with the ``before`` sets ahead of it in its key's group that
+    are large enough; of the earlier lines that pass, ``most`` are given.  A set that has more, or has sets beyond those, is given as a mark (``earlier`` null, with the key).  Only sets to be ``asked`` for are the
+    later of a pair.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,39 +166,45 @@ def _candidates(similar: Fraction, tokens: int):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            key, k1, n, pos, sketch, doc, line, asked = (pdf[c].to_numpy() for c in ("key", "k1", "n", "pos", "sketch", "doc", "line", "asked"))
-            n, pos, rows = n.astype(np.int64), pos.astype(np.int64), np.arange(len(pdf))
+            group, seq, pos, doc, line = (pdf[c].to_numpy() for c in ("group", "seq", "pos", "doc", "line"))
+            sketch = [pdf["sketch1"].to_numpy().view(np.uint64), pdf["sketch2"].to_numpy().view(np.uint32)]
+            asked = pdf["asked"].to_numpy() if "asked" in pdf else np.ones(len(pdf), bool)
+            key, n, rows = group >> _SIZE, group & (1 << _SIZE) - 1, np.arange(len(pdf))
+            every = bool(asked.all())
             far = np.cumsum(np.append(False, key[1:] != key[:-1])) << 32
             reach = rows - np.searchsorted(far + n, far - (-similar.numerator * n // similar.denominator))
             seen, out, i = np.zeros(len(pdf), np.int64), [], rows[(rows >= behind) & (reach > 0)]
-            for o in range(1, BEFORE + 1):
+            for o in range(1, before + 1):
                 i = i[reach[i] >= o]
                 if not len(i):
                     break
-                j = i - o
-                need = least_overlap(n[i], n[j], similar)
-                apart = np.bitwise_count(sketch[i].view(np.uint64) ^ sketch[j].view(np.uint64))
-                good = (np.minimum(n[i] - pos[i], n[j] - pos[j]) + tokens - 1 >= need) & (apart <= n[i] + n[j] - 2 * need) & (k1[i] != k1[j])
-                if not good.any():
+                own = i if every else i[asked[i] | asked[i - o]]
+                j = own - o
+                need = least_overlap(n[own], n[j], similar)
+                good = np.flatnonzero((np.minimum(n[own] - pos[own], n[j] - pos[j]) + tokens - 1 >= need) & (seq[own] != seq[j]))
+                a, b, most_apart = own[good], j[good], (n[own] + n[j] - 2 * need)[good]
+                apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int32) for x in sketch)
+                good = np.flatnonzero(apart <= most_apart)
+                if not len(good):
                     continue
-                a, b, apart = i[good], j[good], apart[good]
+                a, b, apart = a[good], b[good], apart[good]
                 same = (doc[a] == doc[b]) & (line[a] == line[b])  # rows that repeat an id: either may be the later
                 after = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
                 for later, earlier, use in ((a, b, after | same), (b, a, ~after)):
                     use &= asked[later]
                     l, e, d = later[use], earlier[use], apart[use]
-                    few = seen[l] < WRITTEN
+                    few = seen[l] < most
                     seen[l] += 1
-                    out.append((k1[l[few]], k1[e[few]], d[few], same[use][few]))
+                    out.append((seq[l[few]], seq[e[few]], d[few], same[use][few]))
             if out:
                 l, e, d, same = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pd.DataFrame({"later": l, "earlier": pd.array(e, "Int64"), "apart": d.astype(np.int32), "same": same, "key": pd.array([0] * len(l), "Int64")}).drop_duplicates(["later", "earlier"])
-            beyond = rows[(rows >= behind) & (reach > BEFORE)]
-            marked = np.unique(np.concatenate([np.flatnonzero(seen > WRITTEN), beyond, beyond - BEFORE - 1]))
+            beyond = rows[(rows >= behind) & (reach > before)]
+            marked = np.unique(np.concatenate([np.flatnonzero(seen > most), beyond, beyond - before - 1]))
             marked = marked[asked[marked]]
             if len(marked):
-                yield pd.DataFrame({"later": k1[marked], "earlier": pd.array([pd.NA] * len(marked), "Int64"), "apart": np.int32(0), "same": False, "key": pd.array(key[marked], "Int64")})
-            tail = max(len(pdf) - BEFORE - 1, 0)
+                yield pd.DataFrame({"later": seq[marked], "earlier": pd.array([pd.NA] * len(marked), "Int64"), "apart": np.int32(0), "same": False, "key": pd.array(key[marked], "Int64")})
+            tail = max(len(pdf) - before - 1, 0)
             held = pdf.iloc[tail:][key[tail:] == key[-1]]
 
     return pairs
@@ -207,7 +224,7 @@ def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
     lines = scratch.written(d.mapInArrow(_numbered(rank, p), LINE))
     place = F.struct("doc_id", "row", "line")
     full = lines.where("n > 0")
-    firsts = full.where(F.col("n") >= LEAST).groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    firsts = full.where(F.col("n") >= LEAST).groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("seq").alias("seq"), F.first("n").alias("n"), F.first("sketch1").alias("sketch1"), F.first("sketch2").alias("sketch2"), F.first("prefix").alias("prefix"))
     with Scratch(docs.sparkSession) as own:
         near = scratch.written(_near(own.written(firsts), d.select("text"), rank, p, own))
     first = full.groupBy("k1", "k2").agg(F.min(place).alias("first"))
@@ -222,61 +239,69 @@ def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
 
 
 def _near(sets: DataFrame, texts: DataFrame, rank, p: Fraction, scratch: Scratch) -> DataFrame:
-    """``k1``, ``k2`` of the sets that have an earlier similar one.
+    """``seq``, ``k1``, ``k2`` of the sets that have an earlier similar one.
 
     Similar sets share one of their first tokens, so they meet in the group of one token.  Sets that have no match
-    yet, in a group in which not all are compared, are looked for by the next longer key: they share two of one
-    more first tokens, and three of two more.  Keys of three tokens hold both sets' sizes too, which shortens
-    most prefixes, and meet in an ordinary join.
+    yet are compared with more of their group, and where it reaches beyond that too, they are looked for by the next
+    longer key: similar sets share two of one more first tokens, and three of two more.  Keys of three tokens hold both sets' sizes too, which
+    shortens most prefixes, and meet in an ordinary join.
     """
     num, den = F.lit(p.numerator), F.lit(p.denominator)
     n = F.col("n")
     length = (n - F.ceil(num * n / den) + 1).cast("int")
-    held = sets.select("k1", "n", "sketch", F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.col("first.line").alias("line"), "prefix")
+    held = sets.select("seq", "n", "sketch1", "sketch2", F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.col("first.line").alias("line"), "prefix")
     one = held.select("*", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "token"))
     after = lambda least, last: F.explode(F.filter(F.sequence(F.col(least) + 1, F.greatest(last, F.col(least) + 1)), lambda x: x <= last))
-    pair = F.xxhash64("token", F.element_at("prefix", F.col("pos2") + 1))
-    columns = ["key", "k1", "n", "pos", "sketch", "doc", "line", "asked"]
+    pair = F.shiftright(F.xxhash64("token", F.element_at("prefix", F.col("pos2") + 1)), _SIZE)
+    columns = ["seq", "pos", "sketch1", "sketch2", "doc", "line"]
     schema = "later long, earlier long, apart int, same boolean, key long"
 
-    def met(rows: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
-        dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "n", "k1")
-        both = scratch.written(dealt.mapInPandas(_candidates(p, tokens), schema))
-        return both.where("earlier is not null").drop("key"), both.where("earlier is null").select(F.col("later").alias("_k1"), F.col("key").alias("_key")).distinct()
+    def met(rows: DataFrame, tokens: int, most: int, before: int) -> tuple[DataFrame, DataFrame]:
+        group = F.shiftleft("key", _SIZE).bitwiseOR(n.cast("long")).alias("group")  # one number, as it is sorted by its digits
+        dealt = rows.select(group, *columns, *(["asked"] if "asked" in rows.columns else [])).repartition(F.shiftright("group", _SIZE)).sortWithinPartitions("group")
+        both = scratch.written(dealt.mapInPandas(_candidates(p, tokens, most, before), schema))
+        return both.where("earlier is not null").drop("key"), both.where("earlier is null").select(F.col("later").alias("_seq"), F.col("key").alias("_key")).distinct()
 
     def open_(marks: DataFrame, near: DataFrame) -> DataFrame:
-        return scratch.written(marks.join(near, F.col("_k1") == F.col("k1"), "left_anti"))
+        return scratch.written(marks.join(near, F.col("_seq") == F.col("seq"), "left_anti"))
 
     def again(rows: DataFrame, marks: DataFrame) -> DataFrame:
         """``rows`` with a marked key; ``asked`` are those that are marked themselves."""
         some = rows.join(marks.select("_key").distinct(), F.col("key") == F.col("_key"), "left_semi")
-        asked = marks.withColumn("_asked", F.lit(True))
-        return some.join(asked, (F.col("k1") == F.col("_k1")) & (F.col("key") == F.col("_key")), "left").drop("_k1", "_key").withColumn("asked", F.coalesce("_asked", F.lit(False))).drop("_asked")
+        asked = marks.select("_seq", "_key", F.lit(True).alias("_asked"))
+        return some.join(asked, (F.col("seq") == F.col("_seq")) & (F.col("key") == F.col("_key")), "left").drop("_seq", "_key").withColumn("asked", F.coalesce("_asked", F.lit(False))).drop("_asked")
 
-    pairs, marks = met(one.withColumn("key", F.col("token").cast("long")).withColumn("asked", F.lit(True)), 1)
+    every = 1 << 31
+    one = one.withColumn("key", F.col("token").cast("long"))
+    pairs, marks = met(one, 1, WRITTEN, BEFORE)
     near = _verified(pairs, sets, texts, rank, p, scratch)
     marks = open_(marks, near)
     if marks.isEmpty():
         return near
-    two = again(one.withColumn("key", F.col("token").cast("long")), marks).withColumn("pos2", after("pos", F.least(length, F.size("prefix") - 1))).withColumn("key", pair)
-    pairs, more = met(two.drop("pos").withColumnRenamed("pos2", "pos"), 2)
+    pairs, marks = met(again(one, marks), 1, every, FURTHER)
+    near = near.unionByName(_verified(pairs, sets, texts, rank, p, scratch))
+    marks = open_(marks, near)
+    if marks.isEmpty():
+        return near
+    longer = after("pos", F.least(length, F.size("prefix") - 1))
+    two = again(one, marks).withColumn("pos2", longer).withColumn("key", pair)
+    pairs, more = met(two.drop("pos").withColumnRenamed("pos2", "pos"), 2, every, FURTHER)
     near = near.unionByName(_verified(pairs, sets, texts, rank, p, scratch))
     more = open_(more, near)
     if more.isEmpty():
         return near
-    two = one.withColumn("key", F.col("token").cast("long")).join(marks.select("_key").distinct(), F.col("key") == F.col("_key"), "left_semi")
-    two = two.withColumn("pos2", after("pos", F.least(length, F.size("prefix") - 1))).withColumn("key", pair)
+    two = one.join(marks.select("_key").distinct(), F.col("key") == F.col("_key"), "left_semi").withColumn("pos2", longer).withColumn("key", pair)
     three = again(two, more)
     size = F.explode(F.sequence(F.ceil(num * n / den).cast("int"), F.floor(n * den / num).cast("int")))
     three = three.withColumn("m", size).withColumn("need", F.ceil(num * (n + F.col("m")) / (num + den)))
     last = (n - F.col("need") + 2).cast("int")
     three = three.where((F.col("pos") < last - 1) & (F.col("pos2") < last)).withColumn("pos3", after("pos2", F.least(last, F.size("prefix") - 1)))
     three = three.withColumn("key", F.xxhash64("key", F.element_at("prefix", F.col("pos3") + 1), F.least("n", "m"), F.greatest("n", "m")))
-    three = scratch.written(three.select("key", "k1", "n", "m", "need", "sketch", "doc", "line", "asked"))
-    mine = three.where("asked").select("key", F.col("k1").alias("later"), "n", "m", "need", F.col("sketch").alias("sketch_"), F.col("doc").alias("doc_"), F.col("line").alias("line_"))
-    other = three.select(F.col("key").alias("_key"), F.col("k1").alias("earlier"), F.col("n").alias("_n"), "sketch", "doc", "line")
+    three = scratch.written(three.select("key", "seq", "n", "m", "need", "sketch1", "sketch2", "doc", "line", "asked"))
+    mine = three.where("asked").select("key", F.col("seq").alias("later"), "n", "m", "need", F.col("sketch1").alias("sketch1_"), F.col("sketch2").alias("sketch2_"), F.col("doc").alias("doc_"), F.col("line").alias("line_"))
+    other = three.select(F.col("key").alias("_key"), F.col("seq").alias("earlier"), F.col("n").alias("_n"), "sketch1", "sketch2", "doc", "line")
     both = mine.join(other, (F.col("key") == F.col("_key")) & (F.col("m") == F.col("_n")) & (F.col("later") != F.col("earlier")))
-    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_")))
+    apart = F.bit_count(F.col("sketch1").bitwiseXOR(F.col("sketch1_"))) + F.bit_count(F.col("sketch2").bitwiseXOR(F.col("sketch2_")))
     same = (F.col("doc") == F.col("doc_")) & (F.col("line") == F.col("line_"))
     both = both.where((apart <= F.col("n") + F.col("m") - 2 * F.col("need")) & (F.struct("doc", "line") <= F.struct("doc_", "line_")))
     pairs = scratch.written(both.select("later", "earlier", apart.cast("int").alias("apart"), same.alias("same")).distinct())
@@ -284,17 +309,17 @@ def _near(sets: DataFrame, texts: DataFrame, rank, p: Fraction, scratch: Scratch
 
 
 def _members(keys: DataFrame, texts: DataFrame, rank, scratch: Scratch) -> DataFrame:
-    """``k1``, ``k2``, ``tokens`` of a set of keys ``k1``.
+    """``seq``, ``k1``, ``k2``, ``tokens`` of the lines with a hash ``seq`` of some.
 
     Token sets are large and most lines meet no other, so they are made again from the texts and filtered by a
-    bitmap of the keys (of fixed size; a full one filters nothing); the join with the keys is exact.
+    bitmap of the hashes (of fixed size; a full one filters nothing); the join with the pairs is exact.
     """
     spark, part = texts.sparkSession, 1 << 13
 
     def set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((1 << KEY_BITS) // 8, np.uint8)  # one a task
         for pdf in batches:
-            at = pdf["k1"].to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)
+            at = pdf["seq"].to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)
             np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         for q in np.flatnonzero(held.reshape(-1, part).any(axis=1)):
             yield pd.DataFrame({"part": [int(q)], "bits": [held[q * part : (q + 1) * part].tobytes()]})
@@ -303,7 +328,7 @@ def _members(keys: DataFrame, texts: DataFrame, rank, scratch: Scratch) -> DataF
         return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()])
 
     held = np.zeros((1 << KEY_BITS) // 8, np.uint8)
-    parts = keys.repartitionByRange("k1").mapInPandas(set_bits, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
+    parts = keys.repartitionByRange("seq").mapInPandas(set_bits, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
     for r in parts.toLocalIterator():
         held[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(held)
@@ -311,46 +336,49 @@ def _members(keys: DataFrame, texts: DataFrame, rank, scratch: Scratch) -> DataF
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, encoded in blocks(batch.column("text").to_pylist()):
-                t, at, _ = _sets(encoded, rank.value)
-                k1, k2, _ = _keys(t, at)
-                bit = k1 >> np.uint64(64 - KEY_BITS)
+                token, line, first_line = _tokens(encoded)
+                seq = _sequences(token, line, int(first_line[-1]))
+                bit = seq >> np.uint64(64 - KEY_BITS)
                 keep = shared.value[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1 != 0
-                keep = np.flatnonzero(keep & (np.diff(at) >= LEAST))
-                keep = keep[np.sort(np.unique(k1[keep], return_index=True)[1])]  # copies inside a block once
-                length = np.diff(at)[keep]
-                ends = np.concatenate([[0], np.cumsum(length)])
-                take = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(at[:-1][keep], length)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(t[take].view(np.int64)))], ["k1", "k2", "tokens"])
+                keep = np.flatnonzero(keep)
+                keep = keep[np.unique(seq[keep], return_index=True)[1]]  # copies inside a block once
+                new = np.full(len(seq), -1)
+                new[keep] = np.arange(len(keep))
+                some = new[line] >= 0
+                order = np.argsort(new[line[some]], kind="stable")
+                t, at = _sets(token[some][order], new[line[some]][order], len(keep), rank.value)
+                k1, k2, _ = _keys(t, at)
+                yield pa.RecordBatch.from_arrays([pa.array(seq[keep].view(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(t.view(np.int64)))], ["seq", "k1", "k2", "tokens"])
 
-    return scratch.written(texts.mapInArrow(passed, "k1 long, k2 long, tokens array<long>").groupBy("k1", "k2").agg(F.first("tokens").alias("tokens")))
+    return scratch.written(texts.mapInArrow(passed, "seq long, k1 long, k2 long, tokens array<long>").groupBy("seq", "k1", "k2").agg(F.first("tokens").alias("tokens")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rank, p: Fraction, scratch: Scratch) -> DataFrame:
-    """``k1``, ``k2`` of the later set of each pair that is similar by its tokens.
+    """``seq``, ``k1``, ``k2`` of the later set of each pair that is similar by its tokens.
 
     First the pair whose sketches differ least is verified for each later set, then all pairs of those without a match.
     """
     with Scratch(sets.sparkSession) as own:
         pairs = own.written(pairs.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("same").alias("same")))
-        members = _members(pairs.select(F.explode(F.array("later", "earlier")).alias("k1")), texts, rank, own)
+        members = _members(pairs.select(F.explode(F.array("later", "earlier")).alias("seq")), texts, rank, own)
         best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier", "same")).alias("b")).select("later", "b.earlier", "b.same")
         sure = own.written(_similar(best, members, sets, p))
         tried = best.select(F.col("later").alias("_later"), F.col("earlier").alias("_earlier"))
-        rest = pairs.join(sure, F.col("later") == F.col("k1"), "left_anti").join(tried, (F.col("later") == F.col("_later")) & (F.col("earlier") == F.col("_earlier")), "left_anti")
+        rest = pairs.join(sure, F.col("later") == F.col("seq"), "left_anti").join(tried, (F.col("later") == F.col("_later")) & (F.col("earlier") == F.col("_earlier")), "left_anti")
         return scratch.written(sure.unionByName(_similar(rest.select("later", "earlier", "same"), members, sets, p)).distinct())
 
 
 def _similar(pairs: DataFrame, members: DataFrame, sets: DataFrame, p: Fraction) -> DataFrame:
-    """``k1``, ``k2`` of the later sets of ``pairs`` whose tokens are similar enough; of pairs marked ``same`` the order is looked up."""
-    side = lambda x: members.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("tokens").alias(f"{x}_tokens"))
-    both = pairs.join(side("l"), F.col("later") == F.col("l1")).join(side("e"), F.col("earlier") == F.col("e1"))
+    """``seq``, ``k1``, ``k2`` of the later sets of ``pairs`` whose tokens are similar enough; of pairs marked ``same`` the order is looked up."""
+    side = lambda x: members.select(F.col("seq").alias(f"{x}0"), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("tokens").alias(f"{x}_tokens"))
+    both = pairs.join(side("l"), F.col("later") == F.col("l0")).join(side("e"), F.col("earlier") == F.col("e0"))
     common = F.size(F.array_intersect("l_tokens", "e_tokens"))
     union = F.size("l_tokens") + F.size("e_tokens") - common
-    good = both.where(common * F.lit(p.denominator) >= union * F.lit(p.numerator)).select("l1", "l2", "e1", "e2", "same")
+    good = both.where(common * F.lit(p.denominator) >= union * F.lit(p.numerator)).select("l0", "l1", "l2", "e1", "e2", "same")
     for x in ("l", "e"):  # the first place of a set, where id and line do not tell which comes first
         placed = sets.select(F.col("k1").alias(f"_{x}1"), F.col("k2").alias(f"_{x}2"), F.col("first").alias(f"{x}_first"))
         good = good.join(placed, F.col("same") & (F.col(f"{x}1") == F.col(f"_{x}1")) & (F.col(f"{x}2") == F.col(f"_{x}2")), "left")
-    return good.where(~F.col("same") | (F.col("e_first") < F.col("l_first"))).select(F.col("l1").alias("k1"), F.col("l2").alias("k2")).distinct()
+    return good.where(~F.col("same") | (F.col("e_first") < F.col("l_first"))).select(F.col("l0").alias("seq"), F.col("l1").alias("k1"), F.col("l2").alias("k2")).distinct()
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

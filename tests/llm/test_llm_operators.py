@@ -104,18 +104,75 @@ def test_every_copy_inside_a_document_goes(spark):
     assert left[4] == [] and left[6] == []
 
 
+def test_long_words_and_runs_without_spaces_lose_nothing(spark):
+    rnd = random.Random(15)
+    own = lambda n: " ".join(f"{rnd.randrange(10**6)}x" for _ in range(n))
+    latin, runs = (" ".join(rnd.choice("abc汉字語"[k : k + 3]) * 40 + str(i) for i in range(60)) for k in (0, 3))
+    rows = [(1, f"{own(40)} {latin} {own(40)}"), (2, f"{own(30)} {latin} {own(30)}"), (3, f"{own(40)} {runs} {own(40)}"), (4, f"{own(20)} {runs}")]
+    found = substring_dedup.passages(docs(spark, rows)).collect()
+    assert {(r["doc_id"], r["other_id"], r["n_words"]) for r in found} == {(2, 1, 60), (4, 3, 60)}
+
+
+def test_versions_of_one_id_are_both_compared(spark):
+    rnd = random.Random(16)
+    own = lambda n: " ".join(f"{rnd.randrange(10**6)}x" for _ in range(n))
+    shared = own(60)
+    rows = [(1, f"{own(30)} {shared}"), (2, f"{shared} {own(30)}"), (2, f"{own(50)} {shared}"), (3, own(90))]
+    found = {(r["doc_id"], r["other_id"], r["start_byte"]) for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    assert found == {(2, 1, 0), (2, 1, len(rows[2][1]) - len(shared))}
+
+
+def test_a_seed_of_very_many_documents_is_paired_with_little_held():
+    import pandas as pd
+
+    n = 5000
+    rows = pd.DataFrame({"seed": [7] * n + [9, 9], "doc": [*range(n), 3, 8], "at": 1 << 32, "run": 1})
+    whole = pd.concat(substring_dedup._links(iter([rows])))
+    parts = pd.concat(substring_dedup._links(rows.iloc[i : i + 300] for i in range(0, len(rows), 300)))
+    pairs = lambda x: Counter(zip(x["later"], x["earlier"], x["hot"], strict=True))
+    want = Counter((i, 0, True) for i in range(n)) + Counter((i, 0, False) for i in range(1, n)) + Counter((i, i - 1, False) for i in range(2, n)) + Counter([(8, 3, False)])
+    assert pairs(whole) == pairs(parts) == want
+
+
+def test_passages_against_a_quadratic_aligner(spark):
+    """Every equal run of LEAST_WORDS words of two documents lies in a passage of the later one."""
+    rnd = random.Random(17)
+    own = lambda n: [f"{rnd.randrange(300)}x" for _ in range(n)]
+    pool = [own(rnd.choice([46, 60, 90])) for _ in range(12)]
+    rows = [(i, " ".join(sum(([*own(rnd.randrange(20)), *rnd.choice(pool)] for _ in range(rnd.randrange(1, 4))), []))) for i in range(50)]
+    spans = {}
+    for r in substring_dedup.passages(docs(spark, rows)).collect():
+        text = dict(rows)[r["doc_id"]]
+        spans.setdefault(r["doc_id"], set()).update(range(len(text[: r["start_byte"]].split()), len(text[: r["end_byte"]].split())))
+    seen = set()
+    for i, text in rows:
+        w = text.split()
+        runs = [tuple(w[k : k + 45]) for k in range(len(w) - 44)]
+        want = {k + j for k, r in enumerate(runs) if r in seen for j in range(45)}
+        assert want <= spans.get(i, set()), i
+        seen.update(runs)
+
+
+def chain_score(own, l, e, n):
+    gaps = sum(l[b] - l[a] - n[a] + e[b] - e[a] - n[a] for a, b in zip(own, own[1:], strict=False))
+    return sum(n[i] for i in own) - substring_dedup.GAP_COST * gaps
+
+
 def test_chain_is_the_best_of_all_chains():
     import numpy as np
 
     rnd = random.Random(2)
-    for _ in range(30):
-        m = rnd.randrange(2, 8)
-        part = sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(m)})
+    for _ in range(60):
+        part = sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(rnd.randrange(2, 8))})
         l, e, n = np.array([p[0] for p in part]), np.array([p[1] for p in part]), np.full(len(part), 5)
         got = substring_dedup.chain(l, e, n)
         assert sorted(i for c in got for i in c) == list(range(len(part)))
-        for c in got:
-            assert all(l[b] >= l[a] + 5 and e[b] >= e[a] + 5 for a, b in zip(c, c[1:], strict=False))
+        goes = lambda c: all(l[b] >= l[a] + 5 and e[b] >= e[a] + 5 for a, b in zip(c, c[1:], strict=False))
+        assert all(goes(c) for c in got)
+        every = [c for m in range(1, 2 ** len(part)) if goes(c := [i for i in range(len(part)) if m >> i & 1])]
+        wide = any(l[b] - l[a] - 5 > substring_dedup.MOST_GAP or e[b] - e[a] - 5 > substring_dedup.MOST_GAP for a in range(len(part)) for b in range(len(part)))
+        if not wide:  # a chain is parted at wide gaps only
+            assert max(chain_score(c, l, e, n) for c in got) == pytest.approx(max(chain_score(c, l, e, n) for c in every))
 
 
 def test_passages_edges(odd, empty):
@@ -143,14 +200,18 @@ def test_token_counts_are_the_librarys(spark, odd, empty):
 # ---- 3
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", (text or "").lower())
+
+
 def shingle_set(text):
-    w = re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", (text or "").lower())
+    w = words_of(text)
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
 
 
 def test_contained_against_brute_force(spark, odd, empty):
     rnd = random.Random(3)
-    items = [(i, prose(rnd, rnd.choice([3, 6, 12, 30, 70]))) for i in range(40)] + [(90, ""), (91, None), (92, "same text twice")]
+    items = [(i, prose(rnd, rnd.choice([3, 4, 6, 12, 30, 70]))) for i in range(40)] + [(90, ""), (91, None), (92, "same text twice"), (93, "what is entropy"), (94, "Antidisestablishmentarianism"), (95, "one two " * 30)]
     items.append((99, items[5][1]))
     rows = list(ODD)
     for i in range(60):
@@ -162,11 +223,14 @@ def test_contained_against_brute_force(spark, odd, empty):
             at = rnd.randrange(len(w))
             w[at:at] = [p + "," for p in piece]
         rows.append((100 + i, " ".join(w)))
+    rows += [(300, "so here we ask: What is Entropy? and no more of it in these fourteen"), (301, "what was entropy"), (302, prose(rnd, 300) + " antidisestablishmentarianism " + prose(rnd, 30)), (303, "one two " * 31), (304, "one two one two one")]
     first = {}
     for i, t in items:
         if shingle_set(t):
             first.setdefault(frozenset(shingle_set(t)), i)
-    want = Counter((d, i) for d, t in rows for s, i in first.items() if len(s & shingle_set(t)) / len(s) >= 0.8)
+    held = lambda t, n: shingle_set(t) | {tuple(w[i : i + n]) for w in [words_of(t)] for i in range(len(w) - n + 1)}
+    want = Counter((d, i) for d, t in rows for s, i in first.items() if len(s & held(t, len(next(iter(s))))) / len(s) >= 0.8)
+    assert {(300, 93), (302, 94), (303, 95)} <= set(want)
     it = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     found = decontaminate.contained(docs(spark, rows), it)
     assert Counter((r["doc_id"], r["item_id"]) for r in found.collect()) == want and want
@@ -279,6 +343,18 @@ def test_shards(spark, odd, empty):
     assert len(out) == len(ODD) and sorted(r["size"] for r in out)[0] == 8 and sharding.shard(empty).count() == 0
 
 
+def test_groups_up_to_a_shard_stay_whole(spark, tmp_path):
+    for copies, more in ((95, 2305), (100, 2300), (250, 2150)):
+        rows = [(i, "copied text" if i < copies else f"text {i}") for i in range(copies + more)]
+        got = Counter(r["shard"] for r in sharding.shard(docs(spark, rows)).where(f"doc_id < {copies}").collect())
+        assert len(got) == -(-copies // 100), (copies, got)
+    rows = [(i, f"group {i // 30}" if i < 1500 else f"text {i}") for i in range(2400)]
+    where = {}
+    for r in sharding.shard(docs(spark, rows)).where("doc_id < 1500").collect():
+        where.setdefault(r["doc_id"] // 30, set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in where.values()) <= 1
+
+
 # ---- 7
 
 
@@ -344,6 +420,7 @@ def test_line_dedup_against_brute_force(spark, empty, monkeypatch):
     assert_lines(spark, rows)
     monkeypatch.setattr(line_dedup, "BEFORE", 2)
     monkeypatch.setattr(line_dedup, "WRITTEN", 1)
+    monkeypatch.setattr(line_dedup, "FURTHER", 3)
     assert_lines(spark, rows)
     assert line_dedup.dedup_lines(empty).count() == 0
     kept = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(docs(spark, [(1, "a b c\nd e f"), (2, "a b c\nnew one"), (3, "A B c")])).collect()}
@@ -359,6 +436,7 @@ def test_repeated_ids_are_later_rows(spark):
 def test_lines_of_a_hot_token(spark, monkeypatch):
     """10,000 lines share their rarest words, and few of them are similar: longer keys tell the rest apart."""
     monkeypatch.setattr(line_dedup, "BEFORE", 40)
+    monkeypatch.setattr(line_dedup, "FURTHER", 60)
     rnd = random.Random(14)
     lines = [f"alpha beta gamma delta {i}x {rnd.randrange(10**6)}y" for i in range(10_000)]
     same = [3, 77, 500]
