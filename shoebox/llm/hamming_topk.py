@@ -15,7 +15,7 @@ from shoebox.llm._common import Scratch, written
 
 K, BITS = 10, 64
 #: Codes that share a segment's value, about; fewer would ask for more values, more for more verified pairs.
-SHARED = 6
+SHARED = 24
 #: Values of a query that the first round and each later one ask for, about.
 FIRST, ASKED = 64, 256
 SALTS = 64
@@ -111,7 +111,7 @@ def _nearest(codes: DataFrame, queries: DataFrame, k: int, scratch: Scratch) ->
             flips = [_long(sum(1 << b for b in c) << shifts[j]) for c in combinations(range(segments[j]), radius)]
             asks = open_.select("query", "bound", F.lit(radius).alias("radius"), F.lit(j).alias("segment"), F.explode(F.lit(flips).cast("array<bigint>")).alias("flip"))
             values.append(asks.withColumn("value", value("query", j).bitwiseXOR(F.col("flip"))).drop("flip"))
-        met = reduce(DataFrame.unionByName, values).join(index, ["segment", "value"])
+        met = reduce(DataFrame.unionByName, values).join(index.hint("merge"), ["segment", "value"])  # never a broadcast: values are many more than queries
         differ = F.col("code").bitwiseXOR(F.col("query"))
         bits = [F.bit_count(differ.bitwiseAND(F.lit(_long(x)))) for x in masks]
         later = reduce(lambda a, b: a & b, [(bits[j] > F.col("radius")) | (F.col("segment") <= j) & (bits[j] >= F.col("radius")) for j in range(m)])
