@@ -13,11 +13,13 @@ from shoebox.llm._common import written
 from shoebox.llm.wordhash import blocks, hashed, mix, shingles
 
 WORDS, CONTAINED = 5, 0.8
-#: Hash functions of a signature.  A window that holds 0.8 of an item of its size class has Jaccard >= 0.25 with
-#: it, so a signature without a common minimum has a chance of at most 0.75 ** 64 = 1e-8.
+#: Hash functions of a signature.  A window that holds 0.8 of an item of its size class has Jaccard >= 0.22 with
+#: it, so a signature without a common minimum has a chance of at most 0.78 ** 64 = 1e-7.
 HASHES = 64
 #: Smallest size class; each further class doubles it.
 LEAST_CLASS = 8
+#: Items of less distinct shingles, or with more repeats than this leaves, have no signature: class EXACT joins on shingles.
+DISTINCT, EXACT = 0.9, 0
 #: Bits of the item filter for each item shingle, and its largest size: the filter is at most 16 MB, whatever
 #: the benchmark's size (a full one filters nothing and costs time, never a match).
 FILTER_BITS, FILTER_MOST = 1024, 27
@@ -36,30 +38,36 @@ def _key(low: np.ndarray, size_class: int, j: int) -> np.ndarray:
     return mix(low ^ _FLIP[(j + size_class.bit_length() * 7) % HASHES] ^ np.uint64(size_class * 1009 + j))
 
 
+def _exact_keys(s: np.ndarray) -> np.ndarray:
+    return mix(s ^ _FLIP[-1])
+
+
 def _classes(n: np.ndarray) -> np.ndarray:
     """The size class of ``n`` shingles: LEAST_CLASS times the least power of two that holds them."""
     return LEAST_CLASS << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / LEAST_CLASS))).astype(np.int64)
 
 
-def _encoded(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Shingle hashes and offsets of blocks of lower-cased texts."""
-    for a, b, encoded in blocks([t.lower() if t else t for t in texts]):
+def _encoded(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Word hashes and offsets of blocks of lower-cased texts."""
+    for a, _, encoded in blocks([t.lower() if t else t for t in texts]):
         h, _, _, offsets = hashed(encoded)
-        s, at = shingles(h, offsets, WORDS)
-        yield a, b, s, at
+        yield a, h, offsets
 
 
 def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for a, b, s, at in _encoded(pdf["text"].tolist()):
+        for a, h, offsets in _encoded(pdf["text"].tolist()):
+            s, at = shingles(h, offsets, WORDS)
             n = np.diff(at)
             for i in np.flatnonzero(n):
                 own = np.unique(s[at[i] : at[i + 1]])
-                size_class = int(_classes(n[i : i + 1])[0])
-                keys = [_key(_minima(own, np.zeros(1, np.int64), j), size_class, j)[0] for j in range(HASHES)]
-                rows.append((pdf["item_id"].iloc[a + i], size_class, own.view(np.int64).tolist(), np.array(keys, np.uint64).view(np.int64).tolist()))
-        yield pd.DataFrame(rows, columns=["item_id", "size_class", "shingles", "keys"]).astype({"shingles": object, "keys": object})
+                exact = len(own) < LEAST_CLASS or len(own) < DISTINCT * n[i]
+                size_class = EXACT if exact else int(_classes(n[i : i + 1])[0])
+                keys = _exact_keys(own) if exact else np.array([_key(_minima(own, np.zeros(1, np.int64), j), size_class, j)[0] for j in range(HASHES)], np.uint64)
+                words = min(int(offsets[i + 1] - offsets[i]), WORDS)
+                rows.append((pdf["item_id"].iloc[a + i], size_class, words, own.view(np.int64).tolist(), keys.view(np.int64).tolist()))
+        yield pd.DataFrame(rows, columns=["item_id", "size_class", "words", "shingles", "keys"]).astype({"shingles": object, "keys": object})
 
 
 def _places(s: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +119,8 @@ def _window_keys(s: np.ndarray, hit: np.ndarray, classes: list[int]) -> np.ndarr
     A class of size m has blocks of m / 2 shingles and windows of three blocks, so that any run of m shingles
     lies inside one window.  Blocks of a class are pairs of the blocks of the class below.
     """
-    keys = []
-    for j in range(HASHES):
+    keys = [np.zeros(0, np.uint64)]
+    for j in range(HASHES if classes else 0):
         v = (s ^ _FLIP[j]) * _ODD[j]
         step = LEAST_CLASS // 2
         low = np.minimum.reduceat(v, np.arange(0, len(v), step))
@@ -132,35 +140,42 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED, i
     """Pairs ``doc_id``, ``item_id``, ``n_shingles``, ``n_shared``, ``containment`` with containment >= ``threshold``; and ``text_md5``.
 
     Texts are lower-cased and parted at everything but letters and digits; sets are of 5-word shingles of whole
-    texts; containment is the share of the item's set that the document's set holds.  A text of 1 to 4 words is
-    one shingle, so such an item only meets texts equal to it; texts without words (empty, blank or null) hold
-    and match nothing.  Items with equal sets are one item under their smallest id.  Items are parted by size
-    (classes of a factor of two); their MinHash signatures are joined with those of document windows of the
-    class's size, and candidate pairs are verified by exact containment over the whole document.  A scan keeps
+    texts; containment is the share of the item's set that the document's set holds.  An item of 1 to 4 words is
+    one shingle of so many words, and documents are scanned for runs of that length too; texts without words (empty,
+    blank or null) hold and match nothing.  Items with equal sets are one item under their smallest id.  Items are
+    parted by size (classes of a factor of two); their MinHash signatures are joined with those of document windows
+    of the class's size.  Items of few shingles, or of many repeated ones, are joined on the shingles themselves.
+    Candidate pairs are verified by exact containment over the whole document.  A scan keeps
     documents that share a shingle with any item, by a filter of bounded size; longer joins are ordinary ones
     that Spark splits where one passage is in very many documents.  Repeated rows give repeated pairs; a null
     id stays null; empty tables give an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    it = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).mapInPandas(_items, "item_id long, size_class int, shingles array<long>, keys array<long>")
-    it = it.groupBy("size_class", "shingles", "keys").agg(F.min("item_id").alias("item_id"))
+    it = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).mapInPandas(_items, "item_id long, size_class int, words int, shingles array<long>, keys array<long>")
+    it = it.groupBy("size_class", "words", "shingles", "keys").agg(F.min("item_id").alias("item_id"))
     it = written(it.withColumn("item", F.monotonically_increasing_id()))
     n_shingles = it.agg(F.sum(F.size("shingles"))).first()[0] or 0
     classes = sorted(r[0] for r in it.select("size_class").distinct().collect())  # one a power of two
+    short = sorted(r[0] for r in it.where(F.col("words") < WORDS).select("words").distinct().collect())  # of 1 to 4
     held, bits = _filter(it, n_shingles)
     shared = spark.sparkContext.broadcast(held)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at_, keys_, hits_ = [], [], []
-            for a, _, s, at in _encoded(pdf["text"].tolist()):
+            for a, h, offsets in _encoded(pdf["text"].tolist()):
+                s, at = shingles(h, offsets, WORDS)
                 hit = _hits(s, shared.value, bits)
-                found = np.flatnonzero(hit)
-                for i in np.unique(np.searchsorted(at, found, side="right") - 1):
+                runs = [(x, y, _hits(x, shared.value, bits)) for x, y in (shingles(h, offsets, WORDS, n) for n in short)]
+                texts = [np.searchsorted(y, np.flatnonzero(z), side="right") - 1 for _, y, z in [(s, at, hit), *runs]]
+                for i in np.unique(np.concatenate(texts)):
                     own, mine = s[at[i] : at[i + 1]], hit[at[i] : at[i + 1]]
+                    hits = np.unique(np.concatenate([own[mine], *[x[y[i] : y[i + 1]][z[y[i] : y[i + 1]]] for x, y, z in runs]]))
+                    keys = [_window_keys(own, mine, [m for m in classes if m != EXACT])] if mine.any() else []
+                    keys += [_exact_keys(hits)] if EXACT in classes else []
                     at_.append(a + i)
-                    keys_.append(_window_keys(own, mine, classes).view(np.int64))
-                    hits_.append(np.unique(own[mine]).view(np.int64))
+                    keys_.append(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
+                    hits_.append(hits.view(np.int64))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at_].to_numpy(), "text_md5": pdf["text_md5"].iloc[at_].to_numpy(), "keys": pd.Series(keys_, dtype=object), "hits": pd.Series(hits_, dtype=object)})
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(text_col).alias("text_md5"))

@@ -78,21 +78,22 @@ def hashed(encoded: list[bytes], table: bytes = WORD_TABLE) -> tuple[np.ndarray,
     return h, starts - at[doc], ends - at[doc], offsets
 
 
-def shingles(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(h: np.ndarray, offsets: np.ndarray, k: int, words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words inside each text, and their offsets.
 
-    A text of 1 to k - 1 words has one shingle, its whole word sequence; a text without words has none.
+    A text of 1 to k - 1 words has one shingle, its whole word sequence; a text without words has none.  With
+    ``words`` below ``k``: runs of so many words, hashed as a text of so many words is, and none of shorter texts.
     """
     n = np.diff(offsets)
-    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    count = np.where(n >= k, n - k + 1, np.minimum(n, 1)) if words is None else np.maximum(n - words + 1, 0)
     out = np.zeros(len(n) + 1, np.int64)
     np.cumsum(count, out=out[1:])
     if not out[-1]:
         return np.zeros(0, np.uint64), out
     first = np.arange(out[-1]) - np.repeat(out[:-1], count) + np.repeat(offsets[:-1], count)
-    last = np.repeat(offsets[1:], count)
+    last = np.repeat(offsets[1:], count) if words is None else first + words
     total = np.zeros(out[-1], np.uint64)
-    short = bool((n < k).any())
+    short = words is not None or bool((n < k).any())
     for j in range(k):
         step = h[np.minimum(first + j, len(h) - 1)]
         if short:
