@@ -56,7 +56,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius not in (0, 2):
         raise ValueError("radius is 0 or 2: half of it is emitted as variants")
     masks = F.array(*[F.lit(0).cast("long")], *[F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(64 if radius else 0)])
-    variants = prints.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    # fingerprints are few bytes and their variants many: dealt out before, so that no task makes the variants of a large share
+    variants = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
