@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -63,20 +64,26 @@ def resolve_event(ts: Column, event: Column, place: Column, fallback: tuple[str,
     return F.coalesce(*[named[k] for k in fallback], date)
 
 
+def _pieces(template: str) -> list[tuple[str, str]]:
+    """A template's literal text and tokens in order, as ("text", ...) and ("token", name)."""
+    out, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template, re.ASCII):
+        out += [("text", template[at : m.start()]), ("token", m[1])]
+        at = m.end()
+    return [x for x in [*out, ("text", template[at:])] if x[1]]
+
+
 def template_path(root: str, source: Column, ts: Column, uncertain: Column, item_id: Column, event: Column, place: Column, person: Column, template: NamingTemplate = NamingTemplate()) -> Column:
     """The target of a file by a template; a file without a certain date goes to a folder of its own.
 
-    Unknown tokens are empty.  Segments lose doubled, leading and trailing underscores; blank ones are left out.
+    The template is parsed once, so braces inside names are names' own characters.  Unknown tokens are empty.
+    Segments lose doubled, leading and trailing underscores; blank ones are left out.
     """
     ext, original = F.regexp_extract(source, r"[^/](\.[^./]*)$", 1), media.stem(source)
     name = original if template.keep_original_name else item_id
-    t = date_tokens(ts)
-    named = resolve_event(ts, event, place, template.fallback)
-    tokens = t | {"event": named, "place": F.coalesce(place, named), "person": F.coalesce(person, F.lit("")), "original": original if template.keep_original_name else F.lit(""), "seq": F.lit("")}
-    raw: Column = F.lit(template.template)
-    for key, value in tokens.items():
-        raw = F.replace(raw, F.lit("{" + key + "}"), value)
-    raw = F.regexp_replace(raw, r"\{[A-Za-z0-9_]+\}", "")
+    event = resolve_event(ts, event, place, template.fallback)
+    known = date_tokens(ts) | {"event": event, "place": F.coalesce(place, event), "person": F.coalesce(person, F.lit("")), "original": original if template.keep_original_name else F.lit("")}
+    raw = F.concat(F.lit(""), *[F.lit(x) if kind == "text" else known.get(x, F.lit("")) for kind, x in _pieces(template.template)])
     parts = F.transform(F.split(raw, "/"), lambda s: F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_|_$", ""))
     parts = F.transform(F.filter(parts, lambda s: F.trim(s) != ""), sanitize_segment)
     parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(item_id))
@@ -100,13 +107,13 @@ def target_path(root: str, source: Column, ts: Column, event: Column, place: Col
     return F.when(ts.isNull(), F.concat_ws("/", F.lit(root), F.lit(UNKNOWN_FOLDER), plain)).otherwise(known)
 
 
-# Words of story titles.
-MEMORIES = "の思い出"
+# Words of story titles, after a place and alone.
+MEMORIES, MEMORIES_ALONE = "の思い出", "思い出"
 
 
 def event_title(start: Column, place: Column, count: Column) -> Column:
     """The UTC date with the place, or with the number of pictures; without a date the place alone."""
     date = F.date_format(start, "y年M月d日")
-    by_place = F.when(given(place).isNotNull(), F.concat(place, F.lit(MEMORIES))).otherwise(F.lit(MEMORIES.lstrip("の")))
+    by_place = F.when(given(place).isNotNull(), F.concat(place, F.lit(MEMORIES))).otherwise(F.lit(MEMORIES_ALONE))
     dated = F.when(given(place).isNotNull(), F.concat(date, F.lit(" "), place)).otherwise(F.concat(date, F.lit(f"{MEMORIES}（"), count.cast("string"), F.lit("枚）")))
     return F.when(start.isNull(), by_place).otherwise(dated)

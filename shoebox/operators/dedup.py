@@ -26,21 +26,30 @@ def exact_edges(media: DataFrame) -> DataFrame:
     return m.join(first, "content_hash").where("a <> media_id").select("a", F.col("media_id").alias("b"))
 
 
-def hamming_pairs(hashes: DataFrame, max_hamming: int = MAX_HAMMING, n_bands: int | None = None) -> DataFrame:
-    """``id_a`` < ``id_b`` and ``distance`` of all pairs of 16-digit hashes at most ``max_hamming`` bits apart.
+def hash_range(queries: DataFrame, index: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
+    """``query_id``, ``id``, ``distance`` of all hashes of ``index`` at most ``max_hamming`` bits from a query's.
 
-    ``hashes`` has ``id`` and ``hash``; hashes of other lengths are left out.  Hashes are cut into one band more
-    than the distance, so a pair within it shares a band: an exact equi-join, no theta join.
+    Both have ``id`` and ``hash`` (16 hex digits; hashes of other lengths are left out).  Exact, by equi-joins: of
+    max_hamming / 2 + 1 bands (rounded down) one differs in a bit at most, so each query asks for its bands' values
+    and those with one bit flipped.  Three bands of 21 bits for 5 bits of distance keep a value's group small.
     """
-    n = n_bands or max_hamming + 1
-    if not max_hamming < n <= hashing.DIGITS:
-        raise ValueError(f"{n} bands cannot hold all pairs within {max_hamming} bits")
-    h = hashes.where(F.length("hash") == hashing.DIGITS).select("id", "hash")
-    banded = h.select("id", hashing.half(F.col("hash")).alias("hi"), hashing.half(F.col("hash"), True).alias("lo"), F.posexplode(hashing.bands(F.col("hash"), n)).alias("band", "key"))
-    a = banded.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "hi", "lo")], "band", "key")
-    b = banded.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "hi", "lo")], "band", "key")
-    d = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
-    return a.join(b, ["band", "key"]).where("id_a < id_b").withColumn("distance", d).where(F.col("distance") <= max_hamming).select("id_a", "id_b", "distance").distinct()
+    m = max_hamming // 2 + 1
+    edges = [64 * i // m for i in range(m + 1)]
+    whole = F.shiftleft(hashing.half(F.col("hash")), 32).bitwiseOR(hashing.half(F.col("hash"), True))
+    coded = lambda df: df.where(F.length("hash") == hashing.DIGITS).select("id", whole.alias("code"))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = [signed(((1 << b - a) - 1) << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    flips = F.array(*[F.array(*[F.lit(signed(x)).cast("long") for x in (0, *(1 << i for i in range(a, b)))]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    banded = lambda df: df.select("*", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(x)) for x in masks])).alias("band", "value"))
+    asks = banded(coded(queries)).select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), "band", F.explode(F.transform(F.get(flips, F.col("band")), lambda x: F.col("value").bitwiseXOR(x))).alias("value"))
+    distance = F.bit_count(F.col("code").bitwiseXOR(F.col("query_code"))).cast("int")
+    met = asks.join(banded(coded(index)), ["band", "value"]).withColumn("distance", distance)
+    return met.where(F.col("distance") <= max_hamming).select("query_id", "id", "distance").distinct()
+
+
+def hamming_pairs(hashes: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
+    """``id_a`` < ``id_b`` and ``distance`` of all pairs of 16-digit hashes at most ``max_hamming`` bits apart: ``hash_range`` of a table in itself."""
+    return hash_range(hashes, hashes, max_hamming).where("query_id < id").select(F.col("query_id").alias("id_a"), F.col("id").alias("id_b"), "distance")
 
 
 def near_edges(media: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
@@ -62,6 +71,8 @@ def duplicate_groups(media: DataFrame, quality: DataFrame | None = None, max_ham
     ``media`` has ``media_id``, ``seq``, ``content_hash``, ``perceptual_hash``; ``quality`` has ``media_id``,
     ``composite``.  The representative has the best quality (none: 0), the first in order of ``seq`` on a tie.
     """
+    held = ["media_id", "seq", "content_hash", *(["perceptual_hash"] if near else [])]
+    media = cut(media.select(*held))  # hashes are dear and are read by each of the steps below
     edges = exact_edges(media)
     if near:
         edges = edges.unionByName(near_edges(media, max_hamming))
@@ -97,8 +108,9 @@ def earliest_rank(df: DataFrame, by: list[str], order: list, name: str) -> DataF
 def text_grids(docs: DataFrame, cells: int = 72, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``grid``: word counts of each text in ``cells`` buckets of the words' MD5, a stand-in for gray values.
 
-    Words are exploded and counted once, so the hash of a word is not computed again for every cell.
+    Words are exploded and counted by bucket in the task that reads the text; at most ``cells`` rows of it are shuffled.
     """
     bucket = (F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("long") % cells).cast("int")
-    words = docs.select(id_col, F.explode(F.split(text_col, " ")).alias("word")).select(id_col, bucket.alias("bucket"))
-    return words.groupBy(id_col).agg(F.array(*[F.count_if(F.col("bucket") == i) for i in range(cells)]).alias("grid"))
+    words = docs.select(id_col, F.explode(F.split(text_col, " ")).alias("word")).groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    held = words.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("held"))
+    return held.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0))).alias("grid"))

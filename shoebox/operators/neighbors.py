@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoebox.functions.vectors import cosine_distance
 from shoebox.operators.graph import components
 
 K, THRESHOLD, BLOCK = 10, 0.35, 2048
@@ -70,15 +69,40 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return mean.select(by, F.transform("mean", lambda x: x / F.when(length == 0, 1.0).otherwise(length)).alias("centroid"))
 
 
-def nearest_anchor(faces: DataFrame, anchors: DataFrame, rejected: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def nearest_anchor(faces: DataFrame, anchors: DataFrame, rejected: DataFrame | None = None, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``face_id``, ``person_id``, ``distance`` of the nearest allowed anchor within ``threshold``, the earlier one on a tie.
 
-    ``anchors`` (``person_id``, ``seq``, ``centroid``) are one row a person; Spark broadcasts them where they
-    are small by its own threshold.  ``rejected`` has ``face_id``, ``person_id``.
+    ``anchors`` (``person_id``, ``seq``, ``centroid``) are one row a person; ``rejected`` has ``face_id``,
+    ``person_id``.  Blocks of about ``block`` faces and anchors meet block by block, one matrix product a pair, and
+    each pair hands on one row a face; a face carries the persons it was refused.
     """
-    pairs = faces.select("face_id", "embedding").crossJoin(anchors.select("person_id", "seq", "centroid"))
-    pairs = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("centroid"))).drop("embedding", "centroid")
-    if rejected is not None:
-        pairs = pairs.join(rejected.select("face_id", "person_id"), ["face_id", "person_id"], "left_anti")
-    best = pairs.groupBy("face_id").agg(F.min(F.struct("distance", "seq", "person_id")).alias("b"))
-    return best.select("face_id", "b.person_id", "b.distance").where(F.col("distance") <= threshold)
+    n_f, n_a = max(1, -(-faces.count() // block)), max(1, -(-anchors.count() // block))
+    f = faces.select("face_id", F.col("embedding").cast("array<double>").alias("v"))
+    person_type, face_type, seq_type = (df.schema[c].dataType.simpleString() for df, c in ((anchors, "person_id"), (faces, "face_id"), (anchors, "seq")))
+    if rejected is None:
+        f = f.withColumn("no", F.array().cast(f"array<{person_type}>"))
+    else:
+        f = f.join(rejected.groupBy("face_id").agg(F.collect_set("person_id").alias("no")), "face_id", "left").withColumn("no", F.coalesce("no", F.array().cast(f"array<{person_type}>")))
+    deal = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    f = f.select("*", deal(n_f, "face_id").alias("fb"), every(n_a).alias("ab"))
+    a = anchors.select("person_id", "seq", F.col("centroid").cast("array<double>").alias("c"), every(n_f).alias("afb"), deal(n_a, "person_id").alias("aab"))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        names = ["face_id", "person_id", "seq", "distance"]
+        y = y.sort_values("seq", kind="stable")
+        if not len(x) or not len(y):
+            return pd.DataFrame({n: [] for n in names})
+        v, c = np.array(x["v"].tolist(), float), np.array(y["c"].tolist(), float)
+        length = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
+        d = np.where(length == 0, 1.0, 1 - v @ c.T / np.where(length == 0, 1.0, length))
+        place = {p: i for i, p in enumerate(y["person_id"])}
+        for i, no in enumerate(x["no"]):
+            d[i, [place[p] for p in no if p in place]] = np.inf
+        best = d.argmin(axis=1)  # the first of equals: the least seq
+        out = pd.DataFrame({"face_id": x["face_id"].to_numpy(), "person_id": y["person_id"].to_numpy()[best], "seq": y["seq"].to_numpy()[best], "distance": d[np.arange(len(x)), best]})
+        return out[out["distance"] <= threshold]
+
+    met = f.groupBy("fb", "ab").cogroup(a.groupBy("afb", "aab")).applyInPandas(near, f"face_id {face_type}, person_id {person_type}, seq {seq_type}, distance double")
+    best = met.groupBy("face_id").agg(F.min(F.struct("distance", "seq", "person_id")).alias("b"))
+    return best.select("face_id", "b.person_id", "b.distance")

@@ -21,12 +21,12 @@ def sync_persons(faces: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def list_persons(faces: DataFrame, persons: DataFrame) -> DataFrame:
-    """Active persons with ``photo_count`` and the picture of their cover face (else of the cluster's first face)."""
+    """Active persons with ``photo_count`` and the picture of their cover face (else of the cluster's first face), most photos first."""
     active = persons.where("merged_into is null")
     counts = faces.where("cluster_id <> ''").groupBy("cluster_id").agg(F.countDistinct("media_id").alias("photos"), F.min_by("media_id", F.struct("seq", "face_id")).alias("first_media"))
     cover = faces.select(F.col("face_id").alias("cover_face_id"), F.col("media_id").alias("cover_media"))
     out = active.join(counts, "cluster_id", "left").join(cover, "cover_face_id", "left")
-    return out.select("person_id", "cluster_id", "display_name", F.coalesce("photos", F.lit(0)).alias("photo_count"), F.coalesce("cover_media", "first_media").alias("cover_media_id"))
+    return out.select("person_id", "cluster_id", "display_name", F.coalesce("photos", F.lit(0)).alias("photo_count"), F.coalesce("cover_media", "first_media").alias("cover_media_id")).orderBy(F.col("photo_count").desc(), "person_id")
 
 
 def unnamed(persons: DataFrame) -> DataFrame:

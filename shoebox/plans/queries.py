@@ -476,13 +476,13 @@ def event_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey < 200")
+    c = table(spark, sf_dir, "customer")
     return c.select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("person_id"), F.col("c_custkey").cast("string").alias("cluster_id"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("display_name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("cover_face_id"), F.when(F.col("c_custkey") % 13 == 0, "p1").alias("merged_into"))
 
 
 _PERSONS = """
   f AS (SELECT event_id AS face_id, event_id // 3 AS media_id, user_id::VARCHAR AS cluster_id FROM events),
-  p AS (SELECT 'p' || c_custkey AS person_id, c_custkey::VARCHAR AS cluster_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS display_name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS cover_face_id, CASE WHEN c_custkey % 13 = 0 THEN 'p1' END AS merged_into FROM customer WHERE c_custkey < 200)"""
+  p AS (SELECT 'p' || c_custkey AS person_id, c_custkey::VARCHAR AS cluster_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS display_name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS cover_face_id, CASE WHEN c_custkey % 13 = 0 THEN 'p1' END AS merged_into FROM customer)"""
 
 
 @query(f"""
@@ -494,9 +494,9 @@ def person_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-  WITH {_PERSONS} SELECT 'person-' || cluster_id AS person_id, cluster_id, min(face_id) AS cover_face_id FROM f WHERE cluster_id NOT IN (SELECT cluster_id FROM p WHERE length(cluster_id) < 3) GROUP BY 2""")
+  WITH {_PERSONS} SELECT 'person-' || cluster_id AS person_id, cluster_id, min(face_id) AS cover_face_id FROM f WHERE cluster_id NOT IN (SELECT cluster_id FROM p WHERE display_name IS NOT NULL) GROUP BY 2""")
 def person_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = customer_persons(spark, sf_dir).where(F.length("cluster_id") < 3)
+    known = customer_persons(spark, sf_dir).where("display_name is not null")
     return persons.sync_persons(event_faces(spark, sf_dir), known).select("person_id", "cluster_id", "cover_face_id")
 
 
@@ -632,12 +632,12 @@ def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-  WITH a AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS idx, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 100),
+  WITH a AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS idx, embedding::DOUBLE[] AS e FROM embeddings),
   s AS (SELECT vec_id, idx, e, sqrt(greatest(0, least(1, x * 4)) * greatest(0, least(1, e[64 - idx] * 4))) AS score FROM a WHERE idx < 16)
   SELECT vec_id AS image_id, '8-' || idx AS box_id, round(score, 5) AS score, round((((idx % 4) + e[idx * 4 + 1]) * 8 - exp(e[idx * 4 + 3]) * 4) * 2, 4) AS x, round(exp(e[idx * 4 + 4]) * 8 * 3, 4) AS h FROM s WHERE score >= 0.2""")
 def decode_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
-    o = table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("stride"), F.transform(F.slice(e, 1, 16), lambda x: x.cast("double") * 4).alias("cls"), F.transform(F.slice(F.reverse(e), 1, 16), lambda x: x.cast("double") * 4).alias("obj"), e.alias("bbox"), F.lit(None).cast("array<float>").alias("kps"), F.lit(64).alias("orig_w"), F.lit(96).alias("orig_h"))
+    o = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("stride"), F.transform(F.slice(e, 1, 16), lambda x: x.cast("double") * 4).alias("cls"), F.transform(F.slice(F.reverse(e), 1, 16), lambda x: x.cast("double") * 4).alias("obj"), e.alias("bbox"), F.lit(None).cast("array<float>").alias("kps"), F.lit(64).alias("orig_w"), F.lit(96).alias("orig_h"))
     d = boxes.decode_anchors(o, 32, 32, 0.2)
     return d.select("image_id", "box_id", F.round("score", 5).alias("score"), F.round(F.col("bbox")[0], 4).alias("x"), F.round(F.col("bbox")[3], 4).alias("h"))
 
