@@ -25,8 +25,8 @@ LEAST = 4
 BEFORE, WRITTEN, FURTHER = 768, 16, 1 << 15
 #: Bits of the filter of keys that met another: 16 MB, whatever their number.
 KEY_BITS = 27
-#: Bits of a set's size beside a key.
-_SIZE = 31
+#: Bits of a set's size beside a key, and of a token's place in its set beside a line's number.
+_SIZE, _POS = 31, 28
 #: Line breaks become this word-parting byte, so that lines can be told after all else has become a space.
 _LINES = bytes(10 if b == 10 else WORD_TABLE[b] for b in range(256))
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -154,9 +154,10 @@ def _prefix(n: np.ndarray, similar: Fraction) -> np.ndarray:
 def _candidates(similar: Fraction, tokens: int, most: int, before: int):
     """Pairs of sets that share a key of so many ``tokens`` and pass the length, positional and sketch filters.
 
-    Rows come sorted by ``group``, a key followed by the 31 bits of a set's size.  A set is compared with the ``before`` sets ahead of it in its key's group that
-    are large enough; of the earlier lines that pass, ``most`` are given.  A set that has more, or has sets beyond those, is given as a mark (``earlier`` null, with the key).  Only sets to be ``asked`` for are the
-    later of a pair.
+    Rows come sorted by ``group``, a key followed by the bits of a set's size.  A set is compared with the ``before``
+    sets ahead of it in its key's group that are large enough; of the earlier lines that pass, ``most`` are given.
+    A set that has more, or has sets beyond those, is given as a mark (``earlier`` null, with the key).  Only sets to
+    be ``asked`` for are the later of a pair.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +167,8 @@ def _candidates(similar: Fraction, tokens: int, most: int, before: int):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            group, seq, pos, doc, line = (pdf[c].to_numpy() for c in ("group", "seq", "pos", "doc", "line"))
+            group, seq, doc, at = (pdf[c].to_numpy() for c in ("group", "seq", "doc", "at"))
+            line, pos = at >> _POS, at & (1 << _POS) - 1
             sketch = [pdf["sketch1"].to_numpy().view(np.uint64), pdf["sketch2"].to_numpy().view(np.uint32)]
             asked = pdf["asked"].to_numpy() if "asked" in pdf else np.ones(len(pdf), bool)
             key, n, rows = group >> _SIZE, group & (1 << _SIZE) - 1, np.arange(len(pdf))
@@ -224,15 +226,18 @@ def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
     lines = scratch.written(d.mapInArrow(_numbered(rank, p), LINE))
     place = F.struct("doc_id", "row", "line")
     full = lines.where("n > 0")
-    firsts = full.where(F.col("n") >= LEAST).groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("seq").alias("seq"), F.first("n").alias("n"), F.first("sketch1").alias("sketch1"), F.first("sketch2").alias("sketch2"), F.first("prefix").alias("prefix"))
+    copies = lambda df, *more: df.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *more)
+    firsts = copies(full.where(F.col("n") >= LEAST), *[F.first(c).alias(c) for c in ("seq", "n", "sketch1", "sketch2", "prefix")])
     with Scratch(docs.sparkSession) as own:
-        near = scratch.written(_near(own.written(firsts), d.select("text"), rank, p, own))
-    first = full.groupBy("k1", "k2").agg(F.min(place).alias("first"))
-    named = near.select(F.col("k1").alias("_n1"), F.col("k2").alias("_n2"))
-    decided = first.join(named, (F.col("k1") == F.col("_n1")) & (F.col("k2") == F.col("_n2")), "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first", F.col("_n1").isNotNull().alias("near"))
+        sets = own.written(firsts)
+        near = _near(sets, d.select("text"), rank, p, own).select(F.col("k1").alias("_n1"), F.col("k2").alias("_n2")).distinct()
+        more = sets.select("k1", "k2", "first", "copies").unionByName(copies(full.where(F.col("n") < LEAST))).where("copies > 1")
+        decided = more.join(near, (F.col("k1") == F.col("_n1")) & (F.col("k2") == F.col("_n2")), "full")
+        decided = scratch.written(decided.select(F.coalesce("k1", "_n1").alias("_k1"), F.coalesce("k2", "_n2").alias("_k2"), "first", F.col("_n1").isNotNull().alias("near")))
     light = lines.select("row", "doc_id", "line", "k1", "k2", "n")
-    found = light.where("n > 0").join(decided, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
-    match = F.when(~place.eqNullSafe(F.col("first")), "exact").when(F.col("near"), "near")
+    # sets of one line without a match, which most are, are not in ``decided``
+    found = light.where("n > 0").join(decided, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
+    match = F.when(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")), "exact").when(F.col("near"), "near")
     found = found.select("row", "doc_id", "line", F.col("n").alias("tokens"), match.alias("match"))
     blank = light.where("n = 0").select("row", "doc_id", "line", F.col("n").alias("tokens"), F.lit(None).cast("string").alias("match"))
     return found.unionByName(blank)
@@ -253,7 +258,7 @@ def _near(sets: DataFrame, texts: DataFrame, rank, p: Fraction, scratch: Scratch
     one = held.select("*", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "token"))
     after = lambda least, last: F.explode(F.filter(F.sequence(F.col(least) + 1, F.greatest(last, F.col(least) + 1)), lambda x: x <= last))
     pair = F.shiftright(F.xxhash64("token", F.element_at("prefix", F.col("pos2") + 1)), _SIZE)
-    columns = ["seq", "pos", "sketch1", "sketch2", "doc", "line"]
+    columns = ["seq", "sketch1", "sketch2", "doc", F.shiftleft(F.col("line").cast("long"), _POS).bitwiseOR(F.col("pos").cast("long")).alias("at")]
     schema = "later long, earlier long, apart int, same boolean, key long"
 
     def met(rows: DataFrame, tokens: int, most: int, before: int) -> tuple[DataFrame, DataFrame]:
