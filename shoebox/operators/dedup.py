@@ -36,14 +36,16 @@ def hash_range(queries: DataFrame, index: DataFrame, max_hamming: int = MAX_HAMM
     m = max_hamming // 2 + 1
     edges = [64 * i // m for i in range(m + 1)]
     whole = F.shiftleft(hashing.half(F.col("hash")), 32).bitwiseOR(hashing.half(F.col("hash"), True))
-    coded = lambda df: df.where(F.length("hash") == hashing.DIGITS).select("id", whole.alias("code"))
+    coded = lambda df: cut(df.where(F.length("hash") == hashing.DIGITS).select("id", whole.alias("code")))  # noqa: E731  hashes are dear
+    rows = coded(index)
+    asked = rows if queries is index else coded(queries)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = [signed(((1 << b - a) - 1) << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     flips = F.array(*[F.array(*[F.lit(signed(x)).cast("long") for x in (0, *(1 << i for i in range(a, b)))]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
     banded = lambda df: df.select("*", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(x)) for x in masks])).alias("band", "value"))
-    asks = banded(coded(queries)).select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), "band", F.explode(F.transform(F.get(flips, F.col("band")), lambda x: F.col("value").bitwiseXOR(x))).alias("value"))
+    asks = banded(asked).select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), "band", F.explode(F.transform(F.get(flips, F.col("band")), lambda x: F.col("value").bitwiseXOR(x))).alias("value"))
     distance = F.bit_count(F.col("code").bitwiseXOR(F.col("query_code"))).cast("int")
-    met = asks.join(banded(coded(index)), ["band", "value"]).withColumn("distance", distance)
+    met = asks.join(banded(rows), ["band", "value"]).withColumn("distance", distance)
     return met.where(F.col("distance") <= max_hamming).select("query_id", "id", "distance").distinct()
 
 

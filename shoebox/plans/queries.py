@@ -745,3 +745,6 @@ def undo_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     j = e.select(F.lit("restructure_plan").alias("ref_type"), F.col("user_id").cast("string").alias("ref_id"), F.lit("move").alias("op"), F.concat(F.lit("/a/"), F.col("event_id").cast("string")).alias("from_path"), F.concat(F.lit("/b/"), F.col("event_id").cast("string")).alias("to_path"), F.col("ts").alias("executed_at"), (F.col("event_type") != "error").alias("reversible"), F.col("event_id").alias("seq"))
     return restructure.undo_steps(j, "restructure_plan", "7").select("op", "from_path", "to_path", "seq")
+
+
+from shoebox.plans import catalog_queries  # noqa: E402, F401  registers its queries here
