@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import media as paths
+from shoebox.sources import measures
 
 
 def is_online(spark: SparkSession, path: str) -> bool:
@@ -95,6 +96,18 @@ def probe(files: DataFrame, measure: MediaProbe = no_probe) -> DataFrame:
     )
 
 
+def media_probe(path: str, content: bytes) -> dict[str, Any]:
+    """Measures that a photo's or video's own bytes tell, and a photo's gray grid where an image library is installed."""
+    name = path.lower()
+    if name.endswith(paths.VIDEO_EXTENSIONS):
+        return measures.video_measures(content)
+    try:
+        seen = image_probe(path, content)
+    except Exception:  # noqa: BLE001  a picture that cannot be decoded still has its date
+        seen = {}
+    return seen | measures.photo_measures(content)
+
+
 def image_probe(path: str, content: bytes) -> dict[str, Any]:
     """Measures of a photo where an image library is installed; nothing otherwise."""
     try:

@@ -1,12 +1,13 @@
 import os
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shoebox.plans.store import Store, nested, page
-from shoebox.sources import fileops, files, models
-from shoebox.streaming import ingest, jobs
+from shoebox.sources import fileops, files, measures, models
+from shoebox.streaming import ingest
 
 
 @pytest.fixture()
@@ -71,6 +72,43 @@ def test_scan_and_probe(spark, tree):
     assert (cut["status"], bytes(cut["body"])) == (206, b".j")
 
 
+def jpeg(order="<"):
+    """A header with orientation 6, a time taken and a place, and a picture of 40 x 30."""
+    p = lambda f, *v: struct.pack(order + f, *v)
+    entry = lambda tag, kind, n, value: p("HHI", tag, kind, n) + (value if isinstance(value, bytes) else p("I", value))
+    main, shot, place, data = 8, 50, 68, 122
+    tiff = (b"II*\0" if order == "<" else b"MM\0*") + p("I", main)
+    tiff += p("H", 3) + entry(0x0112, 3, 1, p("HH", 6, 0)) + entry(0x8769, 4, 1, shot) + entry(0x8825, 4, 1, place) + p("I", 0)
+    tiff += p("H", 1) + entry(0x9003, 2, 20, data) + p("I", 0)
+    tiff += p("H", 4) + entry(1, 2, 2, b"S\0\0\0") + entry(2, 5, 3, data + 20) + entry(3, 2, 2, b"E\0\0\0") + entry(4, 5, 3, data + 44) + p("I", 0)
+    tiff += b"2024:08:15 09:30:12\0" + p("IIIIII", 33, 1, 30, 1, 36, 1) + p("IIIIII", 151, 1, 12, 1, 0, 1)
+    part = lambda marker, held: bytes([0xFF, marker]) + struct.pack(">H", len(held) + 2) + held
+    return b"\xff\xd8" + part(0xE1, b"Exif\0\0" + tiff) + part(0xC0, b"\x08" + struct.pack(">HH", 30, 40) + b"\x03") + b"\xff\xda\x00\x02"
+
+
+def movie():
+    box = lambda name, held: struct.pack(">I", len(held) + 8) + name + held
+    mvhd = struct.pack(">IIIII", 0, measures.SINCE_1904 + 1_700_000_000, 0, 600, 6300) + bytes(80)
+    tkhd = bytes(76) + struct.pack(">II", 1920 << 16, 1080 << 16)
+    return box(b"ftyp", b"isom") + box(b"mdat", bytes(50)) + box(b"moov", box(b"mvhd", mvhd) + box(b"trak", box(b"tkhd", bytes(84))) + box(b"trak", box(b"tkhd", tkhd)))
+
+
+def test_dates_places_and_sizes_are_read_from_files(spark, tmp_path):
+    for order in "<>":
+        got = measures.photo_measures(jpeg(order))
+        assert (got["width"], got["height"], got["orientation"], got["taken_ms"]) == (40, 30, 6, 1723714212000)
+        assert got["lat"] == pytest.approx(-33.51) and got["lng"] == pytest.approx(151.2)
+    assert measures.video_measures(movie()) == {"duration_ms": 10500, "taken_ms": 1_700_000_000_000, "width": 1920, "height": 1080}
+    for n in range(0, len(jpeg()), 7):  # cut files say less and end nothing
+        measures.photo_measures(jpeg()[:n])
+        measures.video_measures(movie()[:n])
+    for name, held in (("a.jpg", jpeg()), ("b.mov", movie()), ("c.jpg", b"no picture")):
+        (tmp_path / name).write_bytes(held)
+    rows = {os.path.basename(r["source_ref"]): r for r in files.probe(files.contents(spark, str(tmp_path)), files.media_probe).collect()}
+    assert not rows["a.jpg"]["date_uncertain"] and rows["a.jpg"]["gps_lng"] == pytest.approx(151.2) and rows["b.mov"]["duration_ms"] == 10500
+    assert rows["c.jpg"]["date_uncertain"] and rows["c.jpg"]["width"] == 0
+
+
 def test_incremental_stream(spark, store, tree, tmp_path):
     run = lambda: ingest.index_root(spark, tree, "r", store, str(tmp_path / "cp")).awaitTermination()
     run()
@@ -129,24 +167,6 @@ def test_checksum_mismatch_keeps_the_original(tmp_path):
     assert os.path.exists(a) and not os.path.exists(tmp_path / "b")
 
 
-def test_jobs(spark, store):
-    ran = []
-    r = jobs.Runner(store)
-    r.register("index", lambda job: (ran.append(job.params["root"]), job.progress(1, 1), r.enqueue("analyze")))
-    r.register("analyze", lambda job: ran.append("analyze"))
-    first = r.enqueue("index", root="x")
-    r.pause(first)
-    r.run()
-    assert store.read("job").first()["status"] == "paused" and not ran
-    other = jobs.Runner(store)
-    other.handlers = r.handlers
-    r.paused.clear()
-    assert other.recover() == [first]
-    other.run()
-    r.run()
-    assert ran == ["x", "analyze"] and {j["status"] for j in store.read("job").collect()} == {"done"}
-
-
 def test_state_stream(spark, tmp_path):
     src = str(tmp_path / "t")
     spark.createDataFrame([("p", "a", "pending", 1), ("p", "a", "done", 2)], "plan_id string, media_id string, state string, seq int").write.json(src)
