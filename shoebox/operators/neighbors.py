@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shoebox.functions.vectors import cosine_distance
 from shoebox.operators.graph import components
+from shoebox.plans.lineage import cut
 
 K, THRESHOLD, BLOCK = 10, 0.35, 2048
 
@@ -51,6 +53,66 @@ def top_k(query: DataFrame, rows: DataFrame, k: int = K, block: int = BLOCK, ear
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("seq")
 
 
+def fit_cells(rows: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 1) -> np.ndarray:
+    """Centres of the cells of a vector space, by a few rounds of spherical k-means on a sample of ``rows``.
+
+    At most ``sample`` rows, taken by the hash of their ids, reach the driver; the number of cells is the root of the
+    number of rows, and at most a sixteenth of the sample.
+    """
+    n = rows.count()
+    cells = cells or max(1, min(int(n**0.5), sample // 16))
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("embedding").cast("array<double>").alias("v")).toPandas()["v"]
+    x = np.array(some.tolist(), float).reshape(len(some), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(8):
+        near = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        held = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(held > 0, sums / np.maximum(held, 1e-12), c)
+    return c
+
+
+def in_cells(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """Adds ``nth``, ``cell``: a row for each of the ``probes`` cells nearest to each vector, from 0.  ``centres`` are few (``fit_cells``) and go to every task."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        x = np.array(v.tolist(), float).reshape(len(v), -1)
+        return pd.Series(list(np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    return rows.select("*", F.posexplode(nearest(F.col("embedding").cast("array<double>"))).alias("nth", "cell"))
+
+
+def probes_for(rows: DataFrame, centres: np.ndarray, k: int = K, recall: float = 0.95, sample: int = 200) -> int:
+    """Cells that a query must look into to meet ``recall`` of its ``k`` nearest rows, measured against ``top_k`` for ``sample`` rows."""
+    asked = cut(rows.orderBy(F.xxhash64("id", F.lit(2)), "id").limit(sample))
+    exact = top_k(asked, rows, k).select("query_id", F.col("id").alias("_id"))
+    own = in_cells(rows.select("id", "embedding"), centres).select(F.col("id").alias("_own"), "cell")
+    order = in_cells(asked.select("id", "embedding"), centres, len(centres)).select(F.col("id").alias("query_id"), "nth", "cell")
+    met = exact.join(own, F.col("_id") == F.col("_own")).join(order, ["query_id", "cell"])
+    last = met.agg(F.percentile("nth", recall)).first()[0]
+    return int(np.ceil(last)) + 1 if last is not None else 1
+
+
+def approximate_top_k(query: DataFrame, rows: DataFrame, k: int = K, centres: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
+    """``query_id``, ``id``, ``distance``, ``rank`` like ``top_k``, looked for in each query's ``probes`` nearest cells only.
+
+    Every row is indexed: it lies in the cell of its nearest centre.  Queries meet the rows of their cells in a
+    shuffled join, and each task keeps ``k`` rows of a query before the last shuffle.  Recall grows with ``probes``,
+    which ``probes_for`` measures where they are not given; with as many as there are cells the result is exact.
+    """
+    centres = fit_cells(rows) if centres is None else centres
+    probes = probes_for(rows, centres, k) if probes is None else probes
+    q = in_cells(query.select("id", F.col("embedding").cast("array<double>").alias("embedding")), centres, probes).select(F.col("id").alias("query_id"), F.col("embedding").alias("asked"), "cell")
+    r = in_cells(rows.select("id", "seq", F.col("embedding").cast("array<double>").alias("embedding")), centres)
+    met = q.join(r.hint("merge"), "cell").where("id <> query_id").select("query_id", "id", "seq", cosine_distance(F.col("asked"), F.col("embedding")).alias("distance"))
+    best = W.partitionBy("query_id").orderBy("distance", "seq")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("seq")
+
+
 def cluster_faces(faces: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """``node``, ``component``: faces linked to those of their ``k`` nearest earlier faces that are within ``threshold``.
 

@@ -181,3 +181,26 @@ def test_nms_and_decoders(spark):
     flat = [10.0, 35.0, 20.0, 20.0] + [0.0] * 10 + [0.9] + [0.0] * 15
     r = boxes.decode_rows(spark.createDataFrame([("i", flat, 200, 100)], "image_id string, data array<double>, orig_w int, orig_h int"), 100, 100, 0.5).collect()
     assert len(r) == 1 and r[0]["bbox"] == [20.0, 20.0, 40.0, 40.0]
+
+
+def test_approximate_neighbours_have_most_of_the_exact_ones(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "vec_id AS seq", "embedding")
+    asked = e.where("id % 20 = 0")
+    exact = {(r["query_id"], r["id"]) for r in neighbors.top_k(asked, e).collect()}
+    found = {(r["query_id"], r["id"]) for r in neighbors.approximate_top_k(asked, e).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    cells = neighbors.fit_cells(e, 5)
+    whole = {(r["query_id"], r["id"]) for r in neighbors.approximate_top_k(asked, e, centres=cells, probes=5).collect()}
+    assert whole == exact
+
+
+def test_hash_range_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    index = [rnd.getrandbits(64) for _ in range(200)]
+    asked = [h ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(9))) for h in index[:60]]
+    frame = lambda hs: spark.createDataFrame([(i, f"{h:016x}") for i, h in enumerate(hs)] + [(-1, "short"), (-2, None)], "id int, hash string")
+    for most in (0, 1, 4, 5, 7):
+        got = {(r["query_id"], r["id"]) for r in dedup.hash_range(frame(asked), frame(index), most).collect()}
+        assert got == {(i, j) for i, a in enumerate(asked) for j, b in enumerate(index) if (a ^ b).bit_count() <= most}
