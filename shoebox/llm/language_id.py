@@ -168,12 +168,14 @@ def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     return identify(page_parts(pages), *fit(labelled)).withColumnRenamed("row", "page_id")
 
 
-def accepted(docs: DataFrame, sample: int = SAMPLE, accept: float = ACCEPT, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+def accepted(docs: DataFrame, sample: int = SAMPLE, accept: float = ACCEPT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", declared_col: str | None = None, host_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with probability at least ``accept``.
 
-    Rejected are rows without letters and rows for which no known language leads.
+    Rejected are rows without letters and rows for which no known language leads.  The text model is fitted on a
+    bounded sample of rows with ``label_col``, which is no evidence of a row's language; ``declared_col`` is, where
+    the rows have one that is not the label.
     """
-    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("md5")).alias("row"), F.col(text_col).alias("text"), F.col(declared_col).cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
-    found = identify(rows, *fit(docs, sample, text_col, declared_col))
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("md5")).alias("row"), F.col(text_col).alias("text"), (F.lit(None) if declared_col is None else F.col(declared_col)).cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
+    found = identify(rows, *fit(docs, sample, text_col, label_col))
     bad = found.where((F.col("language") == UNKNOWN) | (F.col("probability") < accept)).select("row.id", "row.md5").distinct().alias("bad")
     return docs.alias("docs").join(bad, F.col(f"docs.{id_col}").cast("long").eqNullSafe(F.col("bad.id")) & F.md5(F.col(f"docs.{text_col}")).eqNullSafe(F.col("bad.md5")), "left_anti")
