@@ -625,7 +625,15 @@ def letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", "l.new_w", "l.new_h", "l.pad_x", "l.pad_y", rounded(F.col("l.scale")).alias("scale"), F.round(back[0], 3).alias("x"), F.round(back[3], 3).alias("side"))
 
 
-@query()
+@query(f"""
+  WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS i FROM (SELECT p_brand AS image_id, p_partkey AS box_id, {_BOX}::DOUBLE[] AS f, p_retailprice % 97 / 97 AS score FROM part)),
+  r AS (SELECT DISTINCT image_id, 0::BIGINT AS i, []::STRUCT(box_id BIGINT, score DOUBLE, f DOUBLE[])[] AS kept FROM b UNION ALL
+    SELECT r.image_id, b.i, CASE WHEN len(kept) >= 100 OR len(list_filter(kept, lambda k: greatest(0, least(b.f[1] + b.f[3], k.f[1] + k.f[3]) - greatest(b.f[1], k.f[1])) * greatest(0, least(b.f[2] + b.f[4], k.f[2] + k.f[4]) - greatest(b.f[2], k.f[2]))
+      > 0.4 * (b.f[3] * b.f[4] + k.f[3] * k.f[4] - greatest(0, least(b.f[1] + b.f[3], k.f[1] + k.f[3]) - greatest(b.f[1], k.f[1])) * greatest(0, least(b.f[2] + b.f[4], k.f[2] + k.f[4]) - greatest(b.f[2], k.f[2]))))) > 0
+      THEN kept ELSE list_append(kept, {{'box_id': b.box_id, 'score': b.score, 'f': b.f}}) END
+    FROM r JOIN b ON b.image_id = r.image_id AND b.i = r.i + 1),
+  kept AS (SELECT image_id, unnest(kept) AS k FROM r QUALIFY i = max(i) OVER (PARTITION BY image_id))
+  SELECT image_id, k.box_id AS box_id, round(k.score, 6) AS score FROM kept""")
 def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "part").select(F.col("p_brand").alias("image_id"), F.col("p_partkey").alias("box_id"), part_box().alias("bbox"), (F.col("p_retailprice") % 97 / 97).alias("score"))
     return boxes.nms(b).select("image_id", "box_id", rounded(F.col("score")).alias("score"))
