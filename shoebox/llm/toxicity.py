@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -51,6 +53,9 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+#: Signs around a word; and those of them that are not written for a letter.
+_OUTER = "!$@|.,;:?'\"()[]{}*#%&-_"
+_OUTER_BUT_LETTERS = _OUTER.replace("$", "").replace("@", "")
 
 
 def fold(text: str | None) -> str:
@@ -58,13 +63,18 @@ def fold(text: str | None) -> str:
 
     Upper case, accents, look-alike letters, full-width forms and invisible characters are folded away; digits
     and signs that stand for letters become them, except that signs at a word's end or without a letter beside
-    them part words.
+    them part words.  A word with ``$`` or ``@`` right before or after it stands twice: without it, and with it as
+    the letter it may be meant for.
     """
     words = []
     for w in (text or "").split():
-        core = w.strip("!$@|.,;:?'\"()[]{}*#%&-_") if not w.isalnum() else w
+        core = w.strip(_OUTER) if not w.isalnum() else w
         if core and any(x.isalpha() for x in core):
             words.append(core.translate(_FOLD))
+            if len(core) < len(w):
+                wide = w.strip(_OUTER_BUT_LETTERS)
+                if len(wide) > len(core) and core[0].isalpha() and core[-1].isalpha():
+                    words.append(wide.translate(_FOLD))
     return " " + " ".join(" ".join(words).split()) + " "
 
 
@@ -101,7 +111,10 @@ def _matched(folded: str, terms: ahocorasick.Automaton | None) -> tuple[float, i
         elif w > at.get(begin, 0.0):
             at[begin] = w
     if spared and at:
-        at = {b: w for b, w in at.items() if not any(x <= b < y for x, y in spared)}
+        spared.sort()
+        begins, reach = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        inside = lambda b: (i := bisect_right(begins, b)) > 0 and reach[i - 1] > b
+        at = {b: w for b, w in at.items() if not inside(b)}
     return sum(at.values()), folded.count(" ") - 1
 
 

@@ -320,6 +320,23 @@ def test_folding_and_exceptions():
     assert toxicity._matched(" useful idiot scummy idiot ", terms) == (3.0, 4)
 
 
+def test_matching_against_a_naive_search():
+    rnd = random.Random(18)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
+    for _ in range(60):
+        weights = {rnd.choice([f" {w} ", f" {w}"]): rnd.random() + 0.1 for w in rnd.sample(words, 8)}
+        spared = tuple(f" {' '.join(rnd.sample(words, 2))} " for _ in range(6))
+        text = " " + " ".join(rnd.choice(words) for _ in range(60)) + " "
+        inside = {p for e in spared for b in range(len(text)) if text.startswith(e, b) for p in range(b, b + len(e) - 1)}
+        want = sum(max((w for t, w in weights.items() if text.startswith(t, b)), default=0.0) for b in range(len(text)) if b not in inside)
+        got, n = toxicity._matched(text, toxicity.Lexicon(weights, spared, (0.0, 0.0, 0.0)).automaton())
+        assert got == pytest.approx(want) and n == 60
+
+
+def test_signs_around_a_word_may_be_letters():
+    assert toxicity.fold("($hit) @ss a$$ $100 idiot! you@") == " hit shit ss ass a ass idiot you youa "
+
+
 # ---- 6
 
 
