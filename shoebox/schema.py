@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
+# The catalogue's tables with their columns, and below the values that columns may have.
 _DDL = {
     "root_folder": "id string, path string, drive_id string, is_online boolean, managed_by_other_app boolean, naming_template string",
     "media_item": "id string, root_id string, source_ref string, media_type string, created_at timestamp, date_uncertain boolean, gps_lat double, gps_lng double, place_name string, width int, height int, duration_ms long, orientation int, content_hash string, perceptual_hash string, thumb_path string, preview_path string, analysis_status string, video_proxy_path string",
