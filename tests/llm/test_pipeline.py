@@ -26,3 +26,20 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Rows without text, id, language or source, repeated rows, long texts and columns with clashing names end in no crash."""
+    (tmp_path / "sf").mkdir()
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    words = d.first()["text"]
+    odd = spark.createDataFrame([(None, words, "en", "a", 1), (900, None, "en", None, 0), (901, "", None, "a", 0), (902, words, "xx", "a", 9), (902, words, "xx", "a", 9), (903, words * 200, "en", None, 2)], d.schema)
+    clash = d.unionByName(odd).withColumns({c: F.lit("x") for c in ("_id", "row", "shard_", "md5", "target", "_times")})
+    for docs in (clash, clash.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = stage(spark, docs, str(tmp_path / "sf")).persist()
+            assert name == "sharding" or docs.columns == columns
+        ids = {r["doc_id"] for r in docs.collect()}
+        assert ids <= {r["doc_id"] for r in clash.collect()} - {900, 901}
