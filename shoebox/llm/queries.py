@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import decontaminate, hamming_topk, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from shoebox.llm import collocations, decontaminate, hamming_topk, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.page_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup,
     op2_token_counts,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_line_dedup,
     op9_simhash_dedup,
     op10_language_id,
+    op13_collocations,
 )}
 ORACLES: dict[str, str] = {
     "op8_line_dedup": """
@@ -96,6 +101,33 @@ ORACLES: dict[str, str] = {
         FROM numbered LEFT JOIN firsts ON numbered.s = firsts.s AND len(numbered.s) > 0 LEFT JOIN near ON firsts.pos = near.pos
         GROUP BY doc_id""",
 
+    "op13_collocations": """
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+        ), words AS (
+          SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+        ), places AS (
+          SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k
+        ), grams AS (
+          SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL
+        ), total AS (
+          SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+        ), often AS (
+          SELECT * FROM grams WHERE f >= 100
+        ), longer AS (
+          SELECT lang, f, ' ' || phrase || ' ' AS held, k FROM often WHERE k > 2
+        ), candidates AS (
+          SELECT * FROM often c WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM longer y WHERE y.lang = c.lang AND y.f = c.f AND y.k > c.k AND contains(y.held, ' ' || c.phrase || ' '))
+        ), cuts AS (
+          SELECT lang, phrase, f AS a, k, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM candidates
+        ), scored AS (
+          SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+          FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.cut], ' ') JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1 : len(c.w)], ' ') JOIN total t ON t.lang = c.lang
+          QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM scored
+        QUALIFY rank <= 2000""",
+
     "op7_hamming_topk": """
         WITH bits AS (
           SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)::INTEGER) ELSE 0 END))::UBIGINT AS code
