@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import media as paths
-from shoebox.sources import measures
+from shoebox.functions.hashing import dhash
+from shoebox.sources import measures, ranged, tree
 
 
 def is_online(spark: SparkSession, path: str) -> bool:
@@ -32,17 +33,14 @@ def _plain(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """``path``, ``mtime``, ``bytes``, ``media_type`` of the media files below a root; other applications' libraries are left out.
-
-    Contents are not read: the columns are pruned to the listing's.
-    """
-    f = _files(spark, root).select(_plain(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"))
-    return f.withColumn("media_type", paths.media_type(F.col("path"))).where(F.col("media_type").isNotNull() & ~paths.managed_by_other_app(F.col("path")))
+    """``path``, ``mtime``, ``bytes``, ``media_type`` of the media files below a root; other applications' libraries are not entered."""
+    tree.register(spark)
+    return spark.read.format(tree.FORMAT).option("path", root).load()
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
-    """``path``, ``content`` of the media files below a root."""
-    return _files(spark, root).select(_plain(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), "content").where(paths.media_type(F.col("path")).isNotNull())
+    """``path``, ``mtime``, ``bytes``, ``content`` of the media files below a root: whole files of at most 2 GB."""
+    return _files(spark, root).select(_plain(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"), "content").where(paths.media_type(F.col("path")).isNotNull())
 
 
 def new_files(scanned: DataFrame, known: DataFrame) -> DataFrame:
@@ -51,43 +49,47 @@ def new_files(scanned: DataFrame, known: DataFrame) -> DataFrame:
 
 
 class MediaProbe(Protocol):
-    """Reads the measures of one file: a dict with width, height, orientation, taken_ms, lat, lng, duration_ms, gray (9 x 8)."""
+    """Reads the measures of one open file: a dict with width, height, orientation, taken_ms, lat, lng, duration_ms, gray (9 x 8)."""
 
-    def __call__(self, path: str, content: bytes) -> dict[str, Any]: ...
+    def __call__(self, path: str, file: ranged.File) -> dict[str, Any]: ...
 
 
-def no_probe(path: str, content: bytes) -> dict[str, Any]:
+def no_probe(path: str, file: ranged.File) -> dict[str, Any]:
     """Knows nothing of a file: what is left is its hash and its modification time."""
     return {}
 
 
-PROBED = "path string, width int, height int, orientation int, taken_ms long, lat double, lng double, duration_ms long, gray array<int>"
+MEASURES = "width int, height int, orientation int, taken_ms long, lat double, lng double, duration_ms long, gray array<int>"
+PROBED = f"path string, mtime timestamp, content_hash string, {MEASURES}"
 
 
 def probe(files: DataFrame, measure: MediaProbe = no_probe) -> DataFrame:
-    """Media rows of files with ``path``, ``mtime``, ``content``.
+    """Media rows of files with ``path``, ``mtime``.
 
-    The content's SHA-256, the dhash of a photo's 9 x 8 gray grid ("" without one or for videos), the time taken
-    or else the modification time, which is uncertain.  A file that cannot be measured is indexed all the same.
+    A task opens each of its files where it lies, measures it by reading the ranges it needs, and hashes it chunk by
+    chunk, so files of any size pass through one chunk of memory and are read once.  Rows are: the content's
+    SHA-256, the dhash of a photo's 9 x 8 gray grid ("" without one or for videos), the time taken or else the modification
+    time, which is uncertain.  A file that cannot be measured is indexed all the same; one that cannot be read, or is
+    gone, is left out.
     """
+    names = [c.split()[0] for c in MEASURES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PROBED.split(", ")]
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, mtime in zip(pdf["path"], pdf["mtime"], strict=True):
                 try:
-                    got = measure(path, bytes(content))
-                except Exception:  # noqa: BLE001  damaged files stay in the index
-                    got = {}
-                rows.append([path] + [got.get(n) for n in names[1:]])
-            yield pd.DataFrame(rows, columns=names)
-
-    from shoebox.functions.hashing import dhash
-
-    got = files.select("path", "content").mapInPandas(run, PROBED)
-    hashed = files.select("path", "mtime", F.sha2("content", 256).alias("content_hash"))
-    m = hashed.join(got, "path").withColumn("media_type", paths.media_type(F.col("path")))
+                    with ranged.File(path) as file:
+                        try:
+                            got = measure(path, file)
+                        except Exception:  # noqa: BLE001  damaged files stay in the index
+                            got = {}
+                        rows.append([path, mtime, ranged.sha256(file)] + [got.get(n) for n in names])
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "mtime", "content_hash", *names])
+
+    m = files.select("path", "mtime").mapInPandas(run, PROBED).withColumn("media_type", paths.media_type(F.col("path")))
     grid = F.when((F.col("media_type") == "photo") & (F.size("gray") == 72), dhash(F.col("gray")))
     return m.select(
         F.concat(F.lit("media-"), F.md5("path")).alias("id"), F.col("path").alias("source_ref"), "media_type", F.coalesce(F.timestamp_millis("taken_ms"), "mtime").alias("created_at"), F.col("taken_ms").isNull().alias("date_uncertain"),
@@ -96,27 +98,25 @@ def probe(files: DataFrame, measure: MediaProbe = no_probe) -> DataFrame:
     )
 
 
-def media_probe(path: str, content: bytes) -> dict[str, Any]:
+def media_probe(path: str, file: ranged.File) -> dict[str, Any]:
     """Measures that a photo's or video's own bytes tell, and a photo's gray grid where an image library is installed."""
-    name = path.lower()
-    if name.endswith(paths.VIDEO_EXTENSIONS):
-        return measures.video_measures(content)
+    if path.lower().endswith(paths.VIDEO_EXTENSIONS):
+        return measures.video_measures(file)
     try:
-        seen = image_probe(path, content)
+        seen = image_probe(path, file)
     except Exception:  # noqa: BLE001  a picture that cannot be decoded still has its date
         seen = {}
-    return seen | measures.photo_measures(content)
+    return seen | measures.photo_measures(file)
 
 
-def image_probe(path: str, content: bytes) -> dict[str, Any]:
+def image_probe(path: str, file: ranged.File) -> dict[str, Any]:
     """Measures of a photo where an image library is installed; nothing otherwise."""
     try:
-        import io
-
         from PIL import Image
     except ImportError:
         return {}
-    image = Image.open(io.BytesIO(content))
+    file.file.seek(0)
+    image = Image.open(file.file)
     gray = list(image.convert("L").resize((9, 8)).getdata())
     return {"width": image.width, "height": image.height, "orientation": image.getexif().get(274, 1), "gray": gray}
 
@@ -168,7 +168,21 @@ def videos_without_proxy(media: DataFrame, limit: int = 0) -> DataFrame:
 
 
 def slice_of(files: DataFrame, header: Column) -> DataFrame:
-    """``path``, ``status``, ``body``: the bytes a range request asks for."""
-    r = paths.byte_range(header, F.length("content").cast("long"))
-    f = files.withColumn("_r", r)
-    return f.select("path", F.col("_r.status").alias("status"), F.substring("content", (F.col("_r.start") + 1).cast("int"), (F.col("_r.stop") - F.col("_r.start") + 1).cast("int")).alias("body"))
+    """``path``, ``status``, ``body``: the bytes that a range request asks for of files with ``path``, ``bytes``; only these are read.
+
+    A range that cannot be served has no body.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bodies = []
+            for path, start, stop in zip(pdf["path"], pdf["start"], pdf["stop"], strict=True):
+                if pd.isna(start) or pd.isna(stop):
+                    bodies.append(None)
+                    continue
+                with ranged.File(path) as file:
+                    bodies.append(file.read(int(start), int(stop) - int(start) + 1))
+            yield pd.DataFrame({"path": pdf["path"], "status": pdf["status"], "body": bodies})
+
+    asked = files.select("path", paths.byte_range(header, F.col("bytes").cast("long")).alias("r")).select("path", "r.start", "r.stop", "r.status")
+    return asked.mapInPandas(run, "path string, status int, body binary")

@@ -15,9 +15,9 @@ from shoebox.sources.files import MediaProbe, new_files, no_probe, probe
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New media files below a root, with their contents."""
+    """``path``, ``mtime`` of new media files below a root; their contents are left to the tasks that read them."""
     f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
-    f = f.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("mtime"), "content")
+    f = f.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("mtime"))
     return f.where(paths.media_type(F.col("path")).isNotNull() & ~paths.managed_by_other_app(F.col("path")))
 
 
