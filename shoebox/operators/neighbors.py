@@ -3,98 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoebox.functions.vectors import cosine_distance
+from shoebox.operators.cells import fit_cells, in_cells, probes_for
 from shoebox.operators.graph import components
-from shoebox.plans.lineage import cut
+from shoebox.operators.metric import within
+from shoebox.operators.topk import top_k
 
-K, THRESHOLD, BLOCK = 10, 0.35, 2048
-
-
-def top_k(query: DataFrame, rows: DataFrame, k: int = K, block: int = BLOCK, earlier_only: bool = False) -> DataFrame:
-    """``query_id``, ``id``, ``distance``, ``rank``: the ``k`` rows nearest to each query by cosine distance, then by ``seq``.
-
-    Both inputs have ``id``, ``seq``, ``embedding``; a row is not its own neighbour.  Exact: blocks of about
-    ``block`` vectors meet block by block, one matrix product a pair, and each pair hands on k rows a query.
-    ``earlier_only`` keeps rows with a smaller ``seq``.
-    """
-    n_q, n_r = max(1, -(-query.count() // block)), max(1, -(-rows.count() // block))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = query.select("id", "seq", F.col("embedding").cast("array<double>").alias("v"), deal(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"))
-    r = rows.select(F.col("id").alias("rid"), F.col("seq").alias("rseq"), F.col("embedding").cast("array<double>").alias("rv"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("rqb"), deal(n_r).alias("rrb"))
-    id_type = query.schema["id"].dataType.simpleString()
-    seq_type = rows.schema["seq"].dataType.simpleString()
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "id": [], "seq": [], "distance": []}
-        if len(a) and len(b):
-            x, y = np.array(a["v"].tolist(), float), np.array(b["rv"].tolist(), float)
-            length = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
-            d = np.where(length == 0, 1.0, 1 - x @ y.T / np.where(length == 0, 1.0, length))
-            other = a["id"].to_numpy()[:, None] != b["rid"].to_numpy()[None, :]
-            if earlier_only:
-                other &= b["rseq"].to_numpy()[None, :] < a["seq"].to_numpy()[:, None]
-            seq = b["rseq"].to_numpy()
-            for i in range(len(a)):
-                at = np.flatnonzero(other[i])
-                at = at[np.lexsort((seq[at], d[i, at]))[:k]]
-                out["query_id"] += [a["id"].iloc[i]] * len(at)
-                out["id"] += b["rid"].iloc[at].tolist()
-                out["seq"] += seq[at].tolist()
-                out["distance"] += d[i, at].tolist()
-        return pd.DataFrame(out)
-
-    met = q.groupBy("qb", "rb").cogroup(r.groupBy("rqb", "rrb")).applyInPandas(near, f"query_id {id_type}, id {id_type}, seq {seq_type}, distance double")
-    best = W.partitionBy("query_id").orderBy("distance", "seq")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("seq")
-
-
-def fit_cells(rows: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 1) -> np.ndarray:
-    """Centres of the cells of a vector space, by a few rounds of spherical k-means on a sample of ``rows``.
-
-    At most ``sample`` rows, taken by the hash of their ids, reach the driver; the number of cells is the root of the
-    number of rows, and at most a sixteenth of the sample.
-    """
-    n = rows.count()
-    cells = cells or max(1, min(int(n**0.5), sample // 16))
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("embedding").cast("array<double>").alias("v")).toPandas()["v"]
-    x = np.array(some.tolist(), float).reshape(len(some), -1)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(8):
-        near = (x @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        held = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(held > 0, sums / np.maximum(held, 1e-12), c)
-    return c
-
-
-def in_cells(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
-    """Adds ``nth``, ``cell``: a row for each of the ``probes`` cells nearest to each vector, from 0.  ``centres`` are few (``fit_cells``) and go to every task."""
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), float).reshape(len(v), -1)
-        return pd.Series(list(np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    return rows.select("*", F.posexplode(nearest(F.col("embedding").cast("array<double>"))).alias("nth", "cell"))
-
-
-def probes_for(rows: DataFrame, centres: np.ndarray, k: int = K, recall: float = 0.95, sample: int = 200) -> int:
-    """Cells that a query must look into to meet ``recall`` of its ``k`` nearest rows, measured against ``top_k`` for ``sample`` rows."""
-    asked = cut(rows.orderBy(F.xxhash64("id", F.lit(2)), "id").limit(sample))
-    exact = top_k(asked, rows, k).select("query_id", F.col("id").alias("_id"))
-    own = in_cells(rows.select("id", "embedding"), centres).select(F.col("id").alias("_own"), "cell")
-    order = in_cells(asked.select("id", "embedding"), centres, len(centres)).select(F.col("id").alias("query_id"), "nth", "cell")
-    met = exact.join(own, F.col("_id") == F.col("_own")).join(order, ["query_id", "cell"])
-    last = met.agg(F.percentile("nth", recall)).first()[0]
-    return int(np.ceil(last)) + 1 if last is not None else 1
+K, THRESHOLD = 10, 0.35
 
 
 def approximate_top_k(query: DataFrame, rows: DataFrame, k: int = K, centres: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
@@ -118,7 +37,7 @@ def cluster_faces(faces: DataFrame, threshold: float = THRESHOLD, k: int = K) ->
 
     Order matters: a face links only to faces before it in ``seq``, and only to the k nearest of all of them.
     """
-    near = top_k(faces, faces, k, earlier_only=True).where(F.col("distance") <= threshold)
+    near = within(faces, faces, threshold, k, earlier_only=True) if threshold < 1 else top_k(faces, faces, k, earlier_only=True).where(F.col("distance") <= threshold)
     return components(faces.select("id"), near.select(F.col("query_id").alias("a"), F.col("id").alias("b")), "id")
 
 
@@ -131,40 +50,14 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return mean.select(by, F.transform("mean", lambda x: x / F.when(length == 0, 1.0).otherwise(length)).alias("centroid"))
 
 
-def nearest_anchor(faces: DataFrame, anchors: DataFrame, rejected: DataFrame | None = None, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """``face_id``, ``person_id``, ``distance`` of the nearest allowed anchor within ``threshold``, the earlier one on a tie.
+def nearest_anchor(faces: DataFrame, anchors: DataFrame, rejected: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``face_id``, ``person_id``, ``distance`` of the nearest allowed anchor within ``threshold`` (below 1), the earlier one on a tie.
 
     ``anchors`` (``person_id``, ``seq``, ``centroid``) are one row a person; ``rejected`` has ``face_id``,
-    ``person_id``.  Blocks of about ``block`` faces and anchors meet block by block, one matrix product a pair, and
-    each pair hands on one row a face; a face carries the persons it was refused.
+    ``person_id``.  Faces meet only the anchors that metric bounds leave in reach (``metric.within``).
     """
-    n_f, n_a = max(1, -(-faces.count() // block)), max(1, -(-anchors.count() // block))
-    f = faces.select("face_id", F.col("embedding").cast("array<double>").alias("v"))
-    person_type, face_type, seq_type = (df.schema[c].dataType.simpleString() for df, c in ((anchors, "person_id"), (faces, "face_id"), (anchors, "seq")))
-    if rejected is None:
-        f = f.withColumn("no", F.array().cast(f"array<{person_type}>"))
-    else:
-        f = f.join(rejected.groupBy("face_id").agg(F.collect_set("person_id").alias("no")), "face_id", "left").withColumn("no", F.coalesce("no", F.array().cast(f"array<{person_type}>")))
-    deal = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    f = f.select("*", deal(n_f, "face_id").alias("fb"), every(n_a).alias("ab"))
-    a = anchors.select("person_id", "seq", F.col("centroid").cast("array<double>").alias("c"), every(n_f).alias("afb"), deal(n_a, "person_id").alias("aab"))
-
-    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        names = ["face_id", "person_id", "seq", "distance"]
-        y = y.sort_values("seq", kind="stable")
-        if not len(x) or not len(y):
-            return pd.DataFrame({n: [] for n in names})
-        v, c = np.array(x["v"].tolist(), float), np.array(y["c"].tolist(), float)
-        length = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
-        d = np.where(length == 0, 1.0, 1 - v @ c.T / np.where(length == 0, 1.0, length))
-        place = {p: i for i, p in enumerate(y["person_id"])}
-        for i, no in enumerate(x["no"]):
-            d[i, [place[p] for p in no if p in place]] = np.inf
-        best = d.argmin(axis=1)  # the first of equals: the least seq
-        out = pd.DataFrame({"face_id": x["face_id"].to_numpy(), "person_id": y["person_id"].to_numpy()[best], "seq": y["seq"].to_numpy()[best], "distance": d[np.arange(len(x)), best]})
-        return out[out["distance"] <= threshold]
-
-    met = f.groupBy("fb", "ab").cogroup(a.groupBy("afb", "aab")).applyInPandas(near, f"face_id {face_type}, person_id {person_type}, seq {seq_type}, distance double")
-    best = met.groupBy("face_id").agg(F.min(F.struct("distance", "seq", "person_id")).alias("b"))
-    return best.select("face_id", "b.person_id", "b.distance")
+    f = faces.select(F.col("face_id").alias("id"), "embedding")
+    a = anchors.select(F.col("person_id").alias("id"), "seq", F.col("centroid").alias("embedding"))
+    no = None if rejected is None else rejected.select(F.col("face_id").alias("query_id"), F.col("person_id").alias("id"))
+    near = within(f, a, threshold, 1, banned=no, own=True)
+    return near.select(F.col("query_id").alias("face_id"), F.col("id").alias("person_id"), "distance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -10,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the session sets it, else (tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``, which a cluster's session must set.
+
+    Where it is unset and Spark runs in this process alone, as in tests, a temporary folder is made and set.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shoebox-checkpoint-")
         atexit.register(shutil.rmtree, path, True)
     spark.sparkContext.setCheckpointDir(path)
@@ -26,3 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once; later plans read the checkpoint and a lost executor costs no more than that."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows, with all that is in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,14 +6,16 @@ embeddings for face vectors, documents for contents, customers for persons.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import geometry, hashing, media, naming, quality, vectors
-from shoebox.operators import boxes, curation, dedup, direction, junk, neighbors, persons, restructure, space
+from shoebox.operators import boxes, curation, dedup, direction, junk, metric, neighbors, persons, restructure, space, vector_index
 from shoebox.plans import store
+from shoebox.plans.lineage import cut, delete, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -397,6 +399,29 @@ def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.cluster_faces(faces(spark, sf_dir), 0.6)
 
 
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours from a stored index of all vectors; tests measure its recall against ``knn_topk``."""
+    f = faces(spark, sf_dir)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index = vector_index.VectorIndex.create(f, path)
+    found = cut(index.search(f.where("id % 20 = 0")))
+    delete(spark, path)
+    return found.select("query_id", "id", rounded(F.col("distance")).alias("distance"), "rank")
+
+
+@query(f"""
+  WITH {_VECTORS}, d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, 1 - list_dot_product(a.e, b.e) / (a.len * b.len) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id <> b.vec_id + 1),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM d WHERE distance <= 0.7)
+  SELECT query_id, id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3""")
+def neighbors_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors within a distance but for the one before, found by metric pruning."""
+    f = faces(spark, sf_dir)
+    before = f.select(F.col("id").alias("query_id"), (F.col("id") - 1).alias("id"))
+    found = metric.within(f, f, 0.7, 3, banned=before)
+    return found.select("query_id", "id", rounded(F.col("distance")).alias("distance"), "rank")
+
+
 _CENTROIDS = """
   parts AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
   means AS (SELECT label, i, avg(x) AS m FROM parts GROUP BY ALL),
