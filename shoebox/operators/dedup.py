@@ -36,7 +36,8 @@ def hash_range(queries: DataFrame, index: DataFrame, max_hamming: int = MAX_HAMM
     m = max_hamming // 2 + 1
     edges = [64 * i // m for i in range(m + 1)]
     whole = F.shiftleft(hashing.half(F.col("hash")), 32).bitwiseOR(hashing.half(F.col("hash"), True))
-    coded = lambda df: cut(df.where(F.length("hash") == hashing.DIGITS).select("id", whole.alias("code")))  # noqa: E731  hashes are dear
+    # hashes are dear: they are computed once, before a filter on them could be pushed below what makes them
+    coded = lambda df: cut(cut(df.select("id", "hash")).where(F.length("hash") == hashing.DIGITS).select("id", whole.alias("code")))
     rows = coded(index)
     asked = rows if queries is index else coded(queries)
     signed = lambda x: x - (1 << 64) if x >> 63 else x

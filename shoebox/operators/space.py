@@ -40,8 +40,9 @@ def folder_counts(items: DataFrame, root: str) -> DataFrame:
 
     A grouped count of path prefixes: a hierarchical roll-up without collecting paths.
     """
-    rel = F.regexp_replace(F.regexp_replace("to_path", r"/[^/]*$", ""), "^" + root.rstrip("/").replace(".", r"\.") + "/?", "")
-    parts = F.filter(F.split(rel, "/"), lambda s: s != "")
+    folder, base = F.regexp_replace("to_path", r"/[^/]*$", ""), root.rstrip("/")
+    below = F.when(F.concat(folder, F.lit("/")).startswith(F.lit(base + "/")), F.substring(folder, len(base) + 1, 1 << 30)).otherwise(folder)
+    parts = F.filter(F.split(below, "/"), lambda s: s != "")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     return items.select(F.explode(prefixes).alias("path")).groupBy("path").agg(F.count("*").alias("added"))
 

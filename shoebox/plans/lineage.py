@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative plans with reliable checkpoints."""
+"""Cutting the lineage of iterative plans with tables in a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +29,53 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once; later plans read the checkpoint and a lost executor costs no more than that."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark knows, with all that is in it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _table(df: DataFrame) -> tuple[DataFrame, str]:
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a Parquet table in the shared folder: columnar, so later reads prune columns.
+
+    A lost executor costs no more than reading it again, and later plans know its true size, which a checkpoint's do not: that
+    keeps the estimate of what it was made from, and in a loop of joins these multiply without end.
+    """
+    return _table(df)[0]
+
+
+#: Lineage is cut by a written table.
+cut = written
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted when the ``with`` block ends.
+
+    What a block returns must not be read from its tables: it is ``written`` to an outer scratch, or by ``written``
+    of this module where it is the result.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        out, path = _table(df)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop()
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []

@@ -16,6 +16,7 @@ from shoebox.functions import geometry, hashing, media, naming, quality, vectors
 from shoebox.operators import boxes, curation, dedup, direction, junk, metric, neighbors, persons, restructure, space, vector_index
 from shoebox.plans import store
 from shoebox.plans.lineage import cut, delete, shared_dir
+from shoebox.streaming import plan_states
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -743,6 +744,34 @@ def folder_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.folder_counts(order_sources(spark, sf_dir).select(_target().alias("to_path")), "/lib")
 
 
+@query("""
+  WITH f AS (SELECT 'o' || o_orderpriority[1] || '/' || o_orderstatus AS folder, count(*) AS n FROM orders GROUP BY 1),
+  p AS (SELECT '' AS path, n FROM f UNION ALL SELECT split_part(folder, '/', 1), n FROM f UNION ALL SELECT folder, n FROM f)
+  SELECT path, sum(n)::BIGINT AS added FROM p GROUP BY 1""")
+def folder_counts_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder counts below a root whose name has signs of patterns."""
+    o = table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("/vol/a+b (1)/o"), F.substring("o_orderpriority", 1, 1), F.lit("/"), F.col("o_orderstatus"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".jpg"))
+    return space.folder_counts(o.select(path.alias("to_path")), "/vol/a+b (1)")
+
+
+@query("""
+  SELECT o_orderkey, o_orderdate, ((row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1) // 30 + 1)::INTEGER AS page
+  FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) <= 90""")
+def cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of 30, each found from the cursor of the one before."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    out, after = None, None
+    for page in (1, 2, 3):
+        own = cut(store.cursor_page(o, "o_orderdate", "o_orderkey", 30, after).withColumn("page", F.lit(page)))
+        out = own if out is None else out.unionByName(own)
+        nxt = own.select("next_cursor").first()[0]
+        if nxt is None:
+            break
+        after = (nxt["key"], nxt["identity"])
+    return out.drop("next_cursor")
+
+
 # ---- state machines ----
 
 
@@ -781,3 +810,18 @@ def undo_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from shoebox.plans import catalog_queries  # noqa: E402, F401  registers its queries here
+
+
+@query("""
+  WITH s AS (SELECT (user_id % 10)::VARCHAR AS plan_id, user_id::VARCHAR AS media_id, user_id % 2 = 0 AS same, event_id AS seq,
+    CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'copied' WHEN 'signup' THEN 'verified' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS state FROM events),
+  b AS (SELECT *, lag(state) OVER (PARTITION BY media_id ORDER BY seq) AS before FROM s)
+  SELECT plan_id, media_id, seq, before, state, CASE
+    WHEN before IS NULL AND state = 'pending' OR before IN ('pending', 'renamed', 'copied', 'verified', 'source_trashed') AND state = 'failed' AND (NOT same OR before = 'pending')
+      OR NOT same AND (before || '>' || state) IN ('pending>copied', 'copied>verified', 'verified>source_trashed', 'source_trashed>done') THEN 'ok'
+    WHEN before = state THEN 'repeated' ELSE 'illegal' END AS verdict FROM b""")
+def transition_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transition of the event log against the orders that items of one drive and of two may take."""
+    t = event_transitions(spark, sf_dir)
+    t = t.select(F.col("plan_id").cast("string").alias("plan_id"), F.col("media_id").cast("string").alias("media_id"), (F.col("media_id") % 2 == 0).alias("same_drive"), "state", "seq")
+    return plan_states.check_transitions(t)

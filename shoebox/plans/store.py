@@ -1,111 +1,12 @@
-"""The catalogue's tables as append-only Parquet logs, read as their latest rows."""
+"""Reads of catalogue tables: logs as their latest rows, pages, picks by status, parents with their children."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
-
-from shoebox import schema as tables
-
-PUT, DELETE, CLEAR = "put", "delete", "clear"
-
-
-class Store:
-    """Tables under one folder.  Every write appends a numbered step of Parquet files; nothing is changed in place.
-
-    A read takes, of the steps after the last clearing one, each key's last row unless that deletes it.  Steps
-    are numbered by the writer (one writer, as a catalogue has), and ``seq`` is the order of first insertion,
-    kept when a row is replaced.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _log_schema(self, table: str) -> StructType:
-        return tables.schema(table).add("_op", StringType()).add("_step", LongType()).add("_at", LongType())
-
-    def _log(self, table: str) -> DataFrame:
-        return self.spark.read.schema(self._log_schema(table)).parquet(f"{self.path}/{table}")
-
-    def migrate(self) -> list[str]:
-        """Create the tables of versions that are not applied yet; their names in order."""
-        new = []
-        for version, names in tables.VERSIONS:
-            for name in names:
-                if not self._exists(f"{self.path}/{name}"):
-                    self.spark.createDataFrame([], self._log_schema(name)).write.mode("append").parquet(f"{self.path}/{name}")
-                    new.append(f"{version}:{name}")
-        return new
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _append(self, table: str, rows: DataFrame, op: str) -> None:
-        step = (self._log(table).agg(F.max("_step")).first()[0] or 0) + 1
-        cols = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in tables.schema(table).fields]
-        out = rows.select(*cols, F.lit(op).alias("_op"), F.lit(step).cast("long").alias("_step"), F.monotonically_increasing_id().alias("_at"))
-        out.write.mode("append").parquet(f"{self.path}/{table}")
-
-    def check(self, table: str, rows: DataFrame) -> DataFrame:
-        """Rows with values that the table's columns may not have."""
-        bad = F.lit(False)
-        for (name, col), values in tables.ALLOWED.items():
-            if name == table and col in rows.columns:
-                bad = bad | (F.col(col).isNotNull() & ~F.col(col).isin(*values))
-        return rows.where(bad)
-
-    def put(self, table: str, rows: DataFrame) -> None:
-        """Insert rows or replace those with the same key."""
-        if not self.check(table, rows).isEmpty():
-            raise ValueError(f"{table}: a value is not allowed")
-        self._append(table, rows, PUT)
-
-    def delete(self, table: str, rows: DataFrame) -> None:
-        self._append(table, rows, DELETE)
-
-    def clear(self, *names: str) -> None:
-        for name in names:
-            self._append(name, self.spark.range(1).select(F.lit(None).alias("_none")), CLEAR)
-
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """All rows of a table at once; ``rows`` may come from a read of the table, whose files stay as they were."""
-        self.clear(table)
-        self._append(table, rows, PUT)
-
-    def replace_part(self, table: str, column: str, value: str, rows: DataFrame) -> None:
-        """The rows of one parent (``column`` = ``value``) give way to ``rows``."""
-        self.delete(table, self.read(table).where(F.col(column) == value))
-        self._append(table, rows, PUT)
-
-    def read(self, table: str) -> DataFrame:
-        """The present rows, with ``seq``: their order of first insertion."""
-        log, keys = self._log(table), list(tables.KEYS[table])
-        cleared = log.where(F.col("_op") == CLEAR).agg(F.coalesce(F.max("_step"), F.lit(0)).alias("_cleared"))
-        log = log.crossJoin(F.broadcast(cleared)).where((F.col("_step") > F.col("_cleared")) & (F.col("_op") != CLEAR)).drop("_cleared")
-        return latest(log, keys).where(F.col("_op") == PUT).drop("_op")
-
-    def patch(self, table: str, where: Column, **values: Column | str | int | float | bool | None) -> None:
-        """Set columns of the rows that ``where`` picks."""
-        lit = {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
-        rows = self.read(table).where(where).drop("seq")
-        self.put(table, rows.withColumns({k: v.cast(tables.schema(table)[k].dataType) for k, v in lit.items()}))
-
-    def upsert_media(self, rows: DataFrame) -> None:
-        """Media replace those with the same id or the same path."""
-        old = self.read("media_item").join(rows.select("source_ref", F.col("id").alias("_new")), "source_ref").where("id <> _new").drop("_new", "seq")
-        self.delete("media_item", old)
-        self.put("media_item", rows)
-
-    def reset_analysis(self) -> None:
-        """Forget what was derived from media and mark them pending; media keep their paths and hashes."""
-        self.clear("face", "person", "quality_score", "scene_label", "duplicate_group", "duplicate_member", "face_feedback", "cluster_merge_log")
-        self.patch("media_item", F.lit(True), analysis_status="pending")
-
 
 def latest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each key's last row of a log with ``_step``, ``_at``; ``seq`` numbers the key's first one."""
@@ -121,6 +22,25 @@ def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> D
     return out.limit(limit) if limit else out
 
 
+def cursor_page(rows: DataFrame, key: str, identity: str, limit: int, after: tuple | None = None) -> DataFrame:
+    """The ``limit`` rows that follow a cursor in descending order of ``key``, then ascending of ``identity``, which tells rows apart.
+
+    ``after`` is the last row's (key, identity), or none for the first page; a null key comes last.  Rows up to the cursor are filtered
+    by value, not skipped by count: the filter reaches the scan, and each task keeps ``limit`` rows.  Every row has
+    ``next_cursor``, a struct of the page's last key and identity, null where nothing follows.
+    """
+    k, i = F.col(key), F.col(identity)
+    if after is not None:
+        at, last = (F.lit(x).cast(rows.schema[c].dataType) for x, c in zip(after, (key, identity), strict=True))
+        rows = rows.where(k.isNull() & (i > last)) if after[0] is None else rows.where((k < at) | k.isNull() | ((k == at) & (i > last)))
+    some = rows.orderBy(k.desc_nulls_last(), i).limit(limit + 1)  # one row more tells whether another page follows
+    whole = W.orderBy(k.desc_nulls_last(), i)
+    ranked = some.withColumns({"_r": F.row_number().over(whole), "_n": F.count("*").over(W.partitionBy())})
+    cursor = F.struct(k.alias("key"), i.alias("identity"))
+    end = F.max(F.when(F.col("_r") == limit, cursor)).over(W.partitionBy())
+    return ranked.withColumn("next_cursor", F.when(F.col("_n") > limit, end)).where(F.col("_r") <= limit).drop("_r", "_n")
+
+
 def by_status(rows: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """Rows whose ``column`` is one of ``values``; none for no values."""
     return rows.where(F.col(column).isin(*values)) if values else rows.limit(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from shoebox.functions import media as paths
-from shoebox.plans.store import Store
+from shoebox.plans.lineage import cut
+from shoebox.plans.tables import Catalogue
 from shoebox.sources.files import MediaProbe, new_files, no_probe, probe
 
 
@@ -21,20 +22,20 @@ def file_stream(spark: SparkSession, root: str) -> DataFrame:
     return f.where(paths.media_type(F.col("path")).isNotNull() & ~paths.managed_by_other_app(F.col("path")))
 
 
-def index_root(spark: SparkSession, root: str, root_id: str, store: Store, checkpoint: str, measure: MediaProbe = no_probe, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def index_root(spark: SparkSession, root: str, root_id: str, store: Catalogue, checkpoint: str, measure: MediaProbe = no_probe, steps: Sequence[Callable[[DataFrame], None]] = ()) -> StreamingQuery:
     """Index what is new below a root and stop; run it again for what comes later.
 
     The stream's checkpoint remembers files, and a path that the store has is left out all the same, so a batch
-    that is run twice adds nothing.  ``after`` gets each batch's new media: the next step of a chain.
+    that is run twice adds nothing.  ``steps`` are the chain that follows, in order: each gets the stored media rows of the
+    batch's files.  They get them again when a batch is run again, whichever step it was cut off in, so each
+    step is to be one that may run twice.
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        new = probe(new_files(batch, store.read("media_item")), measure).withColumn("root_id", F.lit(root_id)).persist()
-        if not new.isEmpty():
-            store.put("media_item", new)
-            if after:
-                after(new)
-        new.unpersist()
+        found = cut(batch)
+        store.put("media_item", probe(new_files(found, store.read("media_item")), measure).withColumn("root_id", F.lit(root_id)))
+        for step in steps:
+            step(store.read("media_item").join(found.select(F.col("path").alias("source_ref")), "source_ref", "left_semi"))
 
     return file_stream(spark, root).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(add).start()
 

@@ -5,14 +5,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox.plans.store import Store, nested, page
+from shoebox.plans.store import nested, page
+from shoebox.plans.tables import Catalogue
 from shoebox.sources import fileops, files, measures, models
 from shoebox.streaming import ingest
 
 
 @pytest.fixture()
 def store(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "store"))
+    s = Catalogue(spark, str(tmp_path / "store"), 4)
     s.migrate()
     return s
 
