@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shoebox.llm._common import Scratch, written
 
 #: UTF-8 bytes of text that one automaton is built over.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 22
 #: Most frequent word pairs that are handed to every task (some tens of bytes each); more are brought to their shards by a shuffle.
 SHARED_PAIRS = 1 << 20
 #: Phrases that one Arrow batch of results holds.
