@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,10 @@ PRIOR, TAG_PRIOR = 8.0, 2.0
 NO_LANGUAGE, ACCEPT = 0.01, 0.5
 UNKNOWN = "und"
 
+_HIDDEN = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+_HTML = re.compile(r"<html\b", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.IGNORECASE)
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
@@ -39,7 +45,9 @@ def _trigrams(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = c[:-2] << 16 | c[1:-1] << 8 | c[2:]
     gram = (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_BITS)
-    return gram.astype(np.int64), np.minimum(np.searchsorted(at, place[1:-1] - 1, side="right") - 1, len(encoded) - 1)
+    doc = np.minimum(np.searchsorted(at, place - 1, side="right") - 1, len(encoded) - 1)
+    inside = (c[1:-1] != 32) | (doc[:-2] == doc[2:])  # a trigram around the space between two texts is of neither
+    return gram.astype(np.int64)[inside], doc[1:-1][inside]
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -101,12 +109,12 @@ def _normal(logs: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
 
 
-def identify(rows: DataFrame, langs: list[str], table: np.ndarray, prior: float = PRIOR) -> DataFrame:
+def identify(rows: DataFrame, langs: list[str], table: np.ndarray, prior: float = PRIOR, evidence: int = EVIDENCE) -> DataFrame:
     """Adds ``language``, ``probability``, ``text_language`` to ``rows`` with columns ``row``, ``text``, ``declared``, ``host``.
 
     Evidence: the text's trigram likelihood; the declared language, by how often each tag goes with each
     language; and the host's prior, smoothed to that of its registered name, that to its address suffix and
-    that to all rows.  Priors are grouped sums of what the texts say, each row's own part taken out.  A row
+    that to all rows.  A text's likelihood counts as that of ``evidence`` trigrams at most, however long it is.  Priors are grouped sums of what the texts say, each row's own part taken out.  A row
     without letters has text evidence for none; a null or empty host uses all rows; a null or malformed tag is
     a tag of its own.  ``language`` is "und" where no known language leads.  A model without languages says
     "und" for every row.
@@ -116,7 +124,7 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, prior: float
     labels = F.split("host", r"\.")
     n = F.size(labels)
     d = d.withColumn("domain", F.when(n >= 2, F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")).otherwise(F.col("host"))).withColumn("suffix", F.element_at(labels, -1))
-    d = likelihoods(d, langs, table)
+    d = likelihoods(d, langs, table, evidence)
     start = F.array(*[F.lit(float(np.log((1 - NO_LANGUAGE) / max(1, k - 1))))] * (k - 1), F.lit(float(np.log(NO_LANGUAGE))))
     d = d.withColumn("own", _normal(F.zip_with("ll", start, lambda a, b: a + b)))
     # half a millionth steps: sums of whole numbers do not depend on the order in which rows arrive
@@ -152,11 +160,55 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, prior: float
     return x.select("row", F.when(none, F.lit(UNKNOWN)).otherwise(lead(F.col("post"))).alias("language"), F.when(none, F.lit(0.0)).otherwise(F.array_max("post")).alias("probability"), F.when(none, F.lit(UNKNOWN)).otherwise(lead(F.col("own"))).alias("text_language"))
 
 
+def visible(html: str) -> str:
+    """A page's text: scripts, styles, comments and tags taken out, entities as their signs.  What is never closed is text.
+
+    One pass from sign to sign: whatever is missing once is not looked for again, so time grows with the page alone.
+    """
+    out, at, missing = [], 0, set()
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        end = -1
+        if "comment" not in missing and html.startswith("<!--", i):
+            end = html.find("-->", i + 4) + 3
+            if end < 3:
+                missing.add("comment")
+                end = -1
+        elif (m := _HIDDEN.match(html, i)) and m[1].lower() not in missing:
+            closed = _CLOSED[m[1].lower()].search(html, m.end())
+            if closed:
+                end = closed.end()
+            else:
+                missing.add(m[1].lower())
+        if end < 0:
+            end = html.find(">", i) + 1
+            if not end:
+                at = i
+                break
+        at = end
+    return unescape(" ".join([*out, html[at:]])).replace("\xa0", " ")
+
+
+def declared_language(html: str) -> str:
+    """The language that the first html tag with one declares, or ""."""
+    at = 0
+    while m := _HTML.search(html, at):
+        at = html.find(">", m.end())
+        at = len(html) if at < 0 else at
+        if named := _LANG.search(html, m.end(), at):
+            return named[1]
+    return ""
+
+
 def page_parts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``row``, ``text`` (markup taken out), ``declared``, ``host`` of web pages; ``row`` is the page's id."""
-    html = F.col(html_col)
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[#\w]{1,12};", " ")
-    return pages.select(F.col(id_col).cast("long").alias("row"), text.alias("text"), F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", 1).alias("declared"), F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1).alias("host"))
+
+    @F.pandas_udf("text string, declared string")
+    def parts(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"text": pd.Series([None if h is None else visible(h) for h in html], dtype=object), "declared": pd.Series([None if h is None else declared_language(h) for h in html], dtype=object)})
+
+    host = F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return pages.select(F.col(id_col).cast("long").alias("row"), parts(F.col(html_col)).alias("p"), host.alias("host")).select("row", "p.text", "p.declared", "host")
 
 
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
