@@ -43,3 +43,29 @@ def bands(hash_: Column, n: int) -> Column:
     """The hash cut into ``n`` runs of digits; two hashes less than ``n`` bits apart share one of them."""
     edges = [i * DIGITS // n for i in range(n + 1)]
     return F.array(*[F.substring(hash_, a + 1, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+
+# FNV-1a of 32 bits, the step of the number sequence, and 32 ones.
+FNV_OFFSET, FNV_PRIME, STEP, ONES = 0x811C9DC5, 0x01000193, 0x6D2B79F5, 0xFFFFFFFF
+
+
+def fnv1a(data: Column) -> Column:
+    """FNV-1a of binary data as a long of 32 bits: a fold over its bytes."""
+    byte = lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("long")
+    places = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(FNV_OFFSET).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(ONES)))
+
+
+def _times(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of 32-bit numbers, by halves that a long holds."""
+    high = (a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF))
+    return (a * b.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft(high, 16)).bitwiseAND(F.lit(ONES))
+
+
+def uniform(seed: Column, nth: Column | int) -> Column:
+    """The ``nth`` number (from 1) of the fixed sequence in [0, 1) that a 32-bit ``seed`` begins: each is found without those before it."""
+    nth = F.lit(nth) if isinstance(nth, int) else nth
+    a = (seed + nth.cast("long") * F.lit(STEP)).bitwiseAND(F.lit(ONES))
+    t = _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+    u = (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(ONES)).bitwiseXOR(t)
+    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)

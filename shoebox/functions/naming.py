@@ -92,6 +92,47 @@ def template_path(root: str, source: Column, ts: Column, uncertain: Column, item
     return F.when(F.coalesce(uncertain, F.lit(False)) | ts.isNull(), apart).otherwise(certain)
 
 
+#: What a root says of its paths, as a column: the fields of ``NamingTemplate``.
+RULE = "struct<template:string,fallback:array<string>,uncertain_folder:string,keep_original_name:boolean>"
+
+
+def rule_column(rule: Column | None = None) -> Column:
+    """A root's JSON text as a rule; what it leaves out, and all of a null or malformed one, is as by default."""
+    held = F.from_json(rule if rule is not None else F.lit(None).cast("string"), RULE)
+    return F.struct(
+        F.coalesce(held["template"], F.lit(DEFAULT_TEMPLATE)).alias("template"),
+        F.coalesce(held["fallback"], F.array(*map(F.lit, FALLBACK))).alias("fallback"),
+        F.coalesce(held["uncertain_folder"], F.lit(UNCERTAIN_FOLDER)).alias("uncertain_folder"),
+        F.coalesce(held["keep_original_name"], F.lit(True)).alias("keep_original_name"),
+    )
+
+
+def template_path_by(root: str, source: Column, ts: Column, uncertain: Column, item_id: Column, event: Column, place: Column, person: Column, rule: Column) -> Column:
+    """``template_path`` where each row has its own template: ``rule`` is a column of ``rule_column``.
+
+    The template is cut before and after its tokens, and each piece is itself or what a map has for the token, so rows of
+    many roots are planned in one frame whatever their number of templates.
+    """
+    ext, original = F.regexp_extract(source, r"[^/](\.[^./]*)$", 1), media.stem(source)
+    keep = rule["keep_original_name"]
+    t = date_tokens(ts)
+    date = F.concat_ws("-", t["yyyy"], t["MM"], t["dd"])
+    names = F.create_map(F.lit("event"), given(event), F.lit("place"), given(place), F.lit("date"), date)
+    first = F.element_at(F.filter(F.transform(rule["fallback"], lambda k: F.try_element_at(names, k)), lambda x: x.isNotNull()), 1)
+    event = F.coalesce(F.when(F.exists(rule["fallback"], lambda k: F.try_element_at(names, k).isNotNull()), first), date)
+    known = t | {"event": event, "place": F.coalesce(place, event), "person": F.coalesce(person, F.lit("")), "original": F.when(keep, original).otherwise("")}
+    tokens = F.create_map(*[x for name, value in known.items() for x in (F.lit(name), value)])
+    token = r"^\{(\w+)\}$"
+    pieces = F.split(rule["template"], r"(?=\{\w{1,64}\})|(?<=\})")
+    raw = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(token), F.coalesce(F.try_element_at(tokens, F.regexp_extract(p, token, 1)), F.lit(""))).otherwise(p)), "")
+    parts = F.transform(F.split(raw, "/"), lambda s: F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_|_$", ""))
+    parts = F.transform(F.filter(parts, lambda s: F.trim(s) != ""), sanitize_segment)
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(item_id))
+    certain = F.concat(F.lit(root + "/"), F.array_join(parts, "/"), ext)
+    apart = F.concat(F.lit(f"{root}/"), sanitize_segment(rule["uncertain_folder"]), F.lit("/"), sanitize_segment(F.when(keep, original).otherwise(item_id)), ext)
+    return F.when(F.coalesce(uncertain, F.lit(False)) | ts.isNull(), apart).otherwise(certain)
+
+
 def target_path(root: str, source: Column, ts: Column, event: Column, place: Column, item_id: Column, rule: NamingRule = NamingRule()) -> Column:
     """``root/yyyy/yyyy-MM-dd_name/yyyy-MM-dd_HHmmss_original.ext``, each part by ``rule``; without a date in a folder "unknown"."""
     t = date_tokens(ts)

@@ -35,6 +35,10 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Those that note what ``written`` writes, the innermost last.
+_COLLECTORS: list[Collected] = []
+
+
 def _table(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -47,7 +51,10 @@ def written(df: DataFrame) -> DataFrame:
     A lost executor costs no more than reading it again, and later plans know its true size, which a checkpoint's do not: that
     keeps the estimate of what it was made from, and in a loop of joins these multiply without end.
     """
-    return _table(df)[0]
+    out, path = _table(df)
+    if _COLLECTORS:
+        _COLLECTORS[-1].paths.append(path)
+    return out
 
 
 #: Lineage is cut by a written table.
@@ -79,3 +86,18 @@ class Scratch:
         for path in self.paths:
             delete(self.spark, path)
         self.paths = []
+
+
+class Collected(Scratch):
+    """Notes every table that ``written`` writes inside its ``with`` block, by whichever operator, and deletes them at its end.
+
+    What is to be kept is written by another ``Scratch`` before that.
+    """
+
+    def __enter__(self) -> Collected:
+        _COLLECTORS.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _COLLECTORS.remove(self)
+        self.drop()

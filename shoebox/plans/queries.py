@@ -710,6 +710,37 @@ def template_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_sources(spark, sf_dir).select("media_id", p.alias("path"))
 
 
+@query(f"""
+  WITH {_NAMING}, e AS (SELECT *, day || '' AS d, CASE WHEN event IS NOT NULL THEN 'Trip AB' WHEN place IS NOT NULL THEN place ELSE day END AS named, coalesce(place, day) AS placed FROM t)
+  SELECT media_id, CASE left(root_id, 1)
+    WHEN '1' THEN CASE WHEN ts IS NULL OR uncertain THEN '/lib/aside/' || media_id || '.jpg' ELSE '/lib/' || placed || '/' || y || '_' || media_id || 'x.jpg' END
+    WHEN '2' THEN CASE WHEN ts IS NULL OR uncertain THEN '/lib/{naming.UNCERTAIN_FOLDER}/' || original || '.jpg' ELSE '/lib/all {{of it}}/' || original || '.jpg' END
+    ELSE CASE WHEN ts IS NULL OR uncertain THEN '/lib/{naming.UNCERTAIN_FOLDER}/' || original || '.jpg'
+      ELSE '/lib/' || y || '/' || day || '_' || CASE WHEN event IS NOT NULL THEN 'Trip A/B' WHEN place IS NOT NULL THEN place ELSE day END || '/' || day || '_' || clock || '_' || original || '.jpg' END
+    END AS path FROM e""")
+def template_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths by the template of each row's root: one of its own, another, and none."""
+    o = order_sources(spark, sf_dir)
+    own = F.concat(F.lit('{"template": "{event}/{yyyy}__{id}_'), F.col("media_id").cast("string"), F.lit('x{original}", "fallback": ["nothing", "place"], "uncertain_folder": "aside", "keep_original_name": false}'))
+    turn = F.substring("root_id", 1, 1)
+    rule = F.when(turn == "1", own).when(turn == "2", F.lit('{"template": "/_all {of it}_//{person}/{original}"}')).when(turn == "3", F.lit("no rule"))
+    p = naming.template_path_by("/lib", F.col("source_ref"), F.col("created_at"), F.col("date_uncertain"), F.col("media_id").cast("string"), F.col("event"), F.col("place"), F.lit(None).cast("string"), F.col("rule"))
+    return o.withColumn("rule", naming.rule_column(rule)).select("media_id", p.alias("path"))
+
+
+@query("""
+  WITH h AS (SELECT p_partkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS seed FROM part),
+  a AS (SELECT p_partkey, seed, k, (seed + k * 1831565813) & 4294967295 AS a FROM h, (SELECT unnest([1, 2, 3])::BIGINT AS k)),
+  t AS (SELECT *, ((xor(a, a >> 15)::HUGEINT * (a | 1)) % 4294967296)::BIGINT AS t FROM a),
+  u AS (SELECT *, xor((t + ((xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296)::BIGINT) & 4294967295, t) AS u FROM t)
+  SELECT p_partkey, seed, k::INTEGER AS k, round(xor(u, u >> 14) / 4294967296.0, 9) AS x FROM u""")
+def fixed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first numbers of the sequence that each part's name begins."""
+    p = table(spark, sf_dir, "part").select("p_partkey", hashing.fnv1a(F.col("p_name").cast("binary")).alias("seed"))
+    p = p.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return p.select("p_partkey", "seed", "k", F.round(hashing.uniform(F.col("seed"), F.col("k")), 9).alias("x"))
+
+
 def _target() -> Column:
     return naming.target_path("/lib", F.col("source_ref"), F.col("created_at"), F.col("event"), F.col("place"), F.col("media_id").cast("string"))
 
