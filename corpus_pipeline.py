@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shoebox.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
-from shoebox.llm._common import written
+from shoebox.plans.lineage import Collected, Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again as the next one's input.
+
+    What a stage wrote on its way, and the table before it, are deleted once its result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        own = Scratch(spark)
+        with Collected(spark):
+            docs = own.written(stage(spark, docs, sf_dir))
+        before.drop()
+        before = own
     return docs

@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows one window or prefix-sum bucket is meant to hold; the number of buckets grows with the data.
-BUCKET_ROWS = 1024
+from shoebox.plans.lineage import Scratch, shared_dir, written
 
+__all__ = ["Scratch", "cut", "fresh", "indexed", "shared_dir", "size_bucket", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share for cut lineage: ``spark.checkpoint.dir``, which a cluster's session must set.
-
-    Where it is unset and Spark runs in this process alone, as in tests, a temporary folder is made and set.
-    """
-    jsc = spark.sparkContext._jsc.sc()
-    held = jsc.getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="shoebox-checkpoint-")
-        atexit.register(shutil.rmtree, path, True)
-    spark.sparkContext.setCheckpointDir(path)
-    return jsc.getCheckpointDir().get()
+#: Rows one window or prefix-sum bucket is meant to hold; the number of buckets grows with the data.
+BUCKET_ROWS = 1024
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,45 +19,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into a Parquet table in the shared folder: columnar, so later reads prune columns."""
-    return _table(df)[0]
-
-
-def _table(df: DataFrame) -> tuple[DataFrame, str]:
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-class Scratch:
-    """Tables in the shared folder that are deleted when the ``with`` block ends.
-
-    What a block returns must not be read from its tables: it is ``written`` to an outer scratch, or by ``written``
-    of this module where it is the result.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def written(self, df: DataFrame) -> DataFrame:
-        out, path = _table(df)
-        self.paths.append(path)
-        return out
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *error: object) -> None:
-        self.drop()
-
-    def drop(self) -> None:
-        for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths = []
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores after it as no column of ``df`` has."""
     held, out = {c.lower() for c in df.columns}, []

@@ -1,43 +1,7 @@
-"""Connected components of a graph held as an edge table."""
+"""Connected components of a graph held as an edge table: the library's own, for every node that has an edge."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from shoebox.operators.graph import linked as components
 
-from shoebox.llm._common import Scratch, written
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Columns ``node``, ``component`` (smallest node reachable) for every node that has an edge.
-
-    Alternating large-star and small-star steps: each is one grouped minimum (combined before the shuffle) and
-    one join that Spark can split where a node has very many neighbours.  Every round's edges are written to the
-    shared folder, so a lost executor costs one round; those before are deleted.  Rows with a null end and self-loops add nothing;
-    repeated edges count once; an empty table gives an empty table.
-    """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    with Scratch(edges.sparkSession) as first:
-        e, seen = first.written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
-        held: list[Scratch] = []
-        while True:
-            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-            # large star: every larger neighbour is hung on the smallest node around u
-            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            # small star: u and its smaller neighbours are hung on the smallest of them
-            least = large.groupBy("u").agg(F.min("v").alias("m"))
-            hung = large.join(least, "u")
-            small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            held.append(Scratch(edges.sparkSession))
-            e = held[-1].written(small.where("u <> v").distinct())
-            for old in held[:-1]:
-                old.drop()
-            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if now == seen:
-                break
-            seen = now
-        roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-        out = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
-        held[-1].drop()
-        return out
+__all__ = ["components"]

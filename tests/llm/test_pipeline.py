@@ -28,6 +28,17 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_run_leaves_its_result_alone_of_all_tables(spark):
+    import glob
+
+    from shoebox.plans.lineage import shared_dir
+
+    held = lambda: set(glob.glob(shared_dir(spark).removeprefix("file:") + "/table-*"))
+    before = held()
+    result = corpus_pipeline.run(spark, SF)
+    assert len(held() - before) == 1 and result.count() > 0
+
+
 def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
     """Rows without text, id, language or source, repeated rows, long texts and columns with clashing names end in no crash."""
     (tmp_path / "sf").mkdir()
