@@ -53,7 +53,7 @@ class Catalogue:
         return new
 
     def read(self, table: str) -> DataFrame:
-        return self._all(table).where("seq is not null").drop("part")  # a row without a place only keeps an emptied part
+        return self._all(table).where("seq is not null").drop("part")  # see _rewrite
 
     def check(self, table: str, rows: DataFrame) -> DataFrame:
         """Rows with values that the table's columns may not have."""
@@ -67,35 +67,39 @@ class Catalogue:
         """A batch with the table's columns, the last of each key, and places after all that are there."""
         place = (self._all(table).agg(F.max("seq")).first()[0] or 0) + 1
         cols = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in tables.schema(table).fields]
-        held = cut(rows.select(*cols, (F.monotonically_increasing_id() + F.lit(place)).alias("seq")))
-        if not self.check(table, held).isEmpty():
+        held = rows.select(*cols, (F.monotonically_increasing_id() + F.lit(place)).alias("seq"))
+        out = cut(merge.last(held, tables.KEYS[table], "seq").withColumn("part", self._part(table)).select(*self._schema(table).names))
+        if not self.check(table, out).isEmpty():
             raise ValueError(f"{table}: a value is not allowed")
-        return merge.last(held, tables.KEYS[table], "seq").withColumn("part", self._part(table)).select(*self._schema(table).names)
+        return out
 
-    def _rewrite(self, table: str, keep: DataFrame, new: DataFrame, touched: Sequence[int]) -> None:
-        """Writes parts anew; one that has no rows any more keeps an empty file, so that its old rows go."""
-        out = keep.unionByName(new)
+    def _rewrite(self, table: str, rows: DataFrame, touched: Sequence[int]) -> None:
+        """Writes parts anew.  Each gets a row without a place besides, so that a part which has lost all its rows is written too."""
         blank = self.spark.createDataFrame([(p,) for p in touched], "part int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in tables.schema(table).fields], F.lit(None).cast("long").alias("seq"), "part")
-        left = cut(out.groupBy("part").count())
-        out = out.unionByName(blank.join(left, "part", "left_anti").select(*out.columns))
+        out = rows.unionByName(blank)
         out.repartition(min(len(touched), 200), "part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/{table}")
 
+    def _held(self, table: str, touched: Sequence[int]) -> DataFrame:
+        return self._all(table).where(F.col("part").isin(touched) & F.col("seq").isNotNull())
+
     def _change(self, table: str, gone: DataFrame, keys: Sequence[str], new: DataFrame | None) -> None:
         """Rows whose ``keys`` are in ``gone`` (with ``part``) go, ``new`` ones come; only the parts of both are read and written."""
         parts = gone.select("part") if new is None else gone.select("part").unionByName(new.select("part"))
         touched = sorted(r[0] for r in parts.distinct().collect())
         if touched:
-            held = self._all(table).where(F.col("part").isin(touched) & F.col("seq").isNotNull())
-            keep = merge.remove(held, gone, keys)
-            self._rewrite(table, keep, new if new is not None else keep.limit(0), touched)
+            keep = merge.remove(self._held(table, touched), gone, keys)
+            self._rewrite(table, keep if new is None else keep.unionByName(new), touched)
 
     def put(self, table: str, rows: DataFrame) -> None:
         """Inserts rows or replaces those with the same key, which keep their place."""
-        keys, rows = list(tables.KEYS[table]), cut(self._rows(table, rows))
-        touched = [r[0] for r in rows.select("part").distinct().collect()]
-        old = self._all(table).where(F.col("part").isin(touched) & F.col("seq").isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("seq").alias("_seq"))
+        keys, rows = list(tables.KEYS[table]), self._rows(table, rows)
+        touched = sorted(r[0] for r in rows.select("part").distinct().collect())
+        if not touched:
+            return
+        held = self._held(table, touched)
+        old = held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("seq").alias("_seq"))
         placed = rows.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").withColumn("seq", F.coalesce("_seq", "seq")).select(*rows.columns)
-        self._change(table, rows, keys, cut(placed))
+        self._rewrite(table, merge.remove(held, rows, keys).unionByName(placed), touched)
 
     def delete(self, table: str, rows: DataFrame) -> None:
         """Rows with the keys of ``rows`` go."""
@@ -108,7 +112,7 @@ class Catalogue:
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """All rows of a table at once; ``rows`` may come from a read of the table."""
-        rows = cut(self._rows(table, rows))
+        rows = self._rows(table, rows)
         rows.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/{table}")
 
     def replace_part(self, table: str, column: str, value: str, rows: DataFrame) -> None:
@@ -116,7 +120,7 @@ class Catalogue:
         gone = self._all(table).where((F.col(column) == value) & F.col("seq").isNotNull()).select(column, "part")
         parent = self.spark.createDataFrame([(value,)], f"{column} string")
         gone = gone.unionByName(parent.withColumn("part", self._part(table))) if (column,) == BY_PARENT.get(table) else gone
-        self._change(table, cut(gone.distinct()), [column], cut(self._rows(table, rows)))
+        self._change(table, cut(gone.distinct()), [column], self._rows(table, rows))
 
     def patch(self, table: str, where: Column, **values: Column | str | int | float | bool | None) -> None:
         """Sets columns of the rows that ``where`` picks."""
