@@ -34,10 +34,11 @@ class Transducer:
         self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.names: list[tuple[int, bytes]] = [(0, b"")]
         self.known: list[dict[int, int]] = [{}]  # of each state: token of the side that lags, next state (-1: the bytes differ)
+        self.from_a = [True]  # nobody leads: a reads first
 
     def _next(self, state: int, token: int) -> int:
         lead, rest = self.names[state]
-        side = 1 - lead if state else 0  # nobody leads: a reads first
+        side = 0 if self.from_a[state] else 1
         held = self.bytes[side][token]
         if rest.startswith(held):
             name = (lead, rest[len(held) :])
@@ -50,26 +51,38 @@ class Transducer:
             self.states[name] = len(self.names)
             self.names.append(name)
             self.known.append({})
+            self.from_a.append(name[0] == 1)
         return self.states[name]
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The smallest groups of tokens of both sides that cover the same bytes; None where the bytes differ."""
-        out, state, i, j, first = [], 0, 0, 0, (0, 0)
-        while i < len(a) or j < len(b):
-            from_a = not state or self.names[state][0] == 1
-            if i == len(a) if from_a else j == len(b):
-                return None
-            token = a[i] if from_a else b[j]
-            at = self.known[state].get(token)
+    def closings(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
+        """How many tokens of both sides have been read whenever both end; None where the bytes differ."""
+        known, from_a, out, state, i, j = self.known, self.from_a, [], 0, 0, 0
+        n, m = len(a), len(b)
+        while True:
+            if from_a[state]:
+                if i == n:
+                    break
+                token = a[i]
+                i += 1
+            else:
+                if j == m:
+                    break
+                token = b[j]
+                j += 1
+            at = known[state].get(token)
             if at is None:
-                at = self.known[state][token] = self._next(state, token)
+                at = known[state][token] = self._next(state, token)
             if at < 0:
                 return None
-            i, j, state = i + from_a, j + (not from_a), at
+            state = at
             if not state:
-                out.append((a[first[0] : i], b[first[1] : j]))
-                first = (i, j)
-        return None if state else out
+                out.append((i, j))
+        return out if not state and j == m else None
+
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
+        """The smallest groups of tokens of both sides that cover the same bytes; None where the bytes differ."""
+        ends = self.closings(a, b)
+        return None if ends is None else [(a[i:k], b[j:m]) for (i, j), (k, m) in zip([(0, 0), *ends], ends, strict=False)]
 
 
 class Aligner:
@@ -79,20 +92,45 @@ class Aligner:
         self.a, a_safe, a_bytes = tokens.byte_level(a_path, True)
         self.b, b_safe, b_bytes = tokens.piece_level(b_path)
         self.safe, self.n_b, self.bytes = a_safe and b_safe, len(b_bytes), (a_bytes, b_bytes)
+        self.lengths = tokens.Lengths(a_bytes), tokens.Lengths(b_bytes)
         self.transducer = Transducer(a_bytes, b_bytes)
         self.memory: tokens.Memory = tokens.Memory(self.made)
 
-    def made(self, parts: list[str]) -> Iterator[tuple[bytes, bytes, int, int] | None]:
-        for part, a, b in zip(parts, self.a([" " + p for p in parts]), self.b(parts), strict=True):
-            data = (" " + part).encode("utf-8", "surrogatepass")
-            groups = None
-            if all(b"".join(map(held.__getitem__, ids)) == data for held, ids in zip(self.bytes, (a, b), strict=True)):
-                groups = self.transducer.groups(a, b)
-            if groups is None:
-                yield None
-                continue
-            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            yield text.encode(), np.array([x[-1] * self.n_b + y[-1] for x, y in groups], "<i8").tobytes(), len(a), len(b)
+    def made(self, parts: list[str]) -> list[tuple[bytes, bytes, int, int] | None]:
+        """What each part gives; parts that may stand side by side are read as one text, which both sides' tokens part at their ends."""
+        if len(parts) > 1:
+            whole = parts if tokens.all_sound(parts) else [p for p in parts if tokens.sound(p)]
+            found = self._read(*tokens.joined(whole)) if whole else []
+            if found is not None:
+                if len(whole) == len(parts):
+                    return found
+                own = dict(zip(whole, found, strict=True))
+                return [own[p] if p in own else self.made([p])[0] for p in parts]
+        return [(self._read(*tokens.joined([p])) or [None])[0] for p in parts]
+
+    def _read(self, text: str, ends: np.ndarray) -> list[tuple[bytes, bytes, int, int]] | None:
+        """What the stretches of a text that end at these bytes give; None where a side does not give the text's bytes."""
+        a, b = self.a([text])[0], self.b([text[1:]])[0]
+        data = text.encode("utf-8", "surrogatepass")
+        if any(b"".join(map(held.__getitem__, ids)) != data for held, ids in zip(self.bytes, (a, b), strict=True)):
+            return None
+        closed = self.transducer.closings(a, b)
+        cut_a, cut_b = (n.cuts(np.array(ids, np.int64), ends) for n, ids in zip(self.lengths, (a, b), strict=True))
+        if closed is None or cut_a is None or cut_b is None:
+            return None
+        at = np.array(closed, np.int64)
+        groups = np.searchsorted(at[:, 0], cut_a, side="right")
+        links = (np.array(a, "<i8")[at[:, 0] - 1] * self.n_b + np.array(b, "<i8")[at[:, 1] - 1]).tobytes()
+        name_a, name_b = ([*map(str, ids)] for ids in (a, b))
+        texts, i, j = [], 0, 0
+        for k, m in closed:
+            texts.append((name_a[i] if k == i + 1 else ",".join(name_a[i:k])) + "|" + (name_b[j] if m == j + 1 else ",".join(name_b[j:m])))
+            i, j = k, m
+        out, g, i, j = [], 0, 0, 0
+        for h, k, m in zip(groups.tolist(), cut_a.tolist(), cut_b.tolist(), strict=True):
+            out.append((";".join(texts[g:h]).encode(), links[8 * g : 8 * h], k - i, m - j))
+            g, i, j = h, k, m
+        return out
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, int, str, np.ndarray]]:
         split = [(tokens.parts(t) if self.safe else [t]) if t else [] for t in texts]
@@ -100,7 +138,7 @@ class Aligner:
         for text, parts in zip(texts, split, strict=True):
             found = [self.memory[p] for p in parts]
             if None in found and len(parts) > 1:
-                found = list(self.made([text]))  # the rule is one on whole texts
+                found = self.made([text])  # the rule is one on whole texts
             if not found or None in found:
                 yield 0, 0, "", np.zeros(0, "<i8")
                 continue

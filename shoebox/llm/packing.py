@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,10 +191,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, id_co
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``: each text's ids and ``end``, cut into pieces of ``capacity`` tokens where there are more, the first piece shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, safe, _ = tokens.byte_level(tokenizer, False)
-        coded = lambda texts: (b"".join(i.to_bytes(4, "little") for i in ids) for ids in encode(texts))
-        after = tokens.Memory(lambda texts: coded([" " + t for t in texts]))  # parts after a space
-        opening = tokens.Memory(coded)
+        encode, safe, held = tokens.byte_level(tokenizer, False)
+        lengths = tokens.Lengths(held)
+        coded = lambda texts: [np.array(ids, "<u4").tobytes() for ids in encode(texts)]
+
+        def spaced(parts: list[str]) -> list[bytes]:
+            """Ids of parts after a space: those that may stand side by side are encoded as one text and cut again."""
+            if tokens.all_sound(parts):
+                text, ends = tokens.joined(parts)
+                ids = np.array(encode([text])[0], "<u4")
+                cuts = lengths.cuts(ids, ends)
+                if cuts is not None:
+                    data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return coded([" " + p for p in parts])
+
+        after, opening = tokens.Memory(spaced), tokens.Memory(coded)
         last, names = end.to_bytes(4, "little"), [c.split()[0] for c in PIECES.split(", ")]
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:

@@ -48,6 +48,41 @@ def test_texts_are_parted_where_no_token_crosses():
         assert [x for ids in b(split) for x in ids] == b([text])[0], text
 
 
+def test_merging_by_rank_is_merging_by_the_merges():
+    import json
+
+    with open(BYTE, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    held = tokens.byte_level(BYTE, False)[2]
+    rank = {h: i for i, h in enumerate(held)}
+    for i in range(len(merges)):
+        parts = [bytes([x]) for x in held[256 + i]]
+        while len(parts) > 2:  # the merges before this one, the first of the least rank each time
+            least, at = min((rank.get(a + b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)))
+            assert least < 256 + i
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pair = merges[i].split(" ") if isinstance(merges[i], str) else merges[i]
+        names = [bytes_of(p) for p in pair]
+        assert parts == names
+
+
+def bytes_of(name):
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    sign = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+    return bytes(sign[c] for c in name)
+
+
+def test_both_encoders_give_the_library_ids():
+    from tokenizers import Tokenizer
+
+    rnd, model = random.Random(7), Tokenizer.from_file(BYTE)
+    letters = "etaoinshrdlucmfwygpbvkETAOIN'.,-!éüßàçñÿŒœŞ019\n  "
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(4000)] + [mess(rnd, 9) for _ in range(500)] + ["a<|endoftext|>b"]
+    for plain in (False, True):
+        model.encode_special_tokens = plain
+        assert tokens.byte_level(BYTE, plain)[0](texts) == [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def naive_alignment(rows):
     a, _, a_bytes = tokens.byte_level(BYTE, True)
     b, _, b_bytes = tokens.piece_level(PIECE)
