@@ -48,6 +48,13 @@ def replace_part(table: DataFrame, rows: DataFrame, parent: str) -> DataFrame:
     return remove(table, rows, [parent]).unionByName(rows, allowMissingColumns=True)
 
 
+def upsert_timelines(timelines: DataFrame, clips: DataFrame, new: DataFrame, new_clips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A story has one timeline: ``new`` ones take the place of their stories' (``id``, ``story_id``), and all clips of the old and new ones give way to ``new_clips`` (``timeline_id``)."""
+    old = timelines.join(_on(new, ["story_id"]), _same(["story_id"]), "left_semi").select("id").unionByName(new.select("id"))
+    kept = remove(clips, old.select(F.col("id").alias("timeline_id")), ["timeline_id"])
+    return replace_part(timelines, new, "story_id"), kept.unionByName(new_clips, allowMissingColumns=True)
+
+
 def upsert_media(media: DataFrame, rows: DataFrame) -> DataFrame:
     """Media replace those with the same id and those with the same path."""
     return remove(remove(media, rows, ["id"]), rows, ["source_ref"]).unionByName(rows, allowMissingColumns=True)

@@ -99,6 +99,21 @@ def undo_steps(journal: DataFrame, ref_type: str, ref_id: str) -> DataFrame:
     return own.orderBy(F.col("executed_at").desc(), F.col("seq").desc()).select("op", F.col("to_path").alias("from_path"), F.col("from_path").alias("to_path"), "executed_at", "seq")
 
 
+def undo_sources(steps: DataFrame, media: DataFrame) -> DataFrame:
+    """``media_id``, ``source_ref``: where media lie again after ``undo_steps``, found by the path they were moved to.
+
+    A path that was moved to more than once goes back by its last step.
+    """
+    last = steps.groupBy("from_path").agg(F.max_by("to_path", F.struct("executed_at", "seq")).alias("to_path"))
+    return media.select("media_id", F.col("source_ref").alias("from_path")).join(last, "from_path").select("media_id", F.col("to_path").alias("source_ref"))
+
+
+def remaining(items: DataFrame, journal: DataFrame, ref_type: str = "restructure_plan") -> DataFrame:
+    """Items (``plan_id``, ``to_path``, ``state``) that a plan taken up again has still to move: neither at their end nor in the journal."""
+    done = journal.where(F.col("ref_type") == ref_type).select(F.col("ref_id").alias("plan_id"), "to_path").distinct()
+    return unfinished(items).join(done, ["plan_id", "to_path"], "left_anti")
+
+
 def interrupted(jobs: DataFrame) -> DataFrame:
     """Jobs to take up again: running, then queued, then paused, each in order of ``seq``."""
     rank = F.array_position(F.array(*map(F.lit, INTERRUPTED_JOBS)), F.col("status"))

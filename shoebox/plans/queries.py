@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import geometry, hashing, media, naming, quality, vectors
-from shoebox.operators import boxes, curation, dedup, direction, junk, metric, neighbors, persons, restructure, space, vector_index
+from shoebox.operators import boxes, curation, dedup, direction, junk, merge, metric, neighbors, persons, restructure, space, vector_index
 from shoebox.plans import store
 from shoebox.plans.lineage import cut, delete, shared_dir
+from shoebox.sources import models
 from shoebox.streaming import plan_states
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -856,3 +857,56 @@ def transition_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = event_transitions(spark, sf_dir)
     t = t.select(F.col("plan_id").cast("string").alias("plan_id"), F.col("media_id").cast("string").alias("media_id"), (F.col("media_id") % 2 == 0).alias("same_drive"), "state", "seq")
     return plan_states.check_transitions(t)
+
+
+def order_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of all orders' files: two plans, every seventh move not to be undone, places that several files were moved to."""
+    o = table(spark, sf_dir, "orders")
+    ref = F.when(F.col("o_orderstatus") == "F", "p1").otherwise("p2")
+    to = F.concat(F.lit("/lib/"), (F.col("o_orderkey") % 5000).cast("string"))
+    return o.select(F.lit("restructure_plan").alias("ref_type"), ref.alias("ref_id"), F.lit("move").alias("op"), F.concat(F.lit("/src/"), F.col("o_orderkey").cast("string")).alias("from_path"), to.alias("to_path"), F.col("o_orderdate").alias("executed_at"), (F.col("o_orderkey") % 7 != 0).alias("reversible"), F.col("o_orderkey").alias("seq"))
+
+
+@query("""
+  WITH j AS (SELECT '/src/' || o_orderkey AS from_path, '/lib/' || (o_orderkey % 5000) AS to_path, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 <> 0),
+  l AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY to_path ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+  SELECT c_custkey AS media_id, from_path AS source_ref FROM customer JOIN l ON to_path = '/lib/' || c_custkey""")
+def undo_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("media_id"), F.concat(F.lit("/lib/"), F.col("c_custkey").cast("string")).alias("source_ref"))
+    return restructure.undo_sources(restructure.undo_steps(order_journal(spark, sf_dir), "restructure_plan", "p1"), media_)
+
+
+@query("""
+  SELECT p_partkey AS media_id, '/lib/' || p_partkey AS to_path FROM part
+  WHERE p_size % 4 NOT IN (0, 1) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5000 = p_partkey)""")
+def remaining_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("p_size") % 4 == 0, "done").when(F.col("p_size") % 4 == 1, "failed").when(F.col("p_size") % 4 == 2, "copied").otherwise("pending")
+    items = table(spark, sf_dir, "part").select(F.lit("p1").alias("plan_id"), F.col("p_partkey").alias("media_id"), F.concat(F.lit("/lib/"), F.col("p_partkey").cast("string")).alias("to_path"), state.alias("state"))
+    return restructure.remaining(items, order_journal(spark, sf_dir)).select("media_id", "to_path")
+
+
+@query(f"""
+  WITH {_PHASH}, g AS (SELECT doc_id, i // 9 AS y, i % 9 AS x, n FROM cells),
+  r AS (SELECT c.doc_id, greatest(0, least(255, u.n + d.n + l.n + r.n - 4 * c.n)) AS v FROM g c
+    JOIN g u ON u.doc_id = c.doc_id AND u.x = c.x AND u.y = greatest(c.y - 1, 0) JOIN g d ON d.doc_id = c.doc_id AND d.x = c.x AND d.y = least(c.y + 1, 7)
+    JOIN g l ON l.doc_id = c.doc_id AND l.y = c.y AND l.x = greatest(c.x - 1, 0) JOIN g r ON r.doc_id = c.doc_id AND r.y = c.y AND r.x = least(c.x + 1, 8))
+  SELECT doc_id, round(var_pop(v), 4) AS variance FROM r GROUP BY doc_id""")
+def grid_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Laplacian's variance over each document's grid, in the tasks that hold the grids."""
+    grids = dedup.text_grids(table(spark, sf_dir, "documents"))
+    return models.sharpness(grids, "grid", 9, 8).select("doc_id", F.round("variance", 4).alias("variance"))
+
+
+@query("""
+  WITH t AS (SELECT o_orderkey AS id, o_custkey AS story_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
+  n AS (SELECT -1 - c_custkey AS id, c_custkey AS story_id FROM customer WHERE c_custkey % 3 = 0),
+  k AS (SELECT * FROM t WHERE story_id NOT IN (SELECT story_id FROM n) UNION ALL SELECT * FROM n)
+  SELECT k.id, story_id, CASE WHEN id < 0 THEN 2 ELSE coalesce(c.n, 0) END::BIGINT AS clips FROM k LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c ON l_orderkey = id""")
+def upsert_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third story gets a new timeline with two clips; the clips of the old one go with it."""
+    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("story_id")).agg(F.min("o_orderkey").alias("id"))
+    clips = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("timeline_id"), F.col("l_linenumber").alias("ord"))
+    new = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select((-1 - F.col("c_custkey")).alias("id"), F.col("c_custkey").alias("story_id"))
+    made = new.select(F.col("id").alias("timeline_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"))
+    t, clips = merge.upsert_timelines(t, clips, new, made)
+    return t.join(clips.groupBy(F.col("timeline_id").alias("id")).agg(F.count("*").alias("clips")), "id", "left").select("id", "story_id", F.coalesce("clips", F.lit(0)).alias("clips"))

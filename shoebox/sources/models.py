@@ -110,6 +110,17 @@ def laplacian_variance(gray: np.ndarray) -> float:
     return float(r.var())
 
 
+def sharpness(grids: DataFrame, column: str, width: int, height: int) -> DataFrame:
+    """Adds ``variance``, ``laplacian_variance`` of each row's grid of gray values, ``width`` x ``height`` row by row; null for another size."""
+
+    @F.pandas_udf("double")
+    def variance(values: pd.Series) -> pd.Series:
+        whole = (np.asarray(v) if v is not None and len(v) == width * height else None for v in values)
+        return pd.Series([None if v is None else laplacian_variance(v.reshape(height, width)) for v in whole], dtype=float)
+
+    return grids.withColumn("variance", variance(F.col(column)))
+
+
 def input_tensor(pixels: np.ndarray, order: str = "rgb", mean: float = 0.0, std: float = 1.0) -> np.ndarray:
     """Height x width x RGB bytes as three planes in the model's colour order, each value less ``mean`` by ``std``."""
     planes = pixels.transpose(2, 0, 1).astype(np.float32)
