@@ -17,8 +17,6 @@ from shoebox.llm.wordhash import WORD_TABLE, blocks, hashed, mix
 SIMILAR = 0.8
 #: Counters of the token sketch: its size is fixed, whatever the vocabulary (at most this many rows reach the driver).
 COUNTERS = 1 << 17
-#: Sets of less tokens are similar to equal ones only.
-LEAST = 4
 #: Sets before it, in order of size, that a set is compared with in the group of a key; and the earlier sets of a group
 #: that pass the filters and are written for it.  A set without a match that has more is compared again without that
 #: limit and with FURTHER sets, and looked for by longer keys in groups that reach beyond those.
@@ -132,7 +130,7 @@ def _numbered(shared, similar: Fraction):
                     for k in (0, 1):
                         sketch[k, some] = np.bitwise_xor.reduceat(np.where(upper == k, one, np.uint64(0)), at[:-1][some])
                 # two more than a set's first tokens, for keys of two and three tokens
-                length = np.where(size < LEAST, 0, np.minimum(size, _prefix(size, similar) + 2))
+                length = np.where(size < least_size(similar), 0, np.minimum(size, _prefix(size, similar) + 2))
                 ends = np.concatenate([[0], np.cumsum(length)])
                 take = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(at[:-1], length)
                 text = np.searchsorted(first_line, np.arange(len(size)), side="right") - 1
@@ -146,6 +144,11 @@ def _numbered(shared, similar: Fraction):
     return lines
 
 
+def least_size(similar: Fraction) -> int:
+    """Sets of fewer tokens are similar to equal ones only: one token more or less is too much."""
+    return -(-similar.numerator // (similar.denominator - similar.numerator)) if similar < 1 else 1 << _SIZE - 1
+
+
 def _prefix(n: np.ndarray, similar: Fraction) -> np.ndarray:
     """Tokens of which similar sets share at least one."""
     return n + 1 + (-similar.numerator * n) // similar.denominator
@@ -227,11 +230,11 @@ def matched_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
     place = F.struct("doc_id", "row", "line")
     full = lines.where("n > 0")
     copies = lambda df, *more: df.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *more)
-    firsts = copies(full.where(F.col("n") >= LEAST), *[F.first(c).alias(c) for c in ("seq", "n", "sketch1", "sketch2", "prefix")])
+    firsts = copies(full.where(F.col("n") >= least_size(p)), *[F.first(c).alias(c) for c in ("seq", "n", "sketch1", "sketch2", "prefix")])
     with Scratch(docs.sparkSession) as own:
         sets = own.written(firsts)
         near = _near(sets, d.select("text"), rank, p, own).select(F.col("k1").alias("_n1"), F.col("k2").alias("_n2")).distinct()
-        more = sets.select("k1", "k2", "first", "copies").unionByName(copies(full.where(F.col("n") < LEAST))).where("copies > 1")
+        more = sets.select("k1", "k2", "first", "copies").unionByName(copies(full.where(F.col("n") < least_size(p)))).where("copies > 1")
         decided = more.join(near, (F.col("k1") == F.col("_n1")) & (F.col("k2") == F.col("_n2")), "full")
         decided = scratch.written(decided.select(F.coalesce("k1", "_n1").alias("_k1"), F.coalesce("k2", "_n2").alias("_k2"), "first", F.col("_n1").isNotNull().alias("near")))
     light = lines.select("row", "doc_id", "line", "k1", "k2", "n")

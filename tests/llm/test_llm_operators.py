@@ -444,6 +444,30 @@ def test_line_dedup_against_brute_force(spark, empty, monkeypatch):
     assert kept == {1: "a b c\nd e f", 2: "new one", 3: ""}
 
 
+@pytest.mark.parametrize("similar", [0.5, 0.7, 0.9])
+def test_lines_at_other_similarities(spark, similar):
+    rnd = random.Random(21)
+    base = [prose(rnd, n).split() for n in (1, 2, 3, 3, 4, 5, 9, 12, 20) for _ in range(4)]
+    rows = [(0, "aa bb cc\naa bb cc dd\nee ff\nee\nee ff gg hh")]
+    for i in range(1, 60):
+        lines = []
+        for _ in range(3):
+            w = list(rnd.choice(base))
+            for _ in range(rnd.randrange(3)):
+                w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+            lines.append(" ".join(w + rnd.sample(WORDS, rnd.randrange(2))))
+        rows.append((i, "\n".join(lines)))
+    want, seen = {}, []
+    for i, k, s in line_sets(rows):
+        if s and any(len(s & b) >= similar * len(s | b) - 1e-9 for b in seen):
+            want.setdefault(i, []).append(k)
+        seen.append(s)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(docs(spark, rows), similar).collect()}
+    assert {i: k for i, k in got.items() if k} == want
+    if similar == 0.7:
+        assert got[0] == [1]
+
+
 def test_repeated_ids_are_later_rows(spark):
     line = "one two three four five six seven eight nine ten"
     got = line_dedup.dedup_lines(docs(spark, [(1, line), (1, line + " eleven"), (1, "other words here"), (2, line)])).collect()
