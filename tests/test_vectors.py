@@ -107,3 +107,35 @@ def test_a_rejected_nearest_person_gives_way_to_the_next(spark):
     rejected = spark.createDataFrame([("f", "p")], "face_id string, person_id string")
     assert {(r["face_id"], r["person_id"]) for r in neighbors.nearest_anchor(faces, anchors, rejected).collect()} == {("f", "q"), ("g", "f")}
     assert {(r["face_id"], r["person_id"]) for r in neighbors.nearest_anchor(faces, anchors).select(F.col("face_id"), "person_id").collect()} == {("f", "p"), ("g", "f")}
+
+
+def test_a_search_without_structure_copies_a_query_once_a_block_and_no_more(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(900, 24)).astype(np.float32)
+    rows = frame(spark, x)
+    kept, cut = [], metric.cut
+    monkeypatch.setattr(metric, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    found = {(r["query_id"], r["id"], r["rank"]) for r in metric.within(rows, rows, 0.6, 4, block=100, chunk=200).collect()}
+    seq = [(i * 37) % (len(x) + 1) for i in range(len(x))]
+    assert found == all_pairs(x, seq, 0.6, 4, False, set())
+    placed, sent = kept
+    assert placed.groupBy("cell", "ring").count().count() > 100  # rings are many, and none of them is a block of its own
+    blocks = sent.select(F.explode("blocks")).distinct().count()
+    assert blocks <= 2 * 900 / 100 and sent.count() == 900  # vectors are written once each
+
+
+def test_bounds_keep_most_queries_from_most_blocks_of_several_rings(spark, monkeypatch):
+    rows = frame(spark, clustered(800, 12, 20))
+    kept, cut = [], metric.cut
+    monkeypatch.setattr(metric, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    metric.within(rows, rows, 0.05, 5, block=16).collect()
+    sent = kept[1].select("query_id", F.explode("blocks").alias("block"))
+    assert sent.count() < 0.25 * 800 * sent.select("block").distinct().count()
+
+
+def test_equal_vectors_come_in_the_order_of_seq(spark):
+    x = np.random.default_rng(2).normal(size=(61, 64)).astype(np.float32)
+    x[1:40] = x[1]
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], ROW)
+    asked = spark.createDataFrame([(100, 100, (x[1] + x[50] / 4).tolist())], ROW)
+    got = metric.within(asked, rows, 0.9, 30, own=True).orderBy("rank").collect()
+    assert [r["id"] for r in got] == list(range(1, 31)) and len({r["distance"] for r in got}) == 1
