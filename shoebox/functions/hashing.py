@@ -15,12 +15,14 @@ def dhash(gray: Column, width: int = 9, height: int = 8) -> Column:
     """
     bits = height * (width - 1)
 
-    def bit(i: Column) -> Column:
+    def bit(gray: Column, i: Column) -> Column:
         at = F.floor(i / (width - 1)).cast("int") * width + (i % (width - 1)).cast("int")
         return F.when(i < bits, (F.element_at(gray, at + 1) > F.element_at(gray, at + 2)).cast("int")).otherwise(0)
 
-    digit = lambda k: sum((bit(k * 4 + j) * (8 >> j) for j in range(1, 4)), bit(k * 4) * 8)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(-(-bits // 4) - 1)), lambda k: F.lower(F.hex(digit(k)))), "")
+    digit = lambda g, k: sum((bit(g, k * 4 + j) * (8 >> j) for j in range(1, 4)), bit(g, k * 4) * 8)
+    hexed = lambda g: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(-(-bits // 4) - 1)), lambda k: F.lower(F.hex(digit(g, k)))), "")
+    # as an element the grid is found once a row, however dear it is, and not once a bit
+    return F.element_at(F.transform(F.array(gray), hexed), 1)
 
 
 def half(hash_: Column, second: bool = False) -> Column:

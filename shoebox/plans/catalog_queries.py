@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoebox.functions import geometry, media
 from shoebox.operators import dedup, direction, merge
 from shoebox.plans import store
+from shoebox.plans.lineage import cut
 from shoebox.plans.queries import _BOX, _PHASH, event_faces, hashed_documents, part_box, query, rounded, table
 from shoebox.sources.files import videos_without_proxy as without_proxy
 
@@ -186,7 +187,7 @@ def journal_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
   WITH {_PHASH}, asked AS (SELECT DISTINCT doc_id, phash FROM hashes JOIN labels USING (doc_id))
   SELECT a.doc_id AS query_id, b.doc_id AS id, {_BIT_DISTANCE} AS distance FROM asked a JOIN hashes b ON {_BIT_DISTANCE} <= 5""")
 def hash_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hashed_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("phash").alias("hash"))
+    h = cut(hashed_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("phash").alias("hash")))  # read by both sides
     asked = h.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct(), "id")
     return dedup.hash_range(asked, h)
 

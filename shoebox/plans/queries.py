@@ -71,9 +71,8 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    grids = dedup.text_grids(d).select("doc_id", hashing.dhash(F.col("grid")).alias("phash"))
-    return d.select("doc_id", F.sha2("text", 256).alias("content_hash")).join(grids, "doc_id")
+    d = table(spark, sf_dir, "documents").withColumn("content_hash", F.sha2("text", 256))
+    return dedup.text_grids(d, keep=("content_hash",)).select("doc_id", "content_hash", hashing.dhash(F.col("grid")).alias("phash"))
 
 
 #: The perceptual hash of a document's word grid, in SQL.

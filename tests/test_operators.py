@@ -204,3 +204,28 @@ def test_hash_range_against_brute_force(spark):
     for most in (0, 1, 4, 5, 7):
         got = {(r["query_id"], r["id"]) for r in dedup.hash_range(frame(asked), frame(index), most).collect()}
         assert got == {(i, j) for i, a in enumerate(asked) for j, b in enumerate(index) if (a ^ b).bit_count() <= most}
+
+
+def test_hash_range_broadcasts_no_bands_and_meets_equal_hashes_once(spark):
+    copies = spark.range(300).select("id", F.when(F.col("id") < 200, F.lit("00000000000000ff")).otherwise(F.lpad(F.hex(F.col("id") * 7919), 16, "0")).alias("hash"))
+    asked = spark.createDataFrame([(1000, "00000000000000ff"), (1001, "00000000000000fe"), (1001, "00000000000000fe")], "id long, hash string")
+    found = dedup.hash_range(asked, copies)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    got = [tuple(r) for r in found.where("id < 200").collect()]
+    assert sorted(got) == sorted([(1000, i, 0) for i in range(200)] + [(1001, i, 1) for i in range(200)])
+
+
+def test_text_grids_count_words_by_their_hash_without_a_shuffle(spark):
+    import hashlib
+
+    texts = ["a b  a", "", None, "é " * 300, "x\ny z"]
+    d = spark.createDataFrame([(i, t, f"k{i}") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
+    grids = dedup.text_grids(d, keep=("kept",))
+    assert "Exchange" not in grids._jdf.queryExecution().executedPlan().toString()
+    for r in grids.collect():
+        want = [0] * 72
+        for w in [] if texts[r["doc_id"]] is None else texts[r["doc_id"]].split(" "):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 72] += 1
+        assert r["grid"] == want and r["kept"] == f"k{r['doc_id']}"
+    assert grids.count() == 5
