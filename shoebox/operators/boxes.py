@@ -30,7 +30,7 @@ def nms(boxes: DataFrame, iou_threshold: float = IOU, most: int = MOST, image: s
                 u, v, s, t = rects[j]
                 both = max(0.0, min(x + w, u + s) - max(x, u)) * max(0.0, min(y + h, v + t) - max(y, v))
                 union = w * h + s * t - both
-                if union > 0 and both / union > iou_threshold:
+                if both > iou_threshold * union:  # a product: a quotient rounds to the other side of the threshold
                     break
             else:
                 kept.append(i)

@@ -229,3 +229,15 @@ def test_text_grids_count_words_by_their_hash_without_a_shuffle(spark):
             want[int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 72] += 1
         assert r["grid"] == want and r["kept"] == f"k{r['doc_id']}"
     assert grids.count() == 5
+
+
+def test_nms_compares_products_like_its_sql_at_the_threshold(spark):
+    def box(k, s):  # two boxes of the part table; a quotient rounds to the other side of the threshold
+        return [k % 10 / 20.0, s % 7 / 10.0, 0.05 + s / 100.0, 0.1 + k % 30 / 60.0]
+
+    (x, y, w, h), (u, v, s, t) = a, b = box(0, 37), box(3, 16)
+    both = max(0.0, min(x + w, u + s) - max(x, u)) * max(0.0, min(y + h, v + t) - max(y, v))
+    union = w * h + s * t - both
+    assert (both > 0.4 * union) != (both / union > 0.4)
+    kept = boxes.nms(spark.createDataFrame([("i", 1, a, 0.9), ("i", 2, b, 0.8)], "image_id string, box_id int, bbox array<double>, score double"))
+    assert kept.count() == (1 if both > 0.4 * union else 2)
