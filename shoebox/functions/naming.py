@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ class NamingTemplate:
     keep_original_name: bool = True
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is found once a row: named in an expression, it would be found again wherever a lambda names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def given(c: Column) -> Column:
     """Null for an empty string."""
     return F.nullif(c, F.lit(""))
@@ -98,13 +104,16 @@ RULE = "struct<template:string,fallback:array<string>,uncertain_folder:string,ke
 
 def rule_column(rule: Column | None = None) -> Column:
     """A root's JSON text as a rule; what it leaves out, and all of a null or malformed one, is as by default."""
-    held = F.from_json(rule if rule is not None else F.lit(None).cast("string"), RULE)
-    return F.struct(
-        F.coalesce(held["template"], F.lit(DEFAULT_TEMPLATE)).alias("template"),
-        F.coalesce(held["fallback"], F.array(*map(F.lit, FALLBACK))).alias("fallback"),
-        F.coalesce(held["uncertain_folder"], F.lit(UNCERTAIN_FOLDER)).alias("uncertain_folder"),
-        F.coalesce(held["keep_original_name"], F.lit(True)).alias("keep_original_name"),
-    )
+
+    def whole(held: Column) -> Column:
+        return F.struct(
+            F.coalesce(held["template"], F.lit(DEFAULT_TEMPLATE)).alias("template"),
+            F.coalesce(held["fallback"], F.array(*map(F.lit, FALLBACK))).alias("fallback"),
+            F.coalesce(held["uncertain_folder"], F.lit(UNCERTAIN_FOLDER)).alias("uncertain_folder"),
+            F.coalesce(held["keep_original_name"], F.lit(True)).alias("keep_original_name"),
+        )
+
+    return once(F.from_json(rule if rule is not None else F.lit(None).cast("string"), RULE), whole)
 
 
 def template_path_by(root: str, source: Column, ts: Column, uncertain: Column, item_id: Column, event: Column, place: Column, person: Column, rule: Column) -> Column:
@@ -114,23 +123,34 @@ def template_path_by(root: str, source: Column, ts: Column, uncertain: Column, i
     many roots are planned in one frame whatever their number of templates.
     """
     ext, original = F.regexp_extract(source, r"[^/](\.[^./]*)$", 1), media.stem(source)
-    keep = rule["keep_original_name"]
-    t = date_tokens(ts)
-    date = F.concat_ws("-", t["yyyy"], t["MM"], t["dd"])
-    names = F.create_map(F.lit("event"), given(event), F.lit("place"), given(place), F.lit("date"), date)
-    first = F.element_at(F.filter(F.transform(rule["fallback"], lambda k: F.try_element_at(names, k)), lambda x: x.isNotNull()), 1)
-    event = F.coalesce(F.when(F.exists(rule["fallback"], lambda k: F.try_element_at(names, k).isNotNull()), first), date)
-    known = t | {"event": event, "place": F.coalesce(place, event), "person": F.coalesce(person, F.lit("")), "original": F.when(keep, original).otherwise("")}
-    tokens = F.create_map(*[x for name, value in known.items() for x in (F.lit(name), value)])
     token = r"^\{(\w+)\}$"
-    pieces = F.split(rule["template"], r"(?=\{\w{1,64}\})|(?<=\})")
-    raw = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(token), F.coalesce(F.try_element_at(tokens, F.regexp_extract(p, token, 1)), F.lit(""))).otherwise(p)), "")
-    parts = F.transform(F.split(raw, "/"), lambda s: F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_|_$", ""))
-    parts = F.transform(F.filter(parts, lambda s: F.trim(s) != ""), sanitize_segment)
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(item_id))
-    certain = F.concat(F.lit(root + "/"), F.array_join(parts, "/"), ext)
-    apart = F.concat(F.lit(f"{root}/"), sanitize_segment(rule["uncertain_folder"]), F.lit("/"), sanitize_segment(F.when(keep, original).otherwise(item_id)), ext)
-    return F.when(F.coalesce(uncertain, F.lit(False)) | ts.isNull(), apart).otherwise(certain)
+    given_ = F.struct(*[c.alias(n) for n, c in date_tokens(ts).items()], rule.alias("rule"), original.alias("original"), given(event).alias("event"), given(place).alias("named_place"), place.alias("place"))
+
+    def named(g: Column) -> Column:
+        """The rule and what the tokens stand for."""
+        date, fallback = F.concat_ws("-", g["yyyy"], g["MM"], g["dd"]), g["rule"]["fallback"]
+        name = lambda k: F.when(k == "event", g["event"]).when(k == "place", g["named_place"]).when(k == "date", date)
+        first = F.get(F.filter(F.transform(fallback, name), lambda x: x.isNotNull()), F.lit(0))
+        return F.struct(*[g[n].alias(n) for n in ("yyyy", "MM", "dd", "HHmmss", "rule", "original", "place")], F.coalesce(first, date).alias("event"))
+
+    def path(n: Column) -> Column:
+        known = {k: n[k] for k in ("yyyy", "MM", "dd", "HHmmss", "event")} | {"place": F.coalesce(n["place"], n["event"]), "person": F.coalesce(person, F.lit("")), "original": F.when(n["rule"]["keep_original_name"], n["original"]).otherwise("")}
+        pieces = F.split(n["rule"]["template"], r"(?=\{\w{1,64}\})|(?<=\})")
+
+        def piece(p: Column) -> Column:
+            own = F.lit("")
+            for name, value in known.items():
+                own = F.when(p == F.lit("{" + name + "}"), F.coalesce(value, F.lit(""))).otherwise(own)
+            return F.when(p.rlike(token), own).otherwise(p)
+
+        raw = F.array_join(F.transform(pieces, piece), "")
+        parts = F.transform(F.split(raw, "/"), lambda s: F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_|_$", ""))
+        parts = F.transform(F.filter(parts, lambda s: F.trim(s) != ""), sanitize_segment)
+        certain = once(parts, lambda parts: F.concat(F.lit(root + "/"), F.array_join(F.when(F.size(parts) > 0, parts).otherwise(F.array(item_id)), "/"), ext))
+        apart = F.concat(F.lit(f"{root}/"), sanitize_segment(n["rule"]["uncertain_folder"]), F.lit("/"), sanitize_segment(F.when(n["rule"]["keep_original_name"], n["original"]).otherwise(item_id)), ext)
+        return F.when(F.coalesce(uncertain, F.lit(False)) | ts.isNull(), apart).otherwise(certain)
+
+    return once(given_, lambda g: once(named(g), path))
 
 
 def target_path(root: str, source: Column, ts: Column, event: Column, place: Column, item_id: Column, rule: NamingRule = NamingRule()) -> Column:

@@ -116,3 +116,10 @@ def test_template_path(spark):
 def test_event_title(spark):
     got = one(spark, naming.event_title(at(), F.lit("東京"), F.lit(3)), naming.event_title(at(), none(), F.lit(3)), naming.event_title(F.lit(None).cast("timestamp"), F.lit("東京"), F.lit(3)))
     assert tuple(got) == ("2024年8月15日 東京", "2024年8月15日の思い出（3枚）", "東京の思い出")
+
+
+def test_a_rule_and_dates_are_found_once_a_row(spark):
+    from shoebox.plans.queries import QUERIES
+
+    plan = QUERIES["template_paths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("from_json(") + plan.count("jsontostructs(") == 1 and plan.count("date_format(") + plan.count("dateformatclass(") <= 4
