@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from shoebox.functions.vectors import cosine_distance
 from shoebox.operators.cells import SAMPLE, fit_cells, in_cells, k_means, probes_for, sample_vectors
 from shoebox.operators.metric import plain, units
+from shoebox.plans.lineage import cut
 
 #: Parts of a vector, each coded by one byte, and values that a byte may take.
 PARTS, VALUES = 8, 256
-#: Rows of a block that one task searches, and candidates a query keeps for each neighbour asked for.
-BLOCK, REFINE = 1 << 16, 16
+#: Rows of a block of cells, queries that meet it in one task, and candidates a query keeps for each neighbour asked for.
+BLOCK, QUERIES, REFINE = 1 << 16, 512, 16
 
 
 class VectorIndex:
@@ -93,37 +94,74 @@ class VectorIndex:
         """``query_id``, ``cell``, ``id``: the ``most`` rows of each query's probed cells whose codes are nearest to it; codes alone are read."""
         probes = min(probes or self.probes, len(self.centres))
         asked = query.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
-        q = in_cells(asked, self.centres, probes).select(F.col("id").alias("query_id"), F.col("embedding").alias("asked"), "cell")
-        wanted = [r[0] for r in q.select("cell").distinct().collect()]  # cells are few
+        wanted = [r[0] for r in in_cells(asked, self.centres, probes).select("cell").distinct().collect()]  # cells are few
         rows = self.rows().where(F.col("cell").isin(wanted)).select("id", "code", "cell")
-        blocks = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        q = q.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        r = rows.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "code", F.col("cell").alias("rcell"), F.col("block").alias("rblock"))
-        shared = self.spark.sparkContext.broadcast((self.centres, self.books))
+        # small cells are put together to blocks, so a query is copied, and keeps candidates, once a block and not once a cell
+        blocks, at, held = {}, 0, 0
+        for cell, n in sorted((r["cell"], r["count"]) for r in rows.groupBy("cell").count().collect()):
+            if held and held + n > BLOCK:
+                at, held = at + 1, 0
+            many = -(-n // BLOCK)
+            blocks[cell] = (at, many)
+            at, held = (at + many, 0) if many > 1 else (at, held + n)
+        chunks = max(1, -(-asked.count() // QUERIES))
+        dealt = self.spark.createDataFrame([(c, *b) for c, b in blocks.items()], "cell int, first int, n int")
+        r = rows.join(F.broadcast(dealt), "cell").withColumn("rblock", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int"))
+        r = r.select("id", "code", F.col("cell").alias("rcell"), "rblock", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("rchunk"))
+        shared = self.spark.sparkContext.broadcast((self.centres, self.books, blocks))
         id_type, query_type = rows.schema["id"].dataType.simpleString(), query.schema["id"].dataType.simpleString()
 
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres, _, blocks = shared.value
+            for pdf in batches:
+                near = np.argsort(-(np.array(pdf["embedding"].tolist(), float) @ centres.T), axis=1, kind="stable")[:, :probes]
+                out: dict[str, list] = {"query_id": [], "asked": [], "block": [], "cells": []}
+                for query_id, v, cells in zip(pdf["id"].tolist(), pdf["embedding"], near.tolist(), strict=True):
+                    own: dict[int, list[int]] = {}
+                    for c in cells:
+                        for b in range(blocks[c][0], sum(blocks[c])) if c in blocks else ():
+                            own.setdefault(b, []).append(c)
+                    out["query_id"] += [query_id] * len(own)
+                    out["asked"] += [v] * len(own)
+                    out["block"] += own.keys()
+                    out["cells"] += own.values()
+                yield plain(out)
+
+        q = asked.mapInPandas(send, f"query_id {query_type}, asked array<double>, block int, cells array<int>")
+        q = q.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+
         def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             out: dict[str, list] = {"query_id": [], "cell": [], "id": [], "about": []}
             if not len(x) or not len(y):
                 return plain(out)
-            centres, books = shared.value
+            centres, books, _ = shared.value
+            y = y.sort_values(["rcell", "id"], kind="stable")
             codes = np.frombuffer(b"".join(y["code"]), np.uint8).reshape(len(y), len(books))
-            ids = y["id"].to_numpy()
-            for query_id, cell, v in zip(x["query_id"], x["cell"], units(x["asked"]), strict=True):
-                alike, at = np.full(len(y), v @ centres[cell]), 0
+            ids, cell = y["id"].to_numpy(), y["rcell"].to_numpy()
+            place = np.empty(len(y), np.int64)
+            place[np.argsort(ids, kind="stable")] = np.arange(len(y))
+            for query_id, own, v in zip(x["query_id"], x["cells"], units(x["asked"]), strict=True):
+                low, high = np.searchsorted(cell, own), np.searchsorted(cell, own, side="right")
+                i = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+                if not len(i):
+                    continue
+                alike, at = (centres @ v)[cell[i]], 0
                 for j, book in enumerate(books):
-                    alike += (book @ v[at : at + book.shape[1]])[codes[:, j]]
+                    alike += (book @ v[at : at + book.shape[1]])[codes[i, j]]
                     at += book.shape[1]
-                alike[ids == query_id] = -np.inf
-                best = np.argsort(-alike, kind="stable")[:most]
+                alike[ids[i] == query_id] = -np.inf
+                if len(i) > most:
+                    some = np.flatnonzero(alike >= np.partition(alike, -most)[-most])
+                    i, alike = i[some], alike[some]
+                best = np.lexsort((place[i], -alike))[:most]
                 best = best[alike[best] > -np.inf]
                 out["query_id"] += [query_id] * len(best)
-                out["cell"] += [cell] * len(best)
-                out["id"] += ids[best].tolist()
+                out["cell"] += cell[i[best]].tolist()
+                out["id"] += ids[i[best]].tolist()
                 out["about"] += (1 - alike[best]).tolist()
             return plain(out)
 
-        met = q.groupBy("cell", "block").cogroup(r.groupBy("rcell", "rblock")).applyInPandas(near, f"query_id {query_type}, cell int, id {id_type}, about double")
+        met = q.groupBy("block", "chunk").cogroup(r.groupBy("rblock", "rchunk")).applyInPandas(near, f"query_id {query_type}, cell int, id {id_type}, about double")
         best = W.partitionBy("query_id").orderBy("about", "id")
         return met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).select("query_id", "cell", "id")
 
@@ -132,7 +170,7 @@ class VectorIndex:
 
         ``query`` has ``id``, ``embedding``; a row is not its own neighbour.
         """
-        found = self.candidates(query, k * refine, probes)
+        found = cut(self.candidates(query, k * refine, probes))  # read twice
         wanted = [r[0] for r in found.select("cell").distinct().collect()]
         rows = self.rows().where(F.col("cell").isin(wanted)).select("cell", "id", "seq", "embedding")
         asked = query.select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("asked"))

@@ -139,3 +139,19 @@ def test_equal_vectors_come_in_the_order_of_seq(spark):
     asked = spark.createDataFrame([(100, 100, (x[1] + x[50] / 4).tolist())], ROW)
     got = metric.within(asked, rows, 0.9, 30, own=True).orderBy("rank").collect()
     assert [r["id"] for r in got] == list(range(1, 31)) and len({r["distance"] for r in got}) == 1
+
+
+def test_a_query_keeps_candidates_once_a_block_and_not_once_a_cell(spark, tmp_path, monkeypatch):
+    from shoebox.operators import vector_index
+
+    x = np.random.default_rng(4).normal(size=(900, 16)).astype(np.float32)
+    rows = frame(spark, x)
+    index = VectorIndex.create(rows, str(tmp_path / "index"))
+    whole = {(r["query_id"], r["id"]) for r in index.candidates(rows.where("id % 20 = 0"), 20, probes=10**6).collect()}
+    plan = index.candidates(rows.where("id % 20 = 0"), 20, probes=10**6)._jdf.queryExecution().optimizedPlan().toString()
+    keys = next(line for line in plan.splitlines() if "FlatMapCoGroupsInPandas" in line)
+    assert "block#" in keys and "chunk#" in keys and "cell#" not in keys.split("near(")[0]
+    monkeypatch.setattr(vector_index, "BLOCK", 100)  # cells on several blocks, and cells of more than one
+    monkeypatch.setattr(vector_index, "QUERIES", 10)
+    parted = {(r["query_id"], r["id"]) for r in index.candidates(rows.where("id % 20 = 0"), 20, probes=10**6).collect()}
+    assert parted == whole and len(whole) == 45 * 20
