@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoebox.llm._common import Scratch, written
-from shoebox.llm.wordhash import blocks, hashed, shingles
+from shoebox.llm.wordhash import blocks, hashed, mix, shingles
 
 #: Words of a seed.  Kept are the seeds whose hash is below SAMPLED, a quarter of all whatever stands around them, and
 #: the one with the least hash of every WINDOW in a row, so that any WINDOW + WORDS - 1 equal words hold a common seed.
@@ -22,12 +24,23 @@ LEAST_WORDS, SIMILAR = 45, 0.8
 LEAST_CHAIN = 15
 #: All holders of a seed are paired with each other up to this many; a seed of more documents is hot.
 ALL_HOLDERS = 16
+#: Words between neighbouring seeds of a key of two or three hot seeds (a chain of two such is long enough and is not
+#: parted), and words from the first to the last of a wide key, whose holders are all paired, however many they are.
+NEAR, FAR, WIDE = 12, 35, 40
+#: Bits of the filter of keys that are looked for: 16 MB, whatever their number.
+KEY_BITS = 27
 #: Places of one seed at equal steps of at most so many words are a run, as in a text that repeats a word or a line.
 MOST_STEP = 64
 #: Cost of a word of gap inside a chain (seeds are a sample, so most words between two are equal too), and the gap at which a chain is parted.
 GAP_COST, MOST_GAP = 0.05, 32
 #: Words around a chain that the alignment may reach into, and the score by which it may fall before it stops.
 REACH, DROP = 64, 6
+#: Chains of two texts with no more words between them are aligned on one slice of each.
+SAME_SLICE = 128
+#: Words to each side of a long equal run that are compared for many runs at once.
+ASIDE = 32
+#: Bits of a run's step and of the number of its places, beside its first word.
+_STEP, _PLACES = 7, 28
 #: The byte of every so many words is known where a text is sliced.
 MARK = 32
 
@@ -41,36 +54,53 @@ def minimizers(s: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarra
     least, place, span = s.copy(), np.arange(n), 1
     while span < window:  # sliding minima by doubling; the leftmost place of the least hash
         step = min(span, window - span)
-        other = np.minimum(np.arange(n) + step, n - 1)
-        inside = text[other] == text
-        better = inside & (least[other] < least)
-        least, place = np.where(better, least[other], least), np.where(better, place[other], place)
+        better = (text[step:] == text[:-step]) & (least[step:] < least[:-step])
+        least[:-step] = np.where(better, least[step:], least[:-step])
+        place[:-step] = np.where(better, place[step:], place[:-step])
         span += step
     full = (np.arange(n) + window <= at[1:][text]) | (np.arange(n) == at[:-1][text])
-    return np.unique(place[full])
+    held = np.zeros(n, bool)
+    held[place[full]] = True
+    return np.flatnonzero(held)
 
 
 def sampled(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Places in ``s`` that are seeds."""
-    return np.union1d(np.flatnonzero(s < SAMPLED), minimizers(s, at))
+    held = s < SAMPLED
+    held[minimizers(s, at)] = True
+    return np.flatnonzero(held)
 
 
 def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a place of a seed; of places in a run, only the first.  Long runs meet by a seed of their own, too."""
     for pdf in batches:
         ids = pdf["doc"].to_numpy()
         for a, _, encoded in blocks(pdf["text"].tolist()):
-            h, starts, _, offsets = hashed(encoded)
+            h, _, _, offsets = hashed(encoded)
             s, at = shingles(h, offsets, WORDS)
             place = sampled(s, at)
             text = np.searchsorted(at, place, side="right") - 1
             long_enough = np.diff(offsets)[text] >= LEAST_WORDS
             place, text = place[long_enough], text[long_enough]
-            order = np.lexsort((place, s[place], text))
-            place, text = place[order], text[order]
-            word = place - at[text]
-            same = (s[place[1:]] == s[place[:-1]]) & (text[1:] == text[:-1])
-            run = _runs(word, same)
-            yield pd.DataFrame({"seed": s[place].view(np.int64), "doc": ids[a + text], "at": word << 32 | starts[offsets[text] + word], "run": run})
+            key = s[place] + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            order = np.argsort(key)
+            same = np.append(False, key[order][1:] == key[order][:-1])
+            again = np.zeros(len(place), bool)
+            again[order] = same | np.append(same[1:], False)
+            one, many = np.flatnonzero(~again), np.flatnonzero(again)
+            many = many[np.lexsort((place[many], s[place[many]], text[many]))]
+            m = place[many]
+            run = _runs(m - at[text[many]], (s[m[1:]] == s[m[:-1]]) & (text[many][1:] == text[many][:-1]))
+            first = run >> _PLACES & (1 << _PLACES) - 1 == 0
+            many, run = many[first], run[first]
+            step, places = run >> 2 * _PLACES, run & (1 << _PLACES) - 1
+            long = np.flatnonzero((places - 1) * step + WORDS >= LEAST_WORDS)
+            own = np.concatenate([one, many, many[long]])
+            own_run = np.concatenate([np.ones(len(one), np.int64), step << _PLACES | places, (step << _PLACES | places)[long]])
+            seed = s[place[own]]
+            seed[len(seed) - len(long) :] = mix(seed[len(seed) - len(long) :] + step[long].astype(np.uint64))
+            place_, text_ = place[own], text[own]
+            yield pd.DataFrame({"seed": seed.view(np.int64), "doc": ids[a + text_], "run": place_ - at[text_] << _STEP + _PLACES | own_run})
 
 
 def _runs(word: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -100,44 +130,65 @@ def _best(doc: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def _linked(pdf: pd.DataFrame, known: int = 0, hot_first: bool = False) -> Iterator[pd.DataFrame]:
-    """Pairs of places of seeds whose rows are all in ``pdf``, and a mark for each place of a hot seed.
+    """Pairs of places of seeds whose rows are all in ``pdf``, and a mark with the seed for each place of a hot one.
 
     ``hot_first``: the first seed is hot already, and its first ``known`` rows are earlier documents only.
     """
-    seed, doc, at, run = (pdf[c].to_numpy() for c in ("seed", "doc", "at", "run"))
-    step, index, left = run >> 56, run >> 28 & (1 << 28) - 1, run & (1 << 28) - 1
-    rows = np.arange(len(seed))
+    seed, doc, run = (pdf[c].to_numpy() for c in ("seed", "doc", "run"))
+    again = doc[1:] != doc[:-1]
+    again &= seed[1:] == seed[:-1]
+    if not hot_first and not again.any():
+        return
     new_seed = np.append(True, seed[1:] != seed[:-1])
+    of = np.cumsum(new_seed) - 1  # rows of seeds that only one document has go first, as most are
+    shared = np.zeros(of[-1] + 1, bool)
+    shared[of[1:][again]] = True
+    shared[0] |= hot_first
+    use = shared[of]
+    if not use.all():
+        seed, doc, run, new_seed = seed[use], doc[use], run[use], new_seed[use]
+    word, step, left = run >> _STEP + _PLACES, run >> _PLACES & (1 << _STEP) - 1, run & (1 << _PLACES) - 1
+    rows = np.arange(len(seed))
     new = new_seed | np.append(True, doc[1:] != doc[:-1])
     group = np.cumsum(new) - 1
     best = _best(group, left)
     first = np.flatnonzero(new_seed[np.flatnonzero(new)])
     holders = np.diff(np.append(first, len(best)))
+    size = holders.copy()
     if hot_first:
         holders[0] += ALL_HOLDERS
-    size = np.diff(np.append(first, len(best)))
     lo, df = np.repeat(first, size), np.repeat(holders, size)
     rank, hot = np.arange(len(best)) - lo, df > ALL_HOLDERS
-    some = rows[(df > 1)[group] & (rows >= known)]
+    some = rows[rows >= known]
     later, earlier = [], []
+    cool = some[~hot[group[some]]]
     for o in range(1, min(ALL_HOLDERS, int(rank.max(initial=0)) + 1)):
-        r = some[(rank[group[some]] >= o) & ~hot[group[some]]]
-        later.append(r)
-        earlier.append(best[group[r] - o])
+        cool = cool[rank[group[cool]] >= o]
+        later.append(cool)
+        earlier.append(best[group[cool] - o])
     r = some[hot[group[some]]]
-    yield pd.DataFrame({"later": doc[r], "earlier": 0, "hot": True, "l_at": at[r], "e_at": 0, "n": 0})
+    yield pd.DataFrame({"later": doc[r], "earlier": 0, "hot": True, "l_at": word[r], "e_at": seed[r], "n": run[r] & (1 << _STEP + _PLACES) - 1})
     for least, of in ((1, lambda r: lo[group[r]]), (2, lambda r: group[r] - 1)):
         own = r[rank[group[r]] >= least]
         later.append(own)
         earlier.append(best[of(own)])
-    for l, e in zip(later, earlier, strict=True):
-        # a run meets a run in pieces as long as the earlier one, the last of them up to its end
-        both = (step[l] == step[e]) & (step[l] > 0)
-        use = ~both | (index[l] % left[e] == 0) | (left[l] == left[e])
-        l, e, both = l[use], e[use], both[use]
-        if len(l):
-            n = WORDS + np.where(both, (np.minimum(left[l], left[e]) - 1) * step[l], 0)
-            yield pd.DataFrame({"later": doc[l], "earlier": doc[e], "hot": False, "l_at": at[l], "e_at": at[e], "n": n})
+    l, e = np.concatenate(later), np.concatenate(earlier)
+    # a run meets a run in pieces as long as the earlier one, the last of them up to its end; else each of its places
+    both = (step[l] == step[e]) & (step[l] > 0)
+    stride = np.where(both, left[e], 1)
+    pieces = -(-left[l] // stride)
+    many, of = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces), np.repeat(np.arange(len(l)), pieces)
+    index = many * stride[of]
+    l, e, both = l[of], e[of], both[of]
+    rest = left[l] - index
+    n = WORDS + np.where(both, (np.minimum(rest, left[e]) - 1) * step[l], 0)
+    l_at = word[l] + index * step[l]
+    if len(l):
+        yield pd.DataFrame({"later": doc[l], "earlier": doc[e], "hot": False, "l_at": l_at, "e_at": word[e], "n": n})
+        short = np.flatnonzero(both & (rest < left[e]) & (index > 0))  # the last piece, up to the run's end
+        if len(short):
+            l, e = l[short], e[short]
+            yield pd.DataFrame({"later": doc[l], "earlier": doc[e], "hot": False, "l_at": word[l] + (left[l] - left[e]) * step[l], "e_at": word[e], "n": WORDS + (left[e] - 1) * step[l]})
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +211,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if hot and len(done) > known:
             part = pdf.iloc[: done[-1] + 1]
             yield from _linked(part, known, True)
-            best = _best(doc[: len(part)], part["run"].to_numpy() & (1 << 28) - 1)
+            best = _best(doc[: len(part)], part["run"].to_numpy() & (1 << _PLACES) - 1)
             keep = np.unique(best[[0, -1]])
             pdf, known = pdf.iloc[np.append(keep, np.arange(len(part), len(pdf)))], len(keep)
         held = pdf
@@ -168,12 +219,83 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _linked(held, known, hot)
 
 
+def _outside(first: np.ndarray, last: np.ndarray, spans: tuple[np.ndarray, np.ndarray], together: bool) -> np.ndarray:
+    """Which of the word ranges from ``first`` to ``last`` (inclusive) lie in none of the ``spans`` (first, end), or in all ``together``."""
+    begin, end = spans
+    if not len(begin):
+        return np.ones(len(first), bool)
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    if together:
+        new = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+        begin, end = begin[new], end[np.append(new[1:], len(end)) - 1]
+    k = np.searchsorted(begin, first, side="right") - 1
+    return (k < 0) | (end[k] <= last)
+
+
+def _extent(run: np.ndarray) -> np.ndarray:
+    """Words from the first to the last place of a run."""
+    return (run >> _PLACES) * ((run & (1 << _PLACES) - 1) - 1)
+
+
+def _may_repeat(begin: np.ndarray, end: np.ndarray) -> bool:
+    """Whether hot seeds at these places (of runs, the first and the last) can be those of an equal run of LEAST_WORDS
+    words that rare seeds do not pair.
+
+    Any WINDOW shingles of the run hold a seed of all its holders; those that are not hot lie within LEAST_CHAIN words.
+    """
+    if not len(begin):
+        return False
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    part = np.flatnonzero(np.append(True, begin[1:] - end[:-1] > WINDOW))
+    begin, end = begin[part], end[np.append(part[1:], len(end)) - 1]
+    most = 2 * WINDOW + LEAST_CHAIN - WORDS
+    return bool((end - begin >= 2 * WINDOW - 1).any() or ((begin[1:] - end[:-1] <= most) & (end[1:] - begin[:-1] >= most)).any())
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+    """The values of lists, and the row of each (times 2^32)."""
+    col = batch.column(name)
+    return pc.list_parent_indices(col).to_numpy(zero_copy_only=False).astype(np.int64) << 32, pc.list_flatten(col)
+
+
+def _hot(batch: pa.RecordBatch, spans: str, together: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the hot seeds of a batch of documents: row and first word in one number, the place in the batch, run, and whether they lie outside ``spans``."""
+    row, word = _flat(batch, "words")
+    run = _flat(batch, "runs")[1].to_numpy(zero_copy_only=False)
+    word = row + word.to_numpy(zero_copy_only=False)
+    order = np.argsort(word, kind="stable")
+    word, run = word[order], run[order]
+    return word, order, run, _outside(word, word + _extent(run) + WORDS - 1, _spans(batch, spans), together)
+
+
+def _spans(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    row, span = _flat(batch, name)
+    return row + span.field("at").to_numpy(zero_copy_only=False), row + span.field("end").to_numpy(zero_copy_only=False)
+
+
+def _repeatable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents whose hot seeds outside equal passages may be those of an equal run."""
+    for batch in batches:
+        word, _, run, out = _hot(batch, "equal", False)
+        word, run = word[out], run[out]
+        at = np.searchsorted(word, np.arange(batch.num_rows + 1) << 32)
+        end = word + _extent(run)
+        keep = [_may_repeat(word[a:b], end[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _long_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of the runs of LEAST_WORDS words that the seeds of few documents do not pair, with their places."""
+    """Hashes of the runs of LEAST_WORDS words that the seeds of few documents do not pair, with their places.
+
+    A run inside an equal passage stands in an earlier document, which gives it, too.  Where words repeat at equal
+    steps, one step is enough: longer stretches meet by a seed of their own.
+    """
     for pdf in batches:
-        ids, hot = pdf["doc"].to_numpy(), pdf["hot"].tolist()
+        ids, hot, steps, equal = pdf["doc"].to_numpy(), pdf["words"].tolist(), pdf["runs"].tolist(), pdf["equal"].tolist()
         for a, _, encoded in blocks(pdf["text"].tolist()):
-            h, starts, _, offsets = hashed(encoded)
+            h, _, _, offsets = hashed(encoded)
             s, at = shingles(h, offsets, WORDS)
             place = np.flatnonzero(s < SAMPLED)  # seeds of a run whatever stands around it
             for t in range(len(encoded)):
@@ -181,16 +303,104 @@ def _long_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if n < LEAST_WORDS:
                     continue
                 own = place[np.searchsorted(place, at[t]) : np.searchsorted(place, at[t + 1])] - at[t]
-                rare = np.setdiff1d(own, np.asarray(hot[a + t], np.int64))
+                own = own[~np.isin(s[at[t] + own], s[at[t] + np.asarray(hot[a + t], np.int64)])]
                 run = np.arange(n - LEAST_WORDS + 1)
-                i = np.searchsorted(rare, run)
-                j = np.searchsorted(rare, run + LEAST_WORDS - WORDS, side="right") - 1
+                i = np.searchsorted(own, run)
+                j = np.searchsorted(own, run + LEAST_WORDS - WORDS, side="right") - 1
                 paired = j > i
-                paired[paired] = rare[j[paired]] - rare[i[paired]] + WORDS >= LEAST_CHAIN
+                paired[paired] = own[j[paired]] - own[i[paired]] + WORDS >= LEAST_CHAIN
                 run = run[~paired]
+                own_equal = np.array([(x["at"], x["end"]) for x in (() if equal[a + t] is None else equal[a + t])], np.int64).reshape(-1, 2).T
+                run = run[_outside(run, run + LEAST_WORDS - 1, own_equal, False)]
                 if len(run):
-                    key, _ = shingles(h[offsets[t] : offsets[t + 1]], np.array([0, n]), LEAST_WORDS)
-                    yield pd.DataFrame({"seed": key[run].view(np.int64), "doc": ids[a + t], "at": run << 32 | starts[offsets[t] + run]})
+                    lo = run[0]
+                    key, _ = shingles(h[offsets[t] + lo : offsets[t] + run[-1] + LEAST_WORDS], np.array([0, run[-1] - lo + LEAST_WORDS]), LEAST_WORDS)
+                    for step in np.unique(np.asarray(steps[a + t], np.int64) >> _PLACES):
+                        if step:
+                            run = run[(run < lo + step) | (key[run - lo] != key[np.maximum(run - lo - step, 0)])]
+                    yield pd.DataFrame({"seed": key[run - lo].view(np.int64), "doc": ids[a + t], "at": run})
+
+
+def _sequences(word: np.ndarray, seed: np.ndarray, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of so many places (indices) in order, neighbours NEAR to FAR words apart, and the key of each row; ``word`` is sorted."""
+    rows, key = np.arange(len(word))[:, None], mix(seed)
+    for _ in range(seeds - 1):
+        lo, hi = (np.searchsorted(word, word[rows[:, -1]] + d) for d in (NEAR, FAR + 1))
+        count = hi - lo
+        of = np.repeat(np.arange(len(rows)), count)
+        nxt = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + lo[of]
+        rows, key = np.column_stack([rows[of], nxt]), mix(key[of] * _KEY + seed[nxt])
+    return rows, key
+
+
+def _keyed_places(seeds: int, asked_only: bool, within=None, asked_for=None):
+    """Keys of so many hot seeds.  Asked for are those with a place outside all passages of their document.
+
+    ``within``: filter of the keys of two seeds that are hot; ``asked_for``: filter of the keys that are asked for.
+    Places inside one equal passage are left to the earlier document, which holds them, too.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                word, order, run, outside = _hot(batch, "spans", True)
+                seed = _flat(batch, "seeds")[1].to_numpy(zero_copy_only=False)[order].view(np.uint64)
+                rows, key = _sequences(word, seed, seeds)
+                asked = outside[rows].any(axis=1)
+                keep = asked if asked_only else asked | _outside(word[rows[:, 0]], word[rows[:, -1]] + WORDS - 1, _spans(batch, "equal"), False)
+                if asked_for is not None:
+                    keep = keep & _has(asked_for.value, key)
+                if within is not None:
+                    for k in range(seeds - 1):  # all neighbours are a hot key
+                        keep = keep & _has(within.value, mix(mix(seed[rows[:, k]]) * _KEY + seed[rows[:, k + 1]]))
+                rows, key, asked = rows[keep], key[keep], asked[keep]
+                at, doc = word[rows] & (1 << 32) - 1, batch.column("_doc").to_numpy()[word[rows[:, 0]] >> 32]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(asked), *(pa.array(np.ascontiguousarray(at[:, k])) for k in range(seeds))], ["key", "doc", "asked", *(f"at{k}" for k in range(seeds))])
+
+    return keys
+
+
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key >> np.uint64(64 - KEY_BITS)
+    return bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1 != 0
+
+
+def _filter(keys: DataFrame):
+    """A broadcast bitmap of the column ``key``, of fixed size."""
+    slot = F.shiftrightunsigned("key", 64 - KEY_BITS)
+    held = np.zeros((1 << KEY_BITS) // 8, np.uint8)
+    parts = keys.select(F.shiftright(slot, 16).cast("int").alias("part"), slot.bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("bit")).groupBy("part").agg(F.collect_set("bit").alias("bits"))
+    for r in parts.toLocalIterator():
+        at = (r["part"] << 16) + np.array(r["bits"], np.int64)
+        np.bitwise_or.at(held, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+    return keys.sparkSession.sparkContext.broadcast(held)
+
+
+def _met(keys: DataFrame, seeds: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of places of documents that hold a key, one row a seed, and the keys that are hot.
+
+    All holders are paired up to ALL_HOLDERS, and all of wide keys; others with the first and the one before.
+    """
+    one = keys.groupBy("key", "doc").agg(F.max("asked").alias("asked"), F.min(F.struct(*[f"at{k}" for k in range(seeds)])).alias("s"))
+    one = one.select("key", "doc", "asked", F.array(*[f"s.at{k}" for k in range(seeds)]).alias("places"))
+    by = W.partitionBy("key").orderBy("doc")
+    ranked = one.withColumn("rank", F.row_number().over(by)).withColumn("before", F.lag(F.struct("doc", "places")).over(by))
+    sizes = ranked.groupBy("key").agg(F.count("*").alias("holders"), F.min_by(F.struct("doc", "places"), "doc").alias("first")).where("holders > 1")
+    sizes = sizes.withColumnRenamed("key", "_key")
+    asked = ranked.join(sizes, F.col("key") == F.col("_key")).where("asked and rank > 1")
+    every = (F.col("holders") <= ALL_HOLDERS) | (F.element_at("places", -1) - F.element_at("places", 1) >= WIDE)
+    few = asked.where(~every).select("doc", "places", F.explode(F.array("first", "before")).alias("e"))
+    other = one.select(F.col("key").alias("other"), F.col("doc").alias("e_doc"), F.col("places").alias("e_places"))
+    all_ = asked.where(every).join(other, (F.col("key") == F.col("other")) & (F.col("e_doc") < F.col("doc")))
+    pairs = all_.select("doc", "places", "e_doc", "e_places").unionByName(few.select("doc", "places", F.col("e.doc").alias("e_doc"), F.col("e.places").alias("e_places")))
+    places = F.inline(F.arrays_zip(F.col("places").alias("l_at"), F.col("e_places").alias("e_at")))
+    pairs = pairs.select(F.col("doc").alias("later"), F.col("e_doc").alias("earlier"), places).distinct()
+    pairs = pairs.select("later", "earlier", F.lit(False).alias("hot"), "l_at", "e_at", F.lit(WORDS).cast("long").alias("n"))
+    return pairs, asked.where(~every).select("key").distinct()
 
 
 class Fenwick:
@@ -257,24 +467,59 @@ def chain(l: np.ndarray, e: np.ndarray, n: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _pair_chains(l_at: np.ndarray, e_at: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chains of one pair of texts, as places of the later and the earlier text and words of each match."""
-    l, e = l_at >> 32, e_at >> 32
-    order = np.lexsort((l, l - e))
-    l, e, l_at, e_at, n = l[order], e[order], l_at[order], e_at[order], n[order]
+def _all_chains(pair: np.ndarray, l: np.ndarray, e: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chains of pairs of texts, as words of the later and the earlier text and words of each match; matches come sorted by pair."""
+    order = np.lexsort((l, l - e, pair))
+    pair, l, e, n = pair[order], l[order], e[order], n[order]
     new = np.ones(len(l), bool)  # matches that meet or follow each other on one diagonal are one match
-    new[1:] = l[1:] - e[1:] != l[:-1] - e[:-1]
+    new[1:] = (l[1:] - e[1:] != l[:-1] - e[:-1]) | (pair[1:] != pair[:-1])
     far = (np.cumsum(new) - 1) * (1 << 33)
     stop = np.maximum.accumulate(far + l + n)
     new[1:] |= (far + l)[1:] > stop[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(l)) - 1
-    n = stop[last] - far[last] - l[first]
-    for own in chain(l[first], e[first], n):
-        own = np.array(own)
-        span = l[first[own[-1]]] + n[own[-1]] - l[first[own[0]]]
-        if span >= LEAST_CHAIN and (n[own].sum() > WORDS):
-            yield l_at[first[own]], e_at[first[own]], n[own]
+    pair, l, e, n = pair[first], l[first], e[first], stop[last] - far[last] - l[first]
+    order = np.lexsort((e, l, pair))
+    pair, l, e, n = pair[order], l[order], e[order], n[order]
+    high = np.maximum.accumulate((pair << 33) + l + n)
+    part = np.flatnonzero(np.append(True, ((pair << 33) + l)[1:] > high[:-1] + MOST_GAP))  # a chain is parted here
+    count = np.diff(np.append(part, len(l)))
+    for i in part[(count == 1) & (n[part] >= LEAST_CHAIN)]:
+        yield pair[i], l[i : i + 1], e[i : i + 1], n[i : i + 1]
+    a = part[count == 2]
+    b = a + 1
+    l_gap, e_gap = l[b] - l[a] - n[a], e[b] - e[a] - n[a]
+    both = (np.minimum(l_gap, e_gap) >= 0) & (np.maximum(l_gap, e_gap) <= MOST_GAP) & (n[a] > GAP_COST * (l_gap + e_gap))
+    for i in a[both & (l[b] + n[b] - l[a] >= LEAST_CHAIN)]:
+        yield pair[i], l[i : i + 2], e[i : i + 2], n[i : i + 2]
+    for i in np.concatenate([a[~both], b[~both]]):
+        if n[i] >= LEAST_CHAIN:
+            yield pair[i], l[i : i + 1], e[i : i + 1], n[i : i + 1]
+    more = (count > 2) & (high[part + count - 1] - (pair[part] << 33) - l[part] >= LEAST_CHAIN)
+    for i, m in zip(part[more], count[more], strict=True):
+        for own in chain(l[i : i + m], e[i : i + m], n[i : i + m]):
+            own = i + np.array(own)
+            if l[own[-1]] + n[own[-1]] - l[own[0]] >= LEAST_CHAIN and n[own].sum() > WORDS:
+                yield pair[i], l[own], e[own], n[own]
+
+
+def _slices(chains: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """Chains of one pair of texts put together where they lie near each other in both, with the number of matches of each."""
+    if len(chains) == 1:
+        yield *chains[0], [len(chains[0][0])]
+        return
+    held, l_end, e_low, e_high = [], 0, 0, 0
+    joined = lambda: (*(np.concatenate(x) for x in zip(*held, strict=True)), [len(c[0]) for c in held])
+    for c in sorted(chains, key=lambda c: (c[0][0], c[1][0])):
+        l, e, n = c
+        stop = (l[-1] + n[-1], e[-1] + n[-1])
+        if held and (l[0] > l_end + SAME_SLICE or e[0] > e_high + SAME_SLICE or stop[1] < e_low - SAME_SLICE):
+            yield joined()
+            held = []
+        l_end, e_low, e_high = (max(l_end, stop[0]), min(e_low, e[0]), max(e_high, stop[1])) if held else (stop[0], e[0], stop[1])
+        held.append(c)
+    if held:
+        yield joined()
 
 
 def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,16 +530,22 @@ def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         later, earlier, hot, l_at, e_at, words = (pdf[c].to_numpy() for c in ("later", "earlier", "hot", "l_at", "e_at", "n"))
         edge = np.flatnonzero(np.concatenate([[True], (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1]) | (hot[1:] != hot[:-1])]))
         stop = np.append(edge[1:], len(later))
-        low, high = np.minimum.reduceat(l_at >> 32, edge), np.maximum.reduceat((l_at >> 32) + words, edge)
+        low, high = np.minimum.reduceat(l_at, edge), np.maximum.reduceat(l_at + words, edge)
         some = ((stop - edge > 1) | (np.maximum.reduceat(words, edge) > WORDS)) & (high - low >= LEAST_CHAIN)
         rows = []
         for a, b in zip(edge[hot[edge]], stop[hot[edge]], strict=True):
-            rows.append((later[a], 0, True, np.unique(l_at[a:b] >> 32).tolist(), [], []))
+            rows.append((later[a], 0, True, 0, 0, 0, 0, l_at[a:b], e_at[a:b], words[a:b], []))
         some &= ~hot[edge]
-        for a, b in zip(edge[some], stop[some], strict=True):
-            for l, e, n in _pair_chains(l_at[a:b], e_at[a:b], words[a:b]):
-                rows.append((later[a], earlier[a], False, l.tolist(), e.tolist(), n.tolist()))
-        return pd.DataFrame(rows, columns=["later", "earlier", "hot", "l", "e", "n"])
+        use = np.repeat(some, stop - edge)
+        by_pair: dict[int, list] = {}
+        if use.any():
+            pair = np.repeat(edge, stop - edge)[use]
+            for p, *c in _all_chains(pair, l_at[use], e_at[use], words[use]):
+                by_pair.setdefault(p, []).append(c)
+        for p, chains in by_pair.items():
+            for l, e, n, parts in _slices(chains):
+                rows.append((later[p], earlier[p], False, l.min(), (l + n).max(), e.min(), (e + n).max(), l, e, n, parts))
+        return pd.DataFrame(rows, columns=["later", "earlier", "hot", "l_first", "l_last", "e_first", "e_last", "l", "e", "n", "parts"])
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
@@ -408,25 +659,77 @@ def align(a: list[int], b: list[int], matches: list[tuple[int, int, int]]) -> li
     return out
 
 
+def _equal_runs(h: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, e_lo: np.ndarray, e_hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Passages around single matches of ``n`` words, from words ``x`` and ``y`` of texts from ``lo`` to ``hi`` and ``e_lo`` to ``e_hi``: words gained to the left
+    and to the right, equal words, and which of them this tells like ``align`` (the match is equal and long enough, and the ends are in reach)."""
+    of = np.repeat(np.arange(len(n)), n)
+    t = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    good = n >= LEAST_WORDS
+    good[of[h[x[of] + t] != h[y[of] + t]]] = False
+    gained, equal = [], n.copy()
+    for step, i, j, room in ((-1, x - 1, y - 1, np.minimum(x - lo, y - e_lo)), (1, x + n, y + n, np.minimum(hi - x - n, e_hi - y - n))):
+        k = np.arange(ASIDE)
+        there = k < room[:, None]
+        a, b = (np.clip(v[:, None] + step * k, 0, len(h) - 1) for v in (i, j))
+        same = there & (h[a] == h[b])
+        score = np.cumsum(np.where(same, 1, -1), axis=1)
+        ended = ~there | (score < np.maximum(np.maximum.accumulate(score, axis=1), 0) - DROP)
+        live = np.cumsum(ended, axis=1) == 0
+        good &= ended.any(axis=1) | (room <= ASIDE)
+        value = np.cumsum(np.where(same, 1, -round(SIMILAR / (1 - SIMILAR), 9)), axis=1)
+        value = np.where(live & same, value, -1.0)
+        most = value.max(axis=1)
+        at = np.argmax(value, axis=1) if step > 0 else ASIDE - 1 - np.argmax(value[:, ::-1], axis=1)
+        more = np.where(most > 0 if step > 0 else most >= 0, at + 1, 0)
+        gained.append(more)
+        equal += np.where(k < more[:, None], same, False).sum(axis=1)
+    return *gained, equal, good
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mask = (1 << 32) - 1
+    names = ["doc_id", "other_id", "start_byte", "end_byte", "other_start", "other_end", "n_words", "similarity", "at"]
     for batch in batches:
-        rows = []
+        out = [[np.zeros(0, np.float64 if k == 7 else np.int64)] for k in range(9)]
         # whole texts stay bytes here, so the places of words are those of the text
         for first in range(0, batch.num_rows, 64):
-            part = batch.slice(first, 64).to_pylist()
-            h, starts, ends, offsets = hashed([r["l_slice"] for r in part] + [r["e_slice"] for r in part])
-            for r, row in enumerate(part):
-                (p, q), (u, v) = offsets[r : r + 2], offsets[len(part) + r : len(part) + r + 2]
-                la, lb = starts[p:q] + row["l_from"], starts[u:v] + row["e_from"]
-                i, j = np.searchsorted(la, np.asarray(row["l"]) & mask), np.searchsorted(lb, np.asarray(row["e"]) & mask)
-                count = np.minimum(np.asarray(row["n"]), np.minimum(len(la) - i, len(lb) - j))
-                good = count > 0
-                matches = list(zip(i[good].tolist(), j[good].tolist(), count[good].tolist(), strict=True))
-                for x, y, z, w, similar in align(h[p:q].tolist(), h[u:v].tolist(), matches):
-                    rows.append((row["later"], row["earlier"], int(la[x]), int(ends[p + y - 1] + row["l_from"]), int(lb[z]), int(ends[u + w - 1] + row["e_from"]), int(y - x), float(similar)))
-        names = ["doc_id", "other_id", "start_byte", "end_byte", "other_start", "other_end", "n_words", "similarity"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 7 else pa.int64()) for k in range(8)], names)
+            part = batch.slice(first, 64)
+            col = lambda c: part.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            flat = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            rows = part.num_rows
+            h, starts, ends, offsets = hashed(part.column("l_slice").to_pylist() + part.column("e_slice").to_pylist())
+            l, e, n, parts = (flat(c) for c in ("l", "e", "n", "parts"))
+            chains = np.diff(part.column("parts").offsets.to_numpy())
+            row = np.repeat(np.arange(rows), chains)  # of each chain
+            begin = np.cumsum(parts) - parts
+            of = row[np.repeat(np.arange(len(parts)), parts)]  # of each match
+            word0 = [np.maximum(col(c) - REACH, 0) // MARK * MARK for c in ("l_first", "e_first")]
+            lo, hi, e_lo, e_hi = offsets[:rows], offsets[1 : rows + 1], offsets[rows : 2 * rows], offsets[rows + 1 :]
+            x, y = lo[of] + l - word0[0][of], e_lo[of] + e - word0[1][of]
+            n = np.minimum(n, np.minimum(hi[of] - x, e_hi[of] - y))
+            one = begin[(parts == 1) & (n[begin] > 0)]
+            o = of[one]
+            left, right, equal, good = _equal_runs(h, x[one], y[one], n[one], lo[o], hi[o], e_lo[o], e_hi[o])
+            slow = np.ones(len(parts), bool)
+            slow[np.searchsorted(begin, one[good])] = False
+            a, b = (x[one] - left)[good], (y[one] - left)[good]
+            words = (left + n[one] + right)[good]
+            found = []
+            res = [np.column_stack([o[good], a, a + words, b, b + words])]
+            similar = [equal[good] / np.maximum(words, 1)]
+            for c in np.flatnonzero(slow):
+                r, own = row[c], slice(begin[c], begin[c] + parts[c])
+                p, q = max(lo[r], x[own].min() - REACH - MARK), min(hi[r], (x[own] + n[own]).max() + REACH + MARK)
+                u, v = max(e_lo[r], y[own].min() - REACH - MARK), min(e_hi[r], (y[own] + n[own]).max() + REACH + MARK)
+                matches = [m for m in zip((x[own] - p).tolist(), (y[own] - u).tolist(), n[own].tolist(), strict=True) if m[2] > 0]
+                found += [(r, p + i, p + j, u + z, u + w, s) for i, j, z, w, s in align(h[p:q].tolist(), h[u:v].tolist(), matches)]
+            res.append(np.array([f[:5] for f in found], np.int64).reshape(-1, 5))
+            similar.append(np.array([f[5] for f in found], np.float64))
+            r, i, j, z, w = np.concatenate(res).T
+            l_from, e_from = col("l_from"), col("e_from")
+            values = [col("later")[r], col("earlier")[r], starts[i] + l_from[r], ends[j - 1] + l_from[r], starts[z] + e_from[r], ends[w - 1] + e_from[r], j - i, np.concatenate(similar), word0[0][r] + i - lo[r]]
+            for k, value in enumerate(values):
+                out[k].append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names)
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,15 +744,36 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc", "text", "marks"])
 
 
-PASSAGE = "doc_id long, other_id long, start_byte long, end_byte long, other_start long, other_end long, n_words long, similarity double"
+PASSAGE = "doc_id long, other_id long, start_byte long, end_byte long, other_start long, other_end long, n_words long, similarity double, at long"
 
 
 PAIR = "later long, earlier long, hot boolean, l_at long, e_at long, n long"
 
 
 def _chained(pairs: DataFrame) -> DataFrame:
-    sorted_ = pairs.repartition("later", "earlier").sortWithinPartitions("later", "earlier", "hot", "l_at", "e_at")
-    return sorted_.mapInPandas(_chains, "later long, earlier long, hot boolean, l array<long>, e array<long>, n array<long>")
+    sorted_ = pairs.repartition("later", "earlier").sortWithinPartitions("later", "earlier", "hot")
+    return sorted_.mapInPandas(_chains, "later long, earlier long, hot boolean, l_first long, l_last long, e_first long, e_last long, l array<long>, e array<long>, n array<long>, parts array<int>")
+
+
+def _passages_of(chains: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Passages that ``chains`` are aligned to; ``at`` is their first word."""
+    chains = scratch.written(chains.withColumn("pair", F.monotonically_increasing_id()))
+    side = lambda doc, x: F.struct(F.col(doc).alias("_doc"), "pair", F.lit(x == "l").alias("is_later"), F.col(f"{x}_first").alias("first"), F.col(f"{x}_last").alias("last"))
+    needs = chains.select(F.inline(F.array(side("later", "l"), side("earlier", "e"))))
+    sliced = texts.mapInArrow(_marked, "doc long, text string, marks array<long>").join(needs, F.col("doc") == F.col("_doc"))
+    begin = F.coalesce(F.get("marks", F.floor(F.greatest(F.col("first") - REACH, F.lit(0)) / MARK).cast("int")), F.lit(0))
+    end = F.coalesce(F.get("marks", F.ceil((F.col("last") + REACH) / MARK).cast("int")), F.octet_length("text"))
+    sliced = sliced.select("pair", "is_later", begin.alias("from"), F.substring(F.col("text").cast("binary"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("slice"))
+    of = lambda c, is_later: F.max(F.when(F.col("is_later") == is_later, F.col(c)))
+    both = sliced.groupBy("pair").agg(of("slice", True).alias("l_slice"), of("slice", False).alias("e_slice"), of("from", True).alias("l_from"), of("from", False).alias("e_from"))
+    return scratch.written(chains.drop("hot").join(both, "pair").mapInArrow(_aligned, PASSAGE).distinct())
+
+
+def _hot_places(marks: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents with the places of their hot seeds, the words of their passages, and of those that are equal."""
+    span = F.struct("at", (F.col("at") + F.col("n_words")).alias("end"))
+    spans = found.groupBy("doc_id").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("similarity") == 1, span)).alias("equal"))
+    return marks.join(spans, F.col("_doc") == F.col("doc_id"), "left").drop("doc_id")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, bool]:
@@ -469,15 +793,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Seeds are a sample of the runs of WORDS words of whole texts (A-Z lowered, parted at all but letters and digits).
     Every place of a seed in the later text meets the seed's first place in the earlier one, or where that repeats it
     at equal steps, its longest run.  The documents of a seed are all paired with each other up to ALL_HOLDERS.
-    Places of a hot seed, which more documents hold, are paired with the first document and the one before only, so
-    rows grow with the places.  For the rest, each run of LEAST_WORDS words that other seeds do not pair is paired
-    by its hash with the first document that holds it: of words in equal runs nothing is left out because a seed is
-    hot, but edited copies of hot passages are compared with those two holders of their seeds only.  Pairs are
-    chained, and chains aligned on the words around them (REACH words to each side), which alone leave the text
-    table.  Exact copies are passages as long as the text.
+    Pairs are chained, and chains aligned on the words around them (REACH words to each side), which alone leave the
+    text table.  Exact copies are passages as long as the text.
+
+    A hot seed, which more documents hold, pairs a place with the first document and the one before only.  Its places
+    that no passage covers then meet by longer keys: by two hot seeds, and where those are hot, too, by three.  Keys of
+    three that are at least WIDE words long pair all their holders, however many.  So of hot passages every holder's
+    words are found with an earlier holder, though not with each.  Runs of LEAST_WORDS equal words that rare seeds do
+    not pair are paired by their hash with the first document that holds them.
 
     WINDOW + WORDS - 1 equal words always hold a common seed, so two such runs within MOST_GAP words are always
-    compared; where edits are denser, it is a matter of chance.
+    compared; where edits are denser, it is a matter of chance.  So it is with hot passages whose common seeds make no
+    wide key, and with places that share one seed of few documents beside hot ones.
 
     Null and short texts have no passages; null ids are left out, as a row could not name them; rows that repeat
     an id are texts of their own and are not paired with each other; an empty table gives an empty result; other
@@ -486,26 +813,33 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with Scratch(docs.sparkSession) as scratch:
         d, renamed = _keyed(docs, id_col, text_col, scratch)
         texts = d.select("doc", "text")
-        seeds = texts.mapInPandas(_seeds, "seed long, doc long, at long, run long")
-        pairs = seeds.repartition("seed").sortWithinPartitions("seed", "doc", "at").mapInPandas(_links, PAIR)
-        found = scratch.written(_chained(pairs))
-        hot = found.where("hot").select(F.col("later").alias("_doc"), F.col("l").alias("hot"))
-        runs = texts.join(hot, F.col("doc") == F.col("_doc")).select("doc", "text", "hot").mapInPandas(_long_runs, "seed long, doc long, at long")
+        seeds = texts.mapInPandas(_seeds, "seed long, doc long, run long")
+        pairs = seeds.repartition("seed").sortWithinPartitions("seed", "doc", "run").mapInPandas(_links, PAIR)
+        chains = scratch.written(_chained(pairs))
+        found = _passages_of(chains.where("not hot"), texts, scratch)
+        marks = chains.where("hot").select(F.col("later").alias("_doc"), F.col("l").alias("words"), F.col("e").alias("seeds"), F.col("n").alias("runs"))
+        hot = scratch.written(_hot_places(marks, found))
+        repeatable = hot.select("_doc", "words", "runs", "equal").mapInArrow(_repeatable, "_doc long, words array<long>, runs array<long>, equal array<struct<at: long, end: long>>")
+        runs = texts.join(repeatable, F.col("doc") == F.col("_doc")).select("doc", "text", "words", "runs", "equal").mapInPandas(_long_runs, "seed long, doc long, at long")
         runs = scratch.written(runs)
         ends = runs.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("at", "doc").alias("lo_at")).where("lo < hi")
-        again = runs.join(ends, "seed").where("doc <> lo")
-        again = again.select(F.col("doc").alias("later"), F.col("lo").alias("earlier"), F.lit(False).alias("hot"), F.col("at").alias("l_at"), F.col("lo_at").alias("e_at"), F.lit(LEAST_WORDS).cast("long").alias("n"))
-        found = scratch.written(found.where("not hot").unionByName(_chained(again)).drop("hot").withColumn("pair", F.monotonically_increasing_id()))
-        word = lambda c, at: F.shiftright(F.element_at(c, at), 32)
-        side = lambda doc, c, is_later: F.struct(F.col(doc).alias("_doc"), "pair", F.lit(is_later).alias("is_later"), word(c, 1).alias("first"), (word(c, -1) + F.element_at("n", -1)).alias("last"))
-        needs = found.select(F.inline(F.array(side("later", "l", True), side("earlier", "e", False))))
-        sliced = texts.mapInArrow(_marked, "doc long, text string, marks array<long>").join(needs, F.col("doc") == F.col("_doc"))
-        begin = F.coalesce(F.get("marks", F.floor(F.greatest(F.col("first") - REACH, F.lit(0)) / MARK).cast("int")), F.lit(0))
-        end = F.coalesce(F.get("marks", F.ceil((F.col("last") + REACH) / MARK).cast("int")), F.octet_length("text"))
-        sliced = sliced.select("pair", "is_later", begin.alias("from"), F.substring(F.col("text").cast("binary"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("slice"))
-        of = lambda c, is_later: F.max(F.when(F.col("is_later") == is_later, F.col(c)))
-        both = sliced.groupBy("pair").agg(of("slice", True).alias("l_slice"), of("slice", False).alias("e_slice"), of("from", True).alias("l_from"), of("from", False).alias("e_from"))
-        out = found.join(both, "pair").select("later", "earlier", "l", "e", "n", "l_from", "e_from", "l_slice", "e_slice").mapInArrow(_aligned, PASSAGE).distinct()
+        more = runs.join(ends, "seed").where("doc <> lo")
+        more = more.select(F.col("doc").alias("later"), F.col("lo").alias("earlier"), F.lit(False).alias("hot"), F.col("at").alias("l_at"), F.col("lo_at").alias("e_at"), F.lit(LEAST_WORDS).cast("long").alias("n"))
+        within = None
+        for number in (2, 3):
+            places = "key long, doc long, asked boolean, " + ", ".join(f"at{k} long" for k in range(number))
+            asked = scratch.written(hot.mapInArrow(_keyed_places(number, True, within), places))
+            if not asked.isEmpty():
+                keys = scratch.written(hot.mapInArrow(_keyed_places(number, False, within, _filter(asked)), places))
+                met, narrow = _met(keys, number)
+                more = met if more is None else more.unionByName(met)
+            if more is not None:
+                found = found.unionByName(_passages_of(_chained(more), texts, scratch))
+            if asked.isEmpty() or number == 3:
+                break
+            within, more = _filter(narrow), None
+            hot = scratch.written(_hot_places(marks, found))
+        out = found.drop("at").distinct()
         if renamed:
             out = scratch.written(out)
             name = lambda c: d.select(F.col("doc").alias(f"_{c}"), F.col("doc_id").alias(f"{c}_"))

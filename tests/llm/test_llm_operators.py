@@ -76,6 +76,19 @@ def test_passages_of_hot_seeds_that_neither_first_nor_last_holders_have_whole(sp
     assert {(r["doc_id"], r["other_id"], r["n_words"]) for r in found if r["n_words"] >= 60} == {(70, 50, 60)}
 
 
+@pytest.mark.parametrize("together", [1, 2])
+def test_edited_copies_of_passages_made_of_hot_seeds_alone(spark, together):
+    """Pieces of the passage are each in very many documents; only two hold it whole, and each has edits of its own."""
+    rnd = random.Random(21)
+    own = lambda n: " ".join(f"{rnd.randrange(10**6)}x" for _ in range(n))
+    pieces = [own(15) for _ in range(4)]
+    edited = lambda parts: "".join(f"{x} {own(2)} " for x in parts)
+    many = [edited(pieces[k : k + together]) for k in range(5 - together) for _ in range(20)]
+    ids = rnd.sample([*range(1, 50), *range(51, 70), *range(71, 90)], len(many))
+    rows = [(i, f"{own(50)} {x} {own(50)}") for i, x in zip(ids, many, strict=True)] + [(i, f"{own(50)} {edited(pieces)} {own(50)}") for i in (50, 70)]
+    assert {(r["doc_id"], r["other_id"]) for r in substring_dedup.passages(docs(spark, rows)).collect()} == {(70, 50)}
+
+
 @pytest.mark.parametrize("similar", [0.8, 0.85, 0.9])
 def test_passages_are_found_down_to_the_similarity_claimed(spark, similar):
     rnd = random.Random(12)
