@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoebox.llm._common import Scratch, written
@@ -354,6 +353,11 @@ def _keyed_places(seeds: int, asked_only: bool, within=None, asked_for=None):
                 if within is not None:
                     for k in range(seeds - 1):  # all neighbours are a hot key
                         keep = keep & _has(within.value, mix(mix(seed[rows[:, k]]) * _KEY + seed[rows[:, k + 1]]))
+                keep = np.flatnonzero(keep)
+                doc = word[rows[keep, 0]] >> 32
+                order = np.lexsort((~asked[keep], key[keep], doc))  # one row a document and key, one that is asked for if there is
+                keep, doc = keep[order], doc[order]
+                keep = keep[np.append(True, (doc[1:] != doc[:-1]) | (key[keep[1:]] != key[keep[:-1]]))] if len(keep) else keep
                 rows, key, asked = rows[keep], key[keep], asked[keep]
                 at, doc = word[rows] & (1 << 32) - 1, batch.column("_doc").to_numpy()[word[rows[:, 0]] >> 32]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(asked), *(pa.array(np.ascontiguousarray(at[:, k])) for k in range(seeds))], ["key", "doc", "asked", *(f"at{k}" for k in range(seeds))])
@@ -380,27 +384,27 @@ def _filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(held)
 
 
-def _met(keys: DataFrame, seeds: int) -> tuple[DataFrame, DataFrame]:
+def _met(keys: DataFrame, seeds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs of places of documents that hold a key, one row a seed, and the keys that are hot.
 
-    All holders are paired up to ALL_HOLDERS, and all of wide keys; others with the first and the one before.
+    All holders are paired up to ALL_HOLDERS, and all of wide keys; others with the first.  A document has one row a key.
     """
-    one = keys.groupBy("key", "doc").agg(F.max("asked").alias("asked"), F.min(F.struct(*[f"at{k}" for k in range(seeds)])).alias("s"))
-    one = one.select("key", "doc", "asked", F.array(*[f"s.at{k}" for k in range(seeds)]).alias("places"))
-    by = W.partitionBy("key").orderBy("doc")
-    ranked = one.withColumn("rank", F.row_number().over(by)).withColumn("before", F.lag(F.struct("doc", "places")).over(by))
-    sizes = ranked.groupBy("key").agg(F.count("*").alias("holders"), F.min_by(F.struct("doc", "places"), "doc").alias("first")).where("holders > 1")
-    sizes = sizes.withColumnRenamed("key", "_key")
-    asked = ranked.join(sizes, F.col("key") == F.col("_key")).where("asked and rank > 1")
-    every = (F.col("holders") <= ALL_HOLDERS) | (F.element_at("places", -1) - F.element_at("places", 1) >= WIDE)
-    few = asked.where(~every).select("doc", "places", F.explode(F.array("first", "before")).alias("e"))
-    other = one.select(F.col("key").alias("other"), F.col("doc").alias("e_doc"), F.col("places").alias("e_places"))
-    all_ = asked.where(every).join(other, (F.col("key") == F.col("other")) & (F.col("e_doc") < F.col("doc")))
-    pairs = all_.select("doc", "places", "e_doc", "e_places").unionByName(few.select("doc", "places", F.col("e.doc").alias("e_doc"), F.col("e.places").alias("e_places")))
-    places = F.inline(F.arrays_zip(F.col("places").alias("l_at"), F.col("e_places").alias("e_at")))
-    pairs = pairs.select(F.col("doc").alias("later"), F.col("e_doc").alias("earlier"), places).distinct()
-    pairs = pairs.select("later", "earlier", F.lit(False).alias("hot"), "l_at", "e_at", F.lit(WORDS).cast("long").alias("n"))
-    return pairs, asked.where(~every).select("key").distinct()
+    at = [f"at{k}" for k in range(seeds)]
+    sizes = keys.groupBy("key").agg(F.count("*").alias("holders"), F.max("asked").alias("any"), F.min(F.struct("doc", *at)).alias("first"))
+    sizes = sizes.where(F.col("any") & (F.col("holders") > 1)).select(F.col("key").alias("_key"), "holders", "first")
+    every = (F.col("holders") <= ALL_HOLDERS) | (F.col(at[-1]) - F.col(at[0]) >= WIDE)
+    held = keys.join(sizes, F.col("key") == F.col("_key")).withColumn("every", every)
+    held = held.where(F.col("every") | F.col("asked") & (F.col("doc") > F.col("first.doc"))).select("key", "doc", "asked", *at, "every", F.when(~F.col("every"), F.col("first")).alias("first"))
+    held = scratch.written(held)
+    side = lambda x, of: F.struct(F.col(f"{of}doc").alias("doc"), F.array(*[F.col(f"{of}{c}") for c in at]).alias("at")).alias(x)
+    few = held.where("not every").select(side("later", ""), side("earlier", "first."))
+    both = held.where("every")
+    other = both.select(F.col("key").alias("_key"), side("earlier", ""))
+    all_ = both.where("asked").select("key", side("later", "")).join(other, (F.col("key") == F.col("_key")) & (F.col("earlier.doc") < F.col("later.doc")))
+    pairs = all_.select("later", "earlier").unionByName(few)
+    places = F.inline(F.arrays_zip(F.col("later.at").alias("l_at"), F.col("earlier.at").alias("e_at")))
+    pairs = pairs.select(F.col("later.doc").alias("later"), F.col("earlier.doc").alias("earlier"), F.lit(False).alias("hot"), places)
+    return pairs.select("later", "earlier", "hot", "l_at", "e_at", F.lit(WORDS).cast("long").alias("n")), held.where("not every").select("key").distinct()
 
 
 class Fenwick:
@@ -797,9 +801,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text table.  Exact copies are passages as long as the text.
 
     A hot seed, which more documents hold, pairs a place with the first document and the one before only.  Its places
-    that no passage covers then meet by longer keys: by two hot seeds, and where those are hot, too, by three.  Keys of
-    three that are at least WIDE words long pair all their holders, however many.  So of hot passages every holder's
-    words are found with an earlier holder, though not with each.  Runs of LEAST_WORDS equal words that rare seeds do
+    that no passage covers then meet by longer keys: by two hot seeds, and where those are hot, too (and pair with their
+    first document only), by three.  Keys of three that are at least WIDE words long pair all their holders, however many.  Runs of LEAST_WORDS equal words that rare seeds do
     not pair are paired by their hash with the first document that holds them.
 
     WINDOW + WORDS - 1 equal words always hold a common seed, so two such runs within MOST_GAP words are always
@@ -831,7 +834,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             asked = scratch.written(hot.mapInArrow(_keyed_places(number, True, within), places))
             if not asked.isEmpty():
                 keys = scratch.written(hot.mapInArrow(_keyed_places(number, False, within, _filter(asked)), places))
-                met, narrow = _met(keys, number)
+                met, narrow = _met(keys, number, scratch)
                 more = met if more is None else more.unionByName(met)
             if more is not None:
                 found = found.unionByName(_passages_of(_chained(more), texts, scratch))
