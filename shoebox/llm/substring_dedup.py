@@ -259,14 +259,14 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
     return pc.list_parent_indices(col).to_numpy(zero_copy_only=False).astype(np.int64) << 32, pc.list_flatten(col)
 
 
-def _hot(batch: pa.RecordBatch, spans: str, together: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the hot seeds of a batch of documents: row and first word in one number, the place in the batch, run, and whether they lie outside ``spans``."""
+def _hot(batch: pa.RecordBatch, spans: str, together: bool, around: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the hot seeds of a batch of documents: row and first word in one number, the place in the batch, run, and whether they, with the words ``around``, lie outside ``spans``."""
     row, word = _flat(batch, "words")
     run = _flat(batch, "runs")[1].to_numpy(zero_copy_only=False)
     word = row + word.to_numpy(zero_copy_only=False)
     order = np.argsort(word, kind="stable")
     word, run = word[order], run[order]
-    return word, order, run, _outside(word, word + _extent(run) + WORDS - 1, _spans(batch, spans), together)
+    return word, order, run, _outside(word - np.minimum(word & (1 << 32) - 1, around), word + _extent(run) + WORDS - 1 + around, _spans(batch, spans), together)
 
 
 def _spans(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +277,7 @@ def _spans(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 def _repeatable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents whose hot seeds outside equal passages may be those of an equal run."""
     for batch in batches:
-        word, _, run, out = _hot(batch, "equal", False)
+        word, _, run, out = _hot(batch, "equal", False, LEAST_WORDS - 1)  # a run across the end of an equal passage is not inside
         word, run = word[out], run[out]
         at = np.searchsorted(word, np.arange(batch.num_rows + 1) << 32)
         end = word + _extent(run)
