@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm._common import Scratch, written
-from shoebox.llm.wordhash import blocks, hashed, mix, shingles
+from shoebox.llm.wordhash import blocks, hashed, mix, rolled, shingles
 
 #: Words of a seed.  Kept are the seeds whose hash is below SAMPLED, a quarter of all whatever stands around them, and
 #: the one with the least hash of every WINDOW in a row, so that any WINDOW + WORDS - 1 equal words hold a common seed.
@@ -40,6 +40,8 @@ SAME_SLICE = 128
 ASIDE = 32
 #: Bits of a run's step and of the number of its places, beside its first word.
 _STEP, _PLACES = 7, 28
+#: In the run of a hot seed's place: no earlier document holds the seed.
+_FIRST = 1 << _STEP + _PLACES
 #: The byte of every so many words is known where a text is sliced.
 MARK = 32
 
@@ -166,7 +168,7 @@ def _linked(pdf: pd.DataFrame, known: int = 0, hot_first: bool = False) -> Itera
         later.append(cool)
         earlier.append(best[group[cool] - o])
     r = some[hot[group[some]]]
-    yield pd.DataFrame({"later": doc[r], "earlier": 0, "hot": True, "l_at": word[r], "e_at": seed[r], "n": run[r] & (1 << _STEP + _PLACES) - 1})
+    yield pd.DataFrame({"later": doc[r], "earlier": 0, "hot": True, "l_at": word[r], "e_at": seed[r], "n": run[r] & _FIRST - 1 | np.where(rank[group[r]] == 0, _FIRST, 0)})
     for least, of in ((1, lambda r: lo[group[r]]), (2, lambda r: group[r] - 1)):
         own = r[rank[group[r]] >= least]
         later.append(own)
@@ -259,14 +261,14 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
     return pc.list_parent_indices(col).to_numpy(zero_copy_only=False).astype(np.int64) << 32, pc.list_flatten(col)
 
 
-def _hot(batch: pa.RecordBatch, spans: str, together: bool, around: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the hot seeds of a batch of documents: row and first word in one number, the place in the batch, run, and whether they, with the words ``around``, lie outside ``spans``."""
+def _hot(batch: pa.RecordBatch, spans: str, together: bool, around: int = 0) -> tuple[np.ndarray, ...]:
+    """Of the hot seeds of a batch of documents: row and first word in one number, the place in the batch, run, whether they, with the words ``around``, lie outside ``spans``, and whether no earlier document holds the seed."""
     row, word = _flat(batch, "words")
     run = _flat(batch, "runs")[1].to_numpy(zero_copy_only=False)
     word = row + word.to_numpy(zero_copy_only=False)
     order = np.argsort(word, kind="stable")
-    word, run = word[order], run[order]
-    return word, order, run, _outside(word - np.minimum(word & (1 << 32) - 1, around), word + _extent(run) + WORDS - 1 + around, _spans(batch, spans), together)
+    word, first, run = word[order], run[order] >= _FIRST, run[order] & _FIRST - 1
+    return word, order, run, _outside(word - np.minimum(word & (1 << 32) - 1, around), word + _extent(run) + WORDS - 1 + around, _spans(batch, spans), together), first
 
 
 def _spans(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +279,7 @@ def _spans(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 def _repeatable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents whose hot seeds outside equal passages may be those of an equal run."""
     for batch in batches:
-        word, _, run, out = _hot(batch, "equal", False, LEAST_WORDS - 1)  # a run across the end of an equal passage is not inside
+        word, _, run, out, _ = _hot(batch, "equal", False, LEAST_WORDS - 1)  # a run across the end of an equal passage is not inside
         word, run = word[out], run[out]
         at = np.searchsorted(word, np.arange(batch.num_rows + 1) << 32)
         end = word + _extent(run)
@@ -285,39 +287,46 @@ def _repeatable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _long_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the runs of LEAST_WORDS words that the seeds of few documents do not pair, with their places.
 
     A run inside an equal passage stands in an earlier document, which gives it, too.  Where words repeat at equal
     steps, one step is enough: longer stretches meet by a seed of their own.
     """
-    for pdf in batches:
-        ids, hot, steps, equal = pdf["doc"].to_numpy(), pdf["words"].tolist(), pdf["runs"].tolist(), pdf["equal"].tolist()
-        for a, _, encoded in blocks(pdf["text"].tolist()):
+    for batch in batches:
+        ids, equal = batch.column("doc").to_numpy(), _spans(batch, "equal")
+        hot_row, hot = _flat(batch, "words")
+        hot_row, hot = hot_row >> 32, hot.to_numpy(zero_copy_only=False)
+        step = (_flat(batch, "runs")[1].to_numpy(zero_copy_only=False) & _FIRST - 1) >> _PLACES
+        for a, b, encoded in blocks(batch.column("text").to_pylist()):
             h, _, _, offsets = hashed(encoded)
             s, at = shingles(h, offsets, WORDS)
             place = np.flatnonzero(s < SAMPLED)  # seeds of a run whatever stands around it
-            for t in range(len(encoded)):
-                n = offsets[t + 1] - offsets[t]
-                if n < LEAST_WORDS:
-                    continue
-                own = place[np.searchsorted(place, at[t]) : np.searchsorted(place, at[t + 1])] - at[t]
-                own = own[~np.isin(s[at[t] + own], s[at[t] + np.asarray(hot[a + t], np.int64)])]
-                run = np.arange(n - LEAST_WORDS + 1)
-                i = np.searchsorted(own, run)
-                j = np.searchsorted(own, run + LEAST_WORDS - WORDS, side="right") - 1
-                paired = j > i
-                paired[paired] = own[j[paired]] - own[i[paired]] + WORDS >= LEAST_CHAIN
-                run = run[~paired]
-                own_equal = np.array([(x["at"], x["end"]) for x in (() if equal[a + t] is None else equal[a + t])], np.int64).reshape(-1, 2).T
-                run = run[_outside(run, run + LEAST_WORDS - 1, own_equal, False)]
-                if len(run):
-                    lo = run[0]
-                    key, _ = shingles(h[offsets[t] + lo : offsets[t] + run[-1] + LEAST_WORDS], np.array([0, run[-1] - lo + LEAST_WORDS]), LEAST_WORDS)
-                    for step in np.unique(np.asarray(steps[a + t], np.int64) >> _PLACES):
-                        if step:
-                            run = run[(run < lo + step) | (key[run - lo] != key[np.maximum(run - lo - step, 0)])]
-                    yield pd.DataFrame({"seed": key[run - lo].view(np.int64), "doc": ids[a + t], "at": run})
+            own = (hot_row >= a) & (hot_row < b)
+            hot_text, hot_at = hot_row[own] - a, at[hot_row[own] - a] + hot[own]
+            of_text = lambda at_, text: s[at_] + text.astype(np.uint64) * _KEY  # noqa: B023, E731
+            place = place[~np.isin(of_text(place, np.searchsorted(at, place, side="right") - 1), of_text(hot_at, hot_text))]
+            count = np.maximum(np.diff(offsets) - LEAST_WORDS + 1, 0)
+            text = np.repeat(np.arange(len(count)), count)
+            run = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            i = np.searchsorted(place, at[text] + run)
+            j = np.searchsorted(place, at[text] + run + LEAST_WORDS - WORDS, side="right") - 1
+            paired = j > i
+            paired[paired] = place[j[paired]] - place[i[paired]] + WORDS >= LEAST_CHAIN
+            text, run = text[~paired], run[~paired]
+            first = (a + text << 32) + run
+            out = _outside(first, first + LEAST_WORDS - 1, equal, False)
+            text, run = text[out], run[out]
+            key = rolled(h, offsets[text] + run, LEAST_WORDS)
+            keep = np.ones(len(run), bool)
+            stepped = own & (step > 0)
+            for t in np.unique(hot_row[stepped]) - a:
+                lo, hi = np.searchsorted(text, [t, t + 1])
+                if hi > lo:
+                    for n in np.unique(step[stepped & (hot_row == a + t)]):
+                        back = np.flatnonzero(run[lo:hi] >= run[lo] + n)
+                        keep[lo + back] &= rolled(h, offsets[t] + run[lo + back] - n, LEAST_WORDS) != key[lo + back]
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[a + text[keep]]), pa.array(run[keep])], ["seed", "doc", "at"])
 
 
 def _sequences(word: np.ndarray, seed: np.ndarray, seeds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,10 +341,12 @@ def _sequences(word: np.ndarray, seed: np.ndarray, seeds: int) -> tuple[np.ndarr
     return rows, key
 
 
-def _keyed_places(seeds: int, asked_only: bool, within=None, asked_for=None):
-    """Keys of so many hot seeds.  Asked for are those with a place outside all passages of their document.
+def _keyed_places(seeds: int, asked_only: bool, within=None, asked_for=None, wide: bool = False):
+    """Keys of so many hot seeds.  Asked for are those with a place outside all passages of their document, if earlier
+    documents hold each of the seeds.
 
-    ``within``: filter of the keys of two seeds that are hot; ``asked_for``: filter of the keys that are asked for.
+    ``within``: filter of the keys of two seeds that are hot; ``asked_for``: filter of the keys that are asked for;
+    ``wide``: wide keys only.
     Places inside one equal passage are left to the earlier document, which holds them, too.
     """
 
@@ -343,11 +354,13 @@ def _keyed_places(seeds: int, asked_only: bool, within=None, asked_for=None):
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
-                word, order, run, outside = _hot(batch, "spans", True)
+                word, order, _, outside, first_holder = _hot(batch, "spans", True)
                 seed = _flat(batch, "seeds")[1].to_numpy(zero_copy_only=False)[order].view(np.uint64)
                 rows, key = _sequences(word, seed, seeds)
-                asked = outside[rows].any(axis=1)
+                asked = outside[rows].any(axis=1) & ~first_holder[rows].any(axis=1)
                 keep = asked if asked_only else asked | _outside(word[rows[:, 0]], word[rows[:, -1]] + WORDS - 1, _spans(batch, "equal"), False)
+                if wide:
+                    keep = keep & (word[rows[:, -1]] - word[rows[:, 0]] >= WIDE)
                 if asked_for is not None:
                     keep = keep & _has(asked_for.value, key)
                 if within is not None:
@@ -384,27 +397,70 @@ def _filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(held)
 
 
-def _met(keys: DataFrame, seeds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs of places of documents that hold a key, one row a seed, and the keys that are hot.
+def _key_pairs(seeds: int):
+    """Pairs of places of documents that hold a key, one row a seed; rows come sorted by key and document, one a document and key.
 
-    All holders are paired up to ALL_HOLDERS, and all of wide keys; others with the first.  A document has one row a key.
+    Asked-for holders meet all before them up to ALL_HOLDERS; of more, the first and the one before, and the key is
+    given as a mark (``hot``, in ``e_at``).
     """
     at = [f"at{k}" for k in range(seeds)]
-    sizes = keys.groupBy("key").agg(F.count("*").alias("holders"), F.max("asked").alias("any"), F.min(F.struct("doc", *at)).alias("first"))
-    sizes = sizes.where(F.col("any") & (F.col("holders") > 1)).select(F.col("key").alias("_key"), "holders", "first")
-    every = (F.col("holders") <= ALL_HOLDERS) | (F.col(at[-1]) - F.col(at[0]) >= WIDE)
-    held = keys.join(sizes, F.col("key") == F.col("_key")).withColumn("every", every)
-    held = held.where(F.col("every") | F.col("asked") & (F.col("doc") > F.col("first.doc"))).select("key", "doc", "asked", *at, "every", F.when(~F.col("every"), F.col("first")).alias("first"))
-    held = scratch.written(held)
-    side = lambda x, of: F.struct(F.col(f"{of}doc").alias("doc"), F.array(*[F.col(f"{of}{c}") for c in at]).alias("at")).alias(x)
-    few = held.where("not every").select(side("later", ""), side("earlier", "first."))
-    both = held.where("every")
-    other = both.select(F.col("key").alias("_key"), side("earlier", ""))
-    all_ = both.where("asked").select("key", side("later", "")).join(other, (F.col("key") == F.col("_key")) & (F.col("earlier.doc") < F.col("later.doc")))
-    pairs = all_.select("later", "earlier").unionByName(few)
+
+    def met(pdf: pd.DataFrame, known: int, hot_first: bool) -> pd.DataFrame:
+        key, doc, asked = (pdf[c].to_numpy() for c in ("key", "doc", "asked"))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        rank, lo = np.arange(len(key)) - np.repeat(first, size), np.repeat(first, size)
+        hot = np.repeat(size > ALL_HOLDERS, size)
+        hot[: size[0]] |= hot_first
+        some = np.flatnonzero(asked & (rank > 0) & (np.arange(len(key)) >= known))
+        later, earlier, cool = [], [], some[~hot[some]]
+        for o in range(1, ALL_HOLDERS):
+            cool = cool[rank[cool] >= o]
+            if not len(cool):
+                break
+            later.append(cool)
+            earlier.append(cool - o)
+        of_hot = some[hot[some]]
+        second = of_hot[rank[of_hot] > 1]
+        l, e = np.concatenate([*later, of_hot, second]), np.concatenate([*earlier, lo[of_hot], second - 1])
+        mark = np.unique(key[of_hot])
+        none, zero = np.zeros(len(mark), np.int64), np.zeros(len(l) * seeds, bool)
+        place = lambda of: np.concatenate([pdf[c].to_numpy()[of] for c in at])
+        return pd.DataFrame({"later": np.append(np.tile(doc[l], seeds), none), "earlier": np.append(np.tile(doc[e], seeds), none), "hot": np.append(zero, none == 0), "l_at": np.append(place(l), none), "e_at": np.append(place(e), mark), "n": WORDS})
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, known, hot = None, 0, False
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["key"].to_numpy() == pdf["key"].iloc[-1]
+            if not last.all():
+                yield met(pdf[~last], known, hot)
+                known, hot, pdf = 0, False, pdf[last]
+            if hot or len(pdf) > ALL_HOLDERS:  # the first and the last holder are held, whatever their number
+                yield met(pdf, known, hot)
+                hot, pdf, known = True, pdf.iloc[[0, -1]], 2
+            held = pdf
+        if held is not None and len(held):
+            yield met(held, known, hot)
+
+    return pairs
+
+
+def _met(keys: DataFrame, seeds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs of places of documents that hold a key, one row a seed, and the keys of more than ALL_HOLDERS documents."""
+    both = scratch.written(keys.repartition("key").sortWithinPartitions("key", "doc").mapInPandas(_key_pairs(seeds), PAIR))
+    return both.where("not hot"), both.where("hot").select(F.col("e_at").alias("key")).distinct()
+
+
+def _all_met(asked: DataFrame, keys: DataFrame, seeds: int) -> DataFrame:
+    """Pairs of places of documents of ``asked`` and all earlier ones of ``keys`` that hold a key, one row a seed."""
+    at = F.array(*[f"at{k}" for k in range(seeds)]).alias("at")
+    other = keys.select(F.col("key").alias("_key"), F.struct("doc", at).alias("earlier"))
+    both = asked.select("key", F.struct("doc", at).alias("later")).join(other, (F.col("key") == F.col("_key")) & (F.col("earlier.doc") < F.col("later.doc")))
     places = F.inline(F.arrays_zip(F.col("later.at").alias("l_at"), F.col("earlier.at").alias("e_at")))
-    pairs = pairs.select(F.col("later.doc").alias("later"), F.col("earlier.doc").alias("earlier"), F.lit(False).alias("hot"), places)
-    return pairs.select("later", "earlier", "hot", "l_at", "e_at", F.lit(WORDS).cast("long").alias("n")), held.where("not every").select("key").distinct()
+    return both.select(F.col("later.doc").alias("later"), F.col("earlier.doc").alias("earlier"), F.lit(False).alias("hot"), places, F.lit(WORDS).cast("long").alias("n"))
 
 
 class Fenwick:
@@ -736,6 +792,18 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names)
 
 
+def _asked_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``texts`` of the column ``_doc`` of ``docs``, and perhaps a few more."""
+    wanted = _filter(docs.select(F.xxhash64("_doc").alias("key")))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _has(wanted.value, batch.column("key").to_numpy().view(np.uint64))
+            yield batch.select(["doc", "text"]).filter(pa.array(keep))
+
+    return texts.select("doc", "text", F.xxhash64("doc").alias("key")).mapInArrow(some, "doc long, text string")
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the first byte of every MARK-th word."""
     for batch in batches:
@@ -764,7 +832,7 @@ def _passages_of(chains: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
     chains = scratch.written(chains.withColumn("pair", F.monotonically_increasing_id()))
     side = lambda doc, x: F.struct(F.col(doc).alias("_doc"), "pair", F.lit(x == "l").alias("is_later"), F.col(f"{x}_first").alias("first"), F.col(f"{x}_last").alias("last"))
     needs = chains.select(F.inline(F.array(side("later", "l"), side("earlier", "e"))))
-    sliced = texts.mapInArrow(_marked, "doc long, text string, marks array<long>").join(needs, F.col("doc") == F.col("_doc"))
+    sliced = _asked_texts(texts, needs).mapInArrow(_marked, "doc long, text string, marks array<long>").join(needs, F.col("doc") == F.col("_doc"))
     begin = F.coalesce(F.get("marks", F.floor(F.greatest(F.col("first") - REACH, F.lit(0)) / MARK).cast("int")), F.lit(0))
     end = F.coalesce(F.get("marks", F.ceil((F.col("last") + REACH) / MARK).cast("int")), F.octet_length("text"))
     sliced = sliced.select("pair", "is_later", begin.alias("from"), F.substring(F.col("text").cast("binary"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("slice"))
@@ -801,9 +869,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text table.  Exact copies are passages as long as the text.
 
     A hot seed, which more documents hold, pairs a place with the first document and the one before only.  Its places
-    that no passage covers then meet by longer keys: by two hot seeds, and where those are hot, too (and pair with their
-    first document only), by three.  Keys of three that are at least WIDE words long pair all their holders, however many.  Runs of LEAST_WORDS equal words that rare seeds do
-    not pair are paired by their hash with the first document that holds them.
+    that no passage covers then meet by longer keys: by two hot seeds, and where those are hot, too (and pair in the same
+    way), by three.  Places that are not covered then and lie in keys of three of at least WIDE words are paired with all
+    earlier holders of the key, however many.  Runs of LEAST_WORDS equal words that rare seeds do not pair are paired by
+    their hash with the first document that holds them.
 
     WINDOW + WORDS - 1 equal words always hold a common seed, so two such runs within MOST_GAP words are always
     compared; where edits are denser, it is a matter of chance.  So it is with hot passages whose common seeds make no
@@ -823,24 +892,29 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         marks = chains.where("hot").select(F.col("later").alias("_doc"), F.col("l").alias("words"), F.col("e").alias("seeds"), F.col("n").alias("runs"))
         hot = scratch.written(_hot_places(marks, found))
         repeatable = hot.select("_doc", "words", "runs", "equal").mapInArrow(_repeatable, "_doc long, words array<long>, runs array<long>, equal array<struct<at: long, end: long>>")
-        runs = texts.join(repeatable, F.col("doc") == F.col("_doc")).select("doc", "text", "words", "runs", "equal").mapInPandas(_long_runs, "seed long, doc long, at long")
+        repeatable = scratch.written(repeatable)
+        runs = _asked_texts(texts, repeatable).join(repeatable, F.col("doc") == F.col("_doc")).select("doc", "text", "words", "runs", "equal").mapInArrow(_long_runs, "seed long, doc long, at long")
         runs = scratch.written(runs)
         ends = runs.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("at", "doc").alias("lo_at")).where("lo < hi")
         more = runs.join(ends, "seed").where("doc <> lo")
         more = more.select(F.col("doc").alias("later"), F.col("lo").alias("earlier"), F.lit(False).alias("hot"), F.col("at").alias("l_at"), F.col("lo_at").alias("e_at"), F.lit(LEAST_WORDS).cast("long").alias("n"))
-        within = None
-        for number in (2, 3):
+        # keys of two hot seeds, of three, and those wide ones of three whose holders are all paired
+        within = crowded = keys = None
+        for number, every in ((2, False), (3, False), (3, True)):
             places = "key long, doc long, asked boolean, " + ", ".join(f"at{k} long" for k in range(number))
-            asked = scratch.written(hot.mapInArrow(_keyed_places(number, True, within), places))
-            if not asked.isEmpty():
+            asked = scratch.written(hot.mapInArrow(_keyed_places(number, True, within, crowded, every), places))
+            some = not asked.isEmpty()
+            if some and every:
+                more = _all_met(asked, keys, number)
+            elif some:
                 keys = scratch.written(hot.mapInArrow(_keyed_places(number, False, within, _filter(asked)), places))
                 met, narrow = _met(keys, number, scratch)
                 more = met if more is None else more.unionByName(met)
             if more is not None:
                 found = found.unionByName(_passages_of(_chained(more), texts, scratch))
-            if asked.isEmpty() or number == 3:
+            if not some or every or narrow.isEmpty():
                 break
-            within, more = _filter(narrow), None
+            within, crowded, more = (_filter(narrow), None, None) if number == 2 else (within, _filter(narrow), None)
             hot = scratch.written(_hot_places(marks, found))
         out = found.drop("at").distinct()
         if renamed:

@@ -100,3 +100,11 @@ def shingles(h: np.ndarray, offsets: np.ndarray, k: int, words: int | None = Non
             step = np.where(first + j < last, step, np.uint64(0x5851F42D4C957F2D))
         total = total * np.uint64(0xD6E8FEB86659FD93) + step
     return mix(total), out
+
+
+def rolled(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words that begin at the words ``first``, from sums that all runs share."""
+    up, down = _power_tables(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[first + k] - sums[first]) * down[first])

@@ -147,6 +147,30 @@ def test_a_seed_of_very_many_documents_is_paired_with_little_held():
     assert pairs(whole) == pairs(parts) == want
 
 
+def test_only_the_first_document_of_a_hot_seed_is_marked_as_first():
+    """Its places wait for no earlier document, so they ask for no keys."""
+    import pandas as pd
+
+    rows = pd.DataFrame({"seed": 7, "doc": [i // 2 for i in range(2000)], "run": [i % 2 << 40 | 1 for i in range(2000)]})
+    found = pd.concat(substring_dedup._links(rows.iloc[i : i + 300] for i in range(0, len(rows), 300)))
+    marks = found[found["hot"]]
+    assert len(marks) == 2000 and sorted(marks["later"][marks["n"] >= substring_dedup._FIRST]) == [0, 0]
+
+
+def test_a_key_of_very_many_documents_makes_two_pairs_a_document():
+    import pandas as pd
+
+    n = 5000
+    rows = pd.DataFrame({"key": [7] * n + [9, 9, 9], "doc": [*range(n), 3, 8, 9], "asked": [*[True] * (n + 1), False, True], "at0": 5, "at1": 30})
+    whole = pd.concat(substring_dedup._key_pairs(2)(iter([rows])))
+    parts = pd.concat(substring_dedup._key_pairs(2)(rows.iloc[i : i + 300] for i in range(0, len(rows), 300)))
+    pairs = lambda x: Counter(zip(x["later"], x["earlier"], x["l_at"], strict=True))
+    once = Counter((i, 0) for i in range(1, n)) + Counter((i, i - 1) for i in range(2, n)) + Counter([(9, 3), (9, 8)])
+    want = Counter({(l, e, at): k for (l, e), k in once.items() for at in (5, 30)})
+    for got in (whole, parts):
+        assert pairs(got[~got["hot"]]) == want and set(got["e_at"][got["hot"]]) == {7}
+
+
 def test_passages_against_a_quadratic_aligner(spark):
     """Every equal run of LEAST_WORDS words of two documents lies in a passage of the later one."""
     rnd = random.Random(17)
