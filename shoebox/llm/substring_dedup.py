@@ -381,15 +381,15 @@ def _keyed_places(seeds: int, asked_only: bool, within=None, asked_for=None, wid
 _KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key >> np.uint64(64 - KEY_BITS)
-    return bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1 != 0
+def _has(held: np.ndarray, key: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
+    at = key >> np.uint64(64 - bits)
+    return held[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1 != 0
 
 
-def _filter(keys: DataFrame):
+def _filter(keys: DataFrame, bits: int = KEY_BITS):
     """A broadcast bitmap of the column ``key``, of fixed size."""
-    slot = F.shiftrightunsigned("key", 64 - KEY_BITS)
-    held = np.zeros((1 << KEY_BITS) // 8, np.uint8)
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    held = np.zeros((1 << bits) // 8, np.uint8)
     parts = keys.select(F.shiftright(slot, 16).cast("int").alias("part"), slot.bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("bit")).groupBy("part").agg(F.collect_set("bit").alias("bits"))
     for r in parts.toLocalIterator():
         at = (r["part"] << 16) + np.array(r["bits"], np.int64)
@@ -792,28 +792,29 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names)
 
 
-def _asked_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """``texts`` of the column ``_doc`` of ``docs``, and perhaps a few more."""
-    wanted = _filter(docs.select(F.xxhash64("_doc").alias("key")))
+def _marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds the first byte of every MARK-th word."""
+    marks: list[np.ndarray] = []
+    for _, _, encoded in blocks(batch.column("text").to_pylist()):
+        _, starts, _, offsets = hashed(encoded)
+        marks += [starts[offsets[t] : offsets[t + 1] : MARK] for t in range(len(encoded))]
+    ends = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
+    flat = np.concatenate([np.zeros(0, np.int64), *marks])
+    return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc", "text", "marks"])
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = _has(wanted.value, batch.column("key").to_numpy().view(np.uint64))
-            yield batch.select(["doc", "text"]).filter(pa.array(keep))
 
-    return texts.select("doc", "text", F.xxhash64("doc").alias("key")).mapInArrow(some, "doc long, text string")
+def _asked_texts(texts: DataFrame, docs: DataFrame, marked: bool = False) -> DataFrame:
+    """``texts`` of the column ``_doc`` of ``docs``, and perhaps a few more; ``marked``: with the first byte of every MARK-th word."""
+    bits = min(KEY_BITS, max(20, (16 * docs.count()).bit_length()))
+    wanted = _filter(docs.select(F.xxhash64("_doc").alias("key")), bits)
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _has(wanted.value, batch.column("key").to_numpy().view(np.uint64), bits)
+            batch = batch.select(["doc", "text"]).filter(pa.array(keep))
+            yield _marked(batch) if marked else batch
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the first byte of every MARK-th word."""
-    for batch in batches:
-        marks: list[np.ndarray] = []
-        for _, _, encoded in blocks(batch.column("text").to_pylist()):
-            _, starts, _, offsets = hashed(encoded)
-            marks += [starts[offsets[t] : offsets[t + 1] : MARK] for t in range(len(encoded))]
-        ends = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
-        flat = np.concatenate([np.zeros(0, np.int64), *marks])
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc", "text", "marks"])
+    return texts.select("doc", "text", F.xxhash64("doc").alias("key")).mapInArrow(some, "doc long, text string" + ", marks array<long>" * marked)
 
 
 PASSAGE = "doc_id long, other_id long, start_byte long, end_byte long, other_start long, other_end long, n_words long, similarity double, at long"
@@ -832,7 +833,7 @@ def _passages_of(chains: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
     chains = scratch.written(chains.withColumn("pair", F.monotonically_increasing_id()))
     side = lambda doc, x: F.struct(F.col(doc).alias("_doc"), "pair", F.lit(x == "l").alias("is_later"), F.col(f"{x}_first").alias("first"), F.col(f"{x}_last").alias("last"))
     needs = chains.select(F.inline(F.array(side("later", "l"), side("earlier", "e"))))
-    sliced = _asked_texts(texts, needs).mapInArrow(_marked, "doc long, text string, marks array<long>").join(needs, F.col("doc") == F.col("_doc"))
+    sliced = _asked_texts(texts, needs, True).join(needs, F.col("doc") == F.col("_doc"))
     begin = F.coalesce(F.get("marks", F.floor(F.greatest(F.col("first") - REACH, F.lit(0)) / MARK).cast("int")), F.lit(0))
     end = F.coalesce(F.get("marks", F.ceil((F.col("last") + REACH) / MARK).cast("int")), F.octet_length("text"))
     sliced = sliced.select("pair", "is_later", begin.alias("from"), F.substring(F.col("text").cast("binary"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("slice"))
